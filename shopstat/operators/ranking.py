@@ -126,35 +126,44 @@ def sequence_number(df: DataFrame, partition_cols: Sequence[str], order_cols: Se
     return numbered.select(*df.columns, out_col)
 
 
-def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float]) -> DataFrame:
+def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float],
+                    group_cols: Sequence[str] = ()) -> DataFrame:
     """Exact quantiles with linear interpolation between order statistics.
 
-    Rows ``(q, value)``; nulls are skipped.  Positions come from a balanced
-    global numbering of the sorted values, then only the few rows at the
-    needed positions are read, instead of building a value->count map in a
-    single final task.
+    Rows ``(*group_cols, q, value)``; nulls are skipped.  Positions come from
+    a balanced numbering of the sorted values, then only the rows at the
+    needed positions are read, instead of building a value->count map per
+    group in one final task.
     """
-    v = df.select(F.col(value_col).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
-    numbered = sequence_number(v, [], ["_v"], "_pos")
-    n = v.agg(F.count(F.lit(1)).alias("_n"))
+    groups = list(group_cols)
+    v = (df.select(*groups, F.col(value_col).cast("double").alias("_v"))
+         .filter(F.col("_v").isNotNull()))
+    numbered = sequence_number(v, groups, ["_v"], "_pos")
+    n = v.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n"))
     h = [(F.col("_n") - 1) * F.lit(float(q)) for q in probs]
-    wanted = n.filter(F.col("_n") > 0).select(
-        F.col("_n"),
+    wanted = n.select(
+        *groups,
         F.explode(F.array(*[
             F.struct(F.lit(float(q)).alias("q"), hq.alias("h"),
                      (F.floor(hq) + 1).alias("lo"), (F.ceil(hq) + 1).alias("hi"))
             for q, hq in zip(probs, h)
         ])).alias("w"),
-    ).select("w.*")
-    positions = wanted.select("q", "h", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("pos"))
-    # ``positions`` has at most two rows per requested quantile.
-    hits = numbered.join(F.broadcast(positions), numbered["_pos"] == positions["pos"])
-    per_q = hits.groupBy("q").agg(
+    ).select(*groups, "w.*")
+    positions = wanted.select(*[F.col(g).alias(f"_p_{g}") for g in groups], "q", "h",
+                              F.explode(F.array_distinct(F.array("lo", "hi"))).alias("pos"))
+    if not groups:
+        # at most two rows per requested quantile
+        positions = F.broadcast(positions)
+    cond = numbered["_pos"] == positions["pos"]
+    for g in groups:
+        cond = cond & numbered[g].eqNullSafe(positions[f"_p_{g}"])
+    hits = numbered.join(positions, cond)
+    per_q = hits.groupBy(*groups, "q").agg(
         F.first("h").alias("h"),
         F.max(F.when(F.col("_pos") == F.floor("h") + 1, F.col("_v"))).alias("v_lo"),
         F.max(F.when(F.col("_pos") == F.ceil("h") + 1, F.col("_v"))).alias("v_hi"),
     )
     return per_q.select(
-        "q",
+        *groups, "q",
         (F.col("v_lo") + (F.col("h") - F.floor("h")) * (F.col("v_hi") - F.col("v_lo"))).alias("value"),
     )

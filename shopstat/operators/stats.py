@@ -137,7 +137,7 @@ def chi_square(table: DataFrame, row_col: str, col_values, alpha: float = ALPHA,
     t = t.withColumn("_dof", (F.col("_rows") - 1) * (n_cols - 1))
     terms = []
     for i, v in enumerate(cols):
-        e = F.col("_row_sum") * F.col(f"_colsum_{i}") / F.col("_n")
+        e = F.col("_row_sum").cast("double") * F.col(f"_colsum_{i}") / F.col("_n")
         dev = F.abs(F.col(v) - e)
         dev = F.when(F.col("_dof") == 1, F.greatest(dev - 0.5, F.lit(0.0))).otherwise(dev)
         terms.append(F.try_divide(dev * dev, e))

@@ -16,6 +16,8 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shopstat.functions.text import concat_key
+
 # Event roles in the click stream.
 COUNTED_EVENTS = ["click", "view", "error"]   # count, first and last time per session
 MARKER_EVENTS = ["signup", "purchase"]         # first time only
@@ -122,13 +124,18 @@ def category_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     p = products_raw(spark, sf_dir).select("masterCategory", "subCategory", "articleType").distinct()
     return p.select(
-        F.concat_ws("-", "masterCategory", "subCategory", "articleType").alias("original_name_concat"),
-        F.initcap("masterCategory").alias("masterCategory_new"),
+        concat_key(F.col("masterCategory"), F.col("subCategory"), F.col("articleType"))
+        .alias("original_name_concat"),
+        _capitalize(F.col("masterCategory")).alias("masterCategory_new"),
         F.regexp_replace("subCategory", "#", " ").alias("subCategory_new"),
-        F.initcap("articleType").alias("articleType_new"),
+        _capitalize(F.col("articleType")).alias("articleType_new"),
     )
 
 
+def _capitalize(c: Column) -> Column:
+    return F.concat(F.upper(F.substring(c, 1, 1)), F.lower(F.substring(c, 2, 1 << 30)))
+
+
 def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer")
     return c.select(
