@@ -58,9 +58,11 @@ def pyliteral_to_json(c: Column) -> Column:
     ``True`` and ``False`` in value position (after ``[`` ``,`` or ``:``
     and before ``,`` ``]`` or ``}``) become ``null``, ``true``, ``false``.
     Only safe for element schemas without free-text fields, where such a
-    word cannot occur inside a quoted string.
+    word cannot occur inside a quoted string.  Cells without any of the
+    words skip the regular expressions.
     """
     out = c
     for word, repl in (("None", "null"), ("True", "true"), ("False", "false")):
-        out = F.regexp_replace(out, rf"(?<=[\[,:]\s{{0,16}}){word}(?=\s*[,\]}}])", repl)
+        fixed = F.regexp_replace(out, rf"([\[,:]\s*){word}(?=\s*[,\]}}])", f"$1{repl}")
+        out = F.when(out.contains(word), fixed).otherwise(out)
     return out

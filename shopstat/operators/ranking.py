@@ -76,6 +76,15 @@ def _number_partitions(part_cols: list[str]):
     return run
 
 
+def _materialise(df: DataFrame) -> DataFrame:
+    """Checkpoint ``df`` (persisted meanwhile so it is computed once)."""
+    df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        df.unpersist()
+
+
 def sequence_number(df: DataFrame, partition_cols: Sequence[str], order_cols: Sequence[Column | str],
                     out_col: str = "row_number", num_partitions: int | None = None) -> DataFrame:
     """Add ``out_col`` = 1-based row number within ``partition_cols`` by ``order_cols``.
@@ -99,10 +108,10 @@ def sequence_number(df: DataFrame, partition_cols: Sequence[str], order_cols: Se
     )
     # Both consumers below (data rows and partition summaries) must read one
     # materialisation: two independent range exchanges would sample their
-    # split points separately.  A lost cached block is recomputed from the
-    # same shuffle dependency, hence with the same split points.
-    mapped = ranged.mapInPandas(_number_partitions(part_cols), out_schema).persist(
-        StorageLevel.MEMORY_AND_DISK)
+    # split points separately.  A reliable checkpoint in the shared
+    # checkpoint folder fixes the numbered rows (and survives executor loss)
+    # whatever happens to the cache later.
+    mapped = _materialise(ranged.mapInPandas(_number_partitions(part_cols), out_schema))
 
     # Offsets, computed on one row per partition.
     summary = mapped.filter(F.col(_KIND) == 1).select(

@@ -1,0 +1,45 @@
+import datetime as dt
+
+from pyspark.sql import functions as F
+
+from shopstat.functions.bands import age_category, amount_category
+
+
+def _ages(spark, rows):
+    df = spark.createDataFrame(rows, "birth date, at date")
+    return [r.c for r in df.select(age_category(F.col("birth"), F.col("at")).alias("c")).collect()]
+
+
+def test_age_band_edges(spark):
+    at = dt.date(2024, 6, 1)
+    ages = [13, 14, 17, 18, 23, 24, 27, 28, 34, 35, 49, 50, 65, 66, 98, 99]
+    rows = [(dt.date(2024 - a, 1, 1), at) for a in ages]
+    got = _ages(spark, rows)
+    assert got == [
+        "1: less than 14", "2: 14 – 17", "2: 14 – 17", "3: 18 – 23", "3: 18 – 23", "4: 24 – 27",
+        "4: 24 – 27", "5: 28 – 34", "5: 28 – 34", "6: 35 – 49", "6: 35 – 49", "7: 50 – 65",
+        "7: 50 – 65", "8: more than 65", "8: more than 65", "9: Not set",
+    ]
+
+
+def test_age_null_future_and_year_boundary(spark):
+    rows = [(None, dt.date(2024, 1, 1)),
+            (dt.date(2030, 1, 1), dt.date(2024, 1, 1)),      # future birth: negative age -> band 1
+            (dt.date(2005, 12, 31), dt.date(2024, 1, 1)),    # 31 Dec vs 1 Jan: 19 boundaries crossed
+            (dt.date(2006, 1, 1), dt.date(2023, 12, 31))]    # 17 boundaries
+    assert _ages(spark, rows) == ["9: Not set", "1: less than 14", "3: 18 – 23", "2: 14 – 17"]
+
+
+def test_amount_band_edges(spark):
+    vals = [None, -0.01, 0.0, 199999.99, 200000.0, 299999.99, 300000.0, 499999.99, 500000.0,
+            1999999.99, 2000000.0, 99999999.99, 100000000.0]
+    df = spark.createDataFrame([(v,) for v in vals], "a double")
+    got = [r.c for r in df.select(amount_category(F.col("a")).alias("c")).collect()]
+    assert got == [
+        "6: more than 100,000,000", "0: Not set", "1: less than 200,000", "1: less than 200,000",
+        "2: 200,000 - 300,000", "2: 200,000 - 300,000", "3: 300,000 - 500,000", "3: 300,000 - 500,000",
+        "4: 500,000 - 2,000,000", "4: 500,000 - 2,000,000", "5: more than 2,000,000",
+        "5: more than 2,000,000", "6: more than 100,000,000",
+    ]
+    labelled = df.select(amount_category(F.col("a"), null_label="unknown").alias("c")).first().c
+    assert labelled == "unknown"

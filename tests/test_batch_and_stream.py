@@ -1,0 +1,46 @@
+import datetime as dt
+import os
+import tempfile
+
+from pyspark.sql import functions as F
+
+from shopstat.operators.clean import TRANSACTIONS_SCHEMA
+from shopstat.plans.batch import build_tables, register_views
+from shopstat.sources import roles
+from shopstat.streaming.rollup import start_rollup, streaming_session_rollup
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_build_tables_roundtrip(spark, tmpdir_path):
+    paths = build_tables(spark, SF, os.path.join(tmpdir_path, "out"))
+    assert set(paths) >= {"rd_transactions", "rd_transactions_prods", "rd_events_add_to_cart", "rd_prods",
+                          "rd_customers", "rd_sessions", "dm_transactions", "dm_sessions"}
+    tx = spark.read.parquet(paths["rd_transactions"])
+    assert [f.dataType for f in tx.schema.fields] == [f.dataType for f in TRANSACTIONS_SCHEMA.fields]
+    assert register_views(spark, paths)
+    assert spark.sql("SELECT count(*) AS n FROM dm_transactions").first().n > 0
+
+
+def test_streaming_rollup_closes_sessions(spark):
+    base = tempfile.mkdtemp(prefix="shopstat-stream-")
+    src, sink, ckpt = (os.path.join(base, p) for p in ("src", "sink", "ckpt"))
+    t0 = dt.datetime(2024, 1, 1, 10)
+    rows = [(1, 7, "click", t0, "WEB"), (2, 7, "click", t0 + dt.timedelta(minutes=1), "WEB"),
+            (3, 7, "signup", t0 + dt.timedelta(minutes=2), "WEB"), (4, 8, "view", t0, "MOBILE"),
+            (5, 9, "click", t0 + dt.timedelta(days=1), "WEB")]       # moves the watermark on
+    schema = "event_id long, session_id long, event_name string, event_time timestamp_ntz, traffic_source string"
+    spark.createDataFrame(rows, schema).write.parquet(src)
+    stream = spark.readStream.schema(schema).parquet(src)
+    rolled = streaming_session_rollup(stream, roles.COUNTED_EVENTS, roles.MARKER_EVENTS, roles.STEP2_EVENTS,
+                                      roles.STEP3_EVENTS, gap="10 minutes", watermark="5 minutes")
+    q = start_rollup(spark, rolled, sink, ckpt, available_now=True)
+    q.awaitTermination(120)
+    # a second (empty) batch lets the advanced watermark close the sessions
+    spark.createDataFrame([(6, 10, "view", t0 + dt.timedelta(days=2), "WEB")], schema).write.mode("append").parquet(src)
+    q = start_rollup(spark, rolled, sink, ckpt, available_now=True)
+    q.awaitTermination(120)
+    out = {r.session_id: r for r in spark.read.parquet(sink).collect()}
+    assert out[7].click_cnt == 2 and out[7].signup_time == t0 + dt.timedelta(minutes=2)
+    assert out[7].session_events_cnt == 3 and out[8].view_cnt == 1
+    assert out[7].window_end == t0 + dt.timedelta(minutes=12)

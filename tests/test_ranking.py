@@ -1,0 +1,54 @@
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from shopstat.operators.ranking import exact_quantiles, sequence_number
+
+
+def test_sequence_number_matches_row_number_on_skewed_keys(spark):
+    df = spark.range(0, 20000).select(
+        F.when(F.col("id") % 3 == 0, F.lit(0)).when(F.col("id") % 7 == 0, F.lit(None))
+        .otherwise(F.col("id") % 40).alias("k"),
+        (F.hash("id") % 500).alias("o"), F.col("id"))
+    mine = sequence_number(df, ["k"], ["o", "id"], "rn").toPandas().sort_values("id").reset_index(drop=True)
+    ref = (df.withColumn("rn", F.row_number().over(Window.partitionBy("k").orderBy("o", "id")))
+           .toPandas().sort_values("id").reset_index(drop=True))
+    assert (mine["rn"] == ref["rn"]).all()
+
+
+def test_global_dense_ids(spark):
+    df = spark.range(0, 5000).select((F.col("id") * 7919 % 5000).alias("x"))
+    ids = sorted((r.x, r.n) for r in sequence_number(df, [], ["x"], "n").collect())
+    assert [n for _, n in ids] == list(range(1, 5001))
+
+
+def test_numbering_survives_cache_clear(spark):
+    df = spark.range(0, 3000).select((F.col("id") % 3).alias("k"), F.col("id"))
+    numbered = sequence_number(df, ["k"], ["id"], "rn")
+    spark.catalog.clearCache()
+    got = numbered.groupBy("k").agg(F.min("rn").alias("lo"), F.max("rn").alias("hi"),
+                                    F.countDistinct("rn").alias("d")).collect()
+    assert all(r.lo == 1 and r.hi == 1000 and r.d == 1000 for r in got)
+
+
+@settings(max_examples=10, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.integers(-50, 50)), min_size=1, max_size=30))
+def test_exact_quantiles_match_linear_interpolation(spark, values):
+    probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.997, 1.0]
+    df = spark.createDataFrame([(v,) for v in values], "v int")
+    got = {r.q: r.value for r in exact_quantiles(df, "v", probs).collect()}
+    present = [v for v in values if v is not None]
+    if not present:
+        assert got == {}
+        return
+    for q in probs:
+        assert got[q] == pytest.approx(float(np.quantile(present, q, method="linear")))
+
+
+def test_grouped_quantiles(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("a", 3.0), ("a", 4.0), ("b", 10.0)], "g string, v double")
+    got = {(r.g, r.q): r.value for r in exact_quantiles(df, "v", [0.5], ["g"]).collect()}
+    assert got == {("a", 0.5): 2.5, ("b", 0.5): 10.0}
