@@ -67,31 +67,36 @@ def _fences(df: DataFrame, col: str, k: float = 1.5) -> DataFrame:
     })
 
 
+def _fence_values(df: DataFrame, col: str, k: float):
+    """The quartiles and fences as one row of scalars (fixed size), fetched
+    once and inlined into later plans as literals."""
+    return _fences(df, col, k).first()
+
+
 def outliers_iqr(df: DataFrame, col: str, k: float = 1.5) -> DataFrame:
-    """Rows outside ``[q1 - k*iqr, q3 + k*iqr]``.  The fences are scalar
-    subqueries, evaluated once and inlined into the filter."""
-    f = _fences(df, col, k)
+    """Rows outside ``[q1 - k*iqr, q3 + k*iqr]``."""
+    f = _fence_values(df, col, k)
     x = F.col(col)
-    return df.filter((x < f.select("lower_fence").scalar()) | (x > f.select("upper_fence").scalar()))
+    if f is None or f["q1"] is None:
+        return df.limit(0)
+    return df.filter((x < F.lit(f["lower_fence"])) | (x > F.lit(f["upper_fence"])))
 
 
 def box_stats(df: DataFrame, col: str, k: float = 1.5) -> DataFrame:
     """Quartiles, fences, whiskers (extreme values inside the fences) and
-    the number of fliers."""
-    f = _fences(df, col, k)
-    lo, hi = f.select("lower_fence").scalar(), f.select("upper_fence").scalar()
+    the number of fliers: one scan of the data after the quartiles."""
+    names = ["q1", "median", "q3", "iqr", "lower_fence", "upper_fence"]
+    f = _fence_values(df, col, k)
+    vals = {n: (None if f is None else f[n]) for n in names}
     x = F.col(col).cast("double")
-    inside = (x >= lo) & (x <= hi)
+    inside = (x >= F.lit(vals["lower_fence"]).cast("double")) & (x <= F.lit(vals["upper_fence"]).cast("double"))
     stats = df.agg(
         F.min(F.when(inside, x)).alias("whisker_low"),
         F.max(F.when(inside, x)).alias("whisker_high"),
-        F.count_if(x.isNotNull() & ~inside).alias("fliers"),
-    )
-    return stats.select(
-        f.select("q1").scalar().alias("q1"), f.select("median").scalar().alias("median"),
-        f.select("q3").scalar().alias("q3"), f.select("iqr").scalar().alias("iqr"),
-        lo.alias("lower_fence"), hi.alias("upper_fence"), "whisker_low", "whisker_high", "fliers",
+        F.count_if(x.isNotNull() & ~F.coalesce(inside, F.lit(False))).alias("fliers"),
     )
+    return stats.select(*[F.lit(vals[n]).cast("double").alias(n) for n in names],
+                        "whisker_low", "whisker_high", "fliers")
 
 
 def _numeric(df: DataFrame, col: str) -> Column:
@@ -105,8 +110,8 @@ def histogram(df: DataFrame, col: str, bins: int = 50) -> DataFrame:
     Timestamps are binned on epoch seconds.  Only non-empty bins appear."""
     x = _numeric(df, col)
     v = df.select(x.alias("_x")).filter(F.col("_x").isNotNull())
-    bounds = v.agg(F.min("_x").alias("lo"), F.max("_x").alias("hi"))
-    lo, hi = bounds.select("lo").scalar(), bounds.select("hi").scalar()
+    bounds = v.agg(F.min("_x").alias("lo"), F.max("_x").alias("hi")).first()
+    lo, hi = F.lit(bounds["lo"]).cast("double"), F.lit(bounds["hi"]).cast("double")
     raw = F.floor((F.col("_x") - lo) * F.lit(bins) / (hi - lo)) + 1
     b = F.when(hi == lo, F.lit(1)).otherwise(F.least(raw, F.lit(bins))).cast("int")
     return v.select(b.alias("bin")).groupBy("bin").agg(F.count(F.lit(1)).alias("cnt"))
