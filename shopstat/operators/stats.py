@@ -46,13 +46,14 @@ def _cond(col: Column, label: str, value: Column) -> Column:
 
 
 def welch_ttest(unit_df: DataFrame, group_col: str, value_col: str, group_1: str, group_2: str,
-                metric: str = "", alpha: float = ALPHA) -> DataFrame:
+                metric: str = "", alpha: float = ALPHA, strict: bool = False) -> DataFrame:
     """Welch's unequal-variance t-test of ``value_col`` between two groups.
 
     One global aggregate computes both groups' moments in a single row (no
     join, no pivot).  t and the Welch-Satterthwaite degrees of freedom are
     column expressions; the p-value is the only Python step, on that one row.
-    If either group is empty the result has no row.
+    If either group is empty the result has no row; ``strict`` raises
+    instead (this runs the one-row aggregate once to check).
     """
     g1, g2 = group_1.strip().upper(), group_2.strip().upper()
     g = norm_label(F.col(group_col))
@@ -87,6 +88,8 @@ def welch_ttest(unit_df: DataFrame, group_col: str, value_col: str, group_1: str
         "t-test — %s\nGroups: %s vs %s\nt-statistic: %.4f\np-value: %.4f\nConclusion: %s (alpha=%s)",
         F.lit(metric), F.lit(g1), F.lit(g2), F.col("t_statistic"), F.col("p_value"), decision, F.lit(str(alpha)),
     )
+    if strict and row.select("n_1").first() is None:
+        raise ValueError(f"t-test needs both groups {g1!r} and {g2!r} to have rows")
     return row.select(
         F.lit(metric).alias("metric"), F.lit(g1).alias("group_1"), F.lit(g2).alias("group_2"),
         "n_1", "mean_1", "std_1", "n_2", "mean_2", "std_2", "t_statistic", "df", "p_value",

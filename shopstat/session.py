@@ -69,3 +69,24 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8) -> SparkSe
         shuffle_partitions=shuffle_partitions,
         extra={"spark.driver.memory": os.environ.get("SHOPSTAT_DRIVER_MEMORY", "16g")},
     )
+
+
+def cluster_conf(input_bytes: int, total_cores: int, target_partition_bytes: int = 256 << 20,
+                 broadcast_bytes: int = 64 << 20) -> dict[str, str]:
+    """Partition sizing for a cluster run over ``input_bytes`` of input.
+
+    Scan splits and shuffle partitions aim at ``target_partition_bytes``
+    each (so a task's share fits executor memory and spills rarely), with at
+    least a few waves of tasks per core; AQE then coalesces small shuffle
+    partitions and splits skewed ones around the same size.  Joins switch to
+    broadcast only below ``broadcast_bytes`` of measured (runtime) size.
+    """
+    partitions = max(total_cores * 3, -(-input_bytes // target_partition_bytes))
+    return {
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(target_partition_bytes * 4),
+        "spark.sql.autoBroadcastJoinThreshold": str(broadcast_bytes),
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": str(broadcast_bytes),
+    }

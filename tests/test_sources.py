@@ -78,3 +78,15 @@ def test_products_lookup_left_join(spark):
     assert got[1].category_level_2 == "Tops" and got[2].category_level_2 == "Other"   # null level prints nan
     assert got[3].category_level_1 is None                                            # unmatched key
     assert got[1].season == "Not set" and got[2].usage == "Casual"
+
+
+def test_bucketed_table_and_catalog(spark, tmpdir_path):
+    from shopstat.sources.sinks import tables_exist
+    df = spark.range(0, 100).selectExpr("id AS booking_id", "id % 7 AS customer_id")
+    write_table(df, os.path.join(tmpdir_path, "b"), table="bucketed_tx", bucket_by=["customer_id"],
+                num_buckets=4, sort_by=["customer_id"])
+    assert tables_exist(spark, ["bucketed_tx", "no_such_table"]) == {"bucketed_tx": True, "no_such_table": False}
+    t = spark.table("bucketed_tx")
+    plan = t.groupBy("customer_id").count()._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan          # bucketed layout satisfies the grouping: no shuffle
+    spark.sql("DROP TABLE bucketed_tx")

@@ -43,6 +43,8 @@ def test_welch_matches_reference(spark):
 def test_welch_needs_both_groups(spark):
     rows = [("A", 1.0), ("A", 2.0)]
     assert welch_ttest(_units(spark, rows), "grp", "value", "A", "B").count() == 0
+    with pytest.raises(ValueError):
+        welch_ttest(_units(spark, rows), "grp", "value", "A", "B", strict=True)
 
 
 @settings(max_examples=8, deadline=None)
