@@ -61,8 +61,7 @@ def pyliteral_to_json(c: Column) -> Column:
     word cannot occur inside a quoted string.  Cells without any of the
     words skip the regular expressions.
     """
-    out = c
+    fixed = c
     for word, repl in (("None", "null"), ("True", "true"), ("False", "false")):
-        fixed = F.regexp_replace(out, rf"([\[,:]\s*){word}(?=\s*[,\]}}])", f"$1{repl}")
-        out = F.when(out.contains(word), fixed).otherwise(out)
-    return out
+        fixed = F.regexp_replace(fixed, rf"([\[,:]\s*){word}(?=\s*[,\]}}])", f"$1{repl}")
+    return F.when(c.contains("None") | c.contains("True") | c.contains("False"), fixed).otherwise(c)

@@ -37,10 +37,16 @@ def booking_numbers(tx: DataFrame, customer_col: str = "customer_id", time_col:
     return sequence_number(tx, [customer_col], [time_col, id_col], out_col)
 
 
-def dm_transactions(tx: DataFrame, customers: DataFrame, summary: DataFrame) -> DataFrame:
+def dm_transactions(tx: DataFrame, customers: DataFrame, summary: DataFrame,
+                    with_booking_number: bool = True) -> DataFrame:
     """Transaction mart: bookings of known customers with at least one known
     product, with bands, delivery days, product counts and booking number
-    (numbered after those joins)."""
+    (numbered after those joins).
+
+    The numbering is materialised when the mart is built, so consumers that
+    do not need ``booking_number`` should pass ``with_booking_number=False``
+    and keep the plan lazy (Catalyst then prunes the unused columns too).
+    """
     c = customers.select("customer_id", "birthdate")
     joined = tx.join(c, "customer_id").join(summary, "booking_id")
     mart = joined.select(
@@ -53,4 +59,6 @@ def dm_transactions(tx: DataFrame, customers: DataFrame, summary: DataFrame) ->
         age_category(F.col("birthdate"), F.col("created_at")).alias("customer_age_category"),
         "dist_prod_id", "prods_cnt", "has_mens_prods",
     )
+    if not with_booking_number:
+        return mart
     return booking_numbers(mart, time_col="created_dt")

@@ -17,20 +17,31 @@ REPORT_QUANTILES = [0, 0.01, 0.05, 0.25, 0.50, 0.75, 0.90, 0.95, 0.97, 0.99, 0.9
 
 def column_profile(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Per column: type, non-null count, null count, exact distinct count.
-    One scan; the distinct counts share one expanded aggregate."""
+
+    One scan: the columns are unpivoted into narrow ``(column, value as
+    text)`` rows and counted by one grouped aggregate, whose distinct part
+    is reduced map-side per (column, value).  Text forms are distinct
+    exactly when values are (floating zeros are normalised first).
+    """
     cols = list(cols or df.columns)
-    aggs = []
-    for c in cols:
-        aggs += [F.count(c).alias(f"{c}__nn"), F.count_if(F.col(c).isNull()).alias(f"{c}__null"),
-                 F.countDistinct(c).alias(f"{c}__nd")]
-    wide = df.agg(*aggs)
-    rows = F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column_name"), F.lit(df.schema[c].dataType.simpleString()).alias("data_type"),
-                 F.col(f"{c}__nn").alias("non_null"), F.col(f"{c}__null").alias("nulls"),
-                 F.col(f"{c}__nd").alias("distinct_values"))
-        for c in cols
-    ])).alias("r")
-    return wide.select(rows).select("r.*")
+
+    def as_text(c: str) -> Column:
+        x = F.col(c)
+        if isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType)):
+            x = F.when(x == 0, F.lit(0.0)).otherwise(x)
+        return x.cast("string")
+
+    long = df.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("column_name"), as_text(c).alias("value")) for c in cols
+    ])).alias("r")).select("r.*")
+    counts = long.groupBy("column_name").agg(
+        F.count("value").alias("non_null"),
+        F.count_if(F.col("value").isNull()).alias("nulls"),
+        F.countDistinct("value").alias("distinct_values"),
+    )
+    types = F.create_map(*[x for c in cols for x in (F.lit(c), F.lit(df.schema[c].dataType.simpleString()))])
+    return counts.select("column_name", types[F.col("column_name")].alias("data_type"),
+                         "non_null", "nulls", "distinct_values")
 
 
 def _long(df: DataFrame, cols: Sequence[str]) -> DataFrame:

@@ -76,6 +76,11 @@ class Roles:
     def dm_transactions(self) -> DataFrame:
         return marts.dm_transactions(self.tx, self.customers, self.product_summary)
 
+    @cached_property
+    def dm_transactions_base(self) -> DataFrame:
+        """The mart without the booking number (lazy, prunable)."""
+        return marts.dm_transactions(self.tx, self.customers, self.product_summary, with_booking_number=False)
+
 
 @dataclass(frozen=True)
 class Metric:
@@ -132,7 +137,7 @@ def payment_customers(grouping: str, r: Roles) -> DataFrame:
     groups = list(GROUPINGS[grouping])
     c = r.customers.select("customer_id", F.col("segment").alias("grp"))
     if grouping == "segment":
-        base = r.dm_transactions.select("payment_method", "customer_id").join(c, "customer_id")
+        base = r.dm_transactions_base.select("payment_method", "customer_id").join(c, "customer_id")
     else:
         s = r.sessions.select("session_id", F.col("traffic_source").alias("grp"))
         base = (r.tx.select("payment_method", "session_id", "customer_id").join(s, "session_id")

@@ -69,16 +69,16 @@ def _metadata_text(line_df: DataFrame) -> DataFrame:
     This rebuilds the raw input format (one text cell per booking); the
     parsing operators in ``operators.nested`` turn it back into rows.
     """
-    item = F.struct("product_id", "quantity", "item_price")
-    rendered = F.transform(
-        F.array_sort(F.collect_list(item)),
-        lambda x: F.format_string(
-            "{'product_id': %d, 'quantity': %d, 'item_price': %s}",
-            x["product_id"], x["quantity"], x["item_price"].cast("string"),
-        ),
+    # Each element is formatted row by row (inside generated code) before
+    # grouping; elements are sorted for a deterministic text.
+    item = F.concat(
+        F.lit("{'product_id': "), F.col("product_id").cast("string"),
+        F.lit(", 'quantity': "), F.col("quantity").cast("string"),
+        F.lit(", 'item_price': "), F.col("item_price").cast("string"), F.lit("}"),
     )
-    return line_df.groupBy("booking_id").agg(
-        F.concat(F.lit("["), F.array_join(rendered, ", "), F.lit("]")).alias("product_metadata")
+    return line_df.select("booking_id", item.alias("_item")).groupBy("booking_id").agg(
+        F.concat(F.lit("["), F.array_join(F.array_sort(F.collect_list("_item")), ", "), F.lit("]"))
+        .alias("product_metadata")
     )
 
 
