@@ -5,7 +5,7 @@ so a key holding a third of the rows is numbered by a single task, and a
 global numbering (no ``p``) runs entirely in one task.  Here the rows are
 instead range-partitioned on ``(p, o)``: Spark samples split points, so a
 hot key is spread over many partitions.  Each partition numbers its rows
-locally (Arrow batches through ``mapInPandas``), reports how its last key
+locally (Arrow batches through ``mapInArrow``), reports how its last key
 ends, and a table with one row per partition (a size bound that does not
 grow with the data) turns those into offsets for keys that continue from
 earlier partitions.
@@ -18,7 +18,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import StorageLevel, TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,13 +32,13 @@ _LOCAL = "_sq_local"
 _TAIL = "_sq_tail"
 
 
-def _same_as_previous(keys: pd.DataFrame) -> pd.Series:
+def _same_as_previous(keys: pd.DataFrame, n: int) -> np.ndarray:
     """Null-safe "row key equals the previous row's key" per row."""
     if keys.shape[1] == 0:
-        return pd.Series(True, index=keys.index)
+        return np.ones(n, dtype=bool)
     prev = keys.shift(1)
     same = (keys == prev) | (keys.isna() & prev.isna())
-    return same.all(axis=1)
+    return same.all(axis=1).to_numpy().copy()
 
 
 def _key_equal(a: tuple, b: tuple) -> bool:
@@ -44,35 +46,45 @@ def _key_equal(a: tuple, b: tuple) -> bool:
 
 
 def _number_partitions(part_cols: list[str]):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Per partition: local row numbers per key run, plus one summary row.
+
+    Works on Arrow record batches; only the key columns are converted for
+    the comparisons, every other column passes through untouched.
+    """
+    extra = [_KIND, _PID, _LOCAL, _TAIL]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pid = TaskContext.get().partitionId()
         carry_key, carry_n = None, 0
-        last_template = None
-        for pdf in batches:
-            if pdf.empty:
+        last = None
+        for rb in batches:
+            n = rb.num_rows
+            if n == 0:
                 continue
-            keys = pdf[part_cols]
-            same = _same_as_previous(keys).to_numpy().copy()
+            keys = pd.DataFrame({c: rb.column(c).to_pandas() for c in part_cols})
+            same = _same_as_previous(keys, n)
             first_key = tuple(keys.iloc[0]) if part_cols else ()
             same[0] = carry_key is not None and _key_equal(first_key, carry_key)
-            gid = (~same).cumsum()
-            local = pdf.groupby(gid).cumcount().to_numpy() + 1
+            gid = np.cumsum(~same)
+            local = pd.Series(np.ones(n, dtype=np.int64)).groupby(gid).cumsum().to_numpy()
             if same[0]:
                 local[gid == 0] += carry_n
             carry_key = tuple(keys.iloc[-1]) if part_cols else ()
             carry_n = int(local[-1])
-            out = pdf.assign(**{_KIND: 0, _PID: pid, _LOCAL: local, _TAIL: None})
-            out[_TAIL] = out[_TAIL].astype("Int64")
-            last_template = pdf.iloc[-1:]
-            yield out
-        if last_template is not None:
+            last = rb.slice(n - 1, 1)
+            yield pa.RecordBatch.from_arrays(
+                list(rb.columns) + [pa.array(np.zeros(n, dtype=np.int32)), pa.array(np.full(n, pid, dtype=np.int32)),
+                                    pa.array(local), pa.nulls(n, pa.int64())],
+                names=list(rb.schema.names) + extra)
+        if last is not None:
             # one summary row per partition: its last key and how many rows
-            # of that key the partition holds
-            summary = last_template.copy()
-            other = [c for c in summary.columns if c not in part_cols]
-            for c in other:
-                summary[c] = None
-            yield summary.assign(**{_KIND: 1, _PID: pid, _LOCAL: 0, _TAIL: carry_n})
+            # of that key the partition holds; other columns null
+            cols = [last.column(i) if f.name in part_cols else pa.nulls(1, f.type)
+                    for i, f in enumerate(last.schema)]
+            yield pa.RecordBatch.from_arrays(
+                cols + [pa.array([1], pa.int32()), pa.array([pid], pa.int32()), pa.array([0], pa.int64()),
+                        pa.array([carry_n], pa.int64())],
+                names=list(last.schema.names) + extra)
     return run
 
 
@@ -111,7 +123,7 @@ def sequence_number(df: DataFrame, partition_cols: Sequence[str], order_cols: Se
     # split points separately.  A reliable checkpoint in the shared
     # checkpoint folder fixes the numbered rows (and survives executor loss)
     # whatever happens to the cache later.
-    mapped = _materialise(ranged.mapInPandas(_number_partitions(part_cols), out_schema))
+    mapped = _materialise(ranged.mapInArrow(_number_partitions(part_cols), out_schema))
 
     # Offsets, computed on one row per partition.
     summary = mapped.filter(F.col(_KIND) == 1).select(

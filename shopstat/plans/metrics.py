@@ -28,29 +28,49 @@ CLICK_EVENT = "click"
 GROUPINGS = {"segment": roles.SEGMENT_GROUPS, "source": roles.SOURCE_GROUPS}
 
 
+_LAZY_VIEWS: dict[tuple[int, str, str], tuple[SparkSession, DataFrame]] = {}
+
+
+def _shared(build):
+    """Share a purely lazy view (no action when built) per session and data
+    folder: it is a table definition, so building it once is enough.  Views
+    whose construction runs a job are not shared."""
+    name = build.__name__
+
+    def get(self: "Roles") -> DataFrame:
+        key = (id(self.spark), self.sf_dir, name)
+        hit = _LAZY_VIEWS.get(key)
+        if hit is not None and hit[0] is self.spark:
+            return hit[1]
+        df = build(self)
+        _LAZY_VIEWS[key] = (self.spark, df)
+        return df
+    return cached_property(get)
+
+
 class Roles:
-    """The shop's tables for one data folder, built lazily and once."""
+    """The shop's tables for one data folder, built lazily."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
 
-    @cached_property
+    @_shared
     def tx_raw(self) -> DataFrame:
         return roles.transactions(self.spark, self.sf_dir)
 
-    @cached_property
+    @_shared
     def tx_raw_with_lines(self) -> DataFrame:
         return roles.transactions(self.spark, self.sf_dir, with_metadata=True)
 
-    @cached_property
+    @_shared
     def tx(self) -> DataFrame:
         return clean.transactions_clean(self.tx_raw)
 
-    @cached_property
+    @_shared
     def lines(self) -> DataFrame:
         return roles.lines(self.spark, self.sf_dir)
 
-    @cached_property
+    @_shared
     def customers(self) -> DataFrame:
         return clean.customers_clean(roles.customers(self.spark, self.sf_dir))
 
@@ -59,24 +79,32 @@ class Roles:
         return clean.products_clean(roles.products_raw(self.spark, self.sf_dir),
                                     roles.category_lookup(self.spark, self.sf_dir))
 
-    @cached_property
+    @_shared
     def clicks(self) -> DataFrame:
         return sessions.clean_clicks(roles.events(self.spark, self.sf_dir))
 
-    @cached_property
+    @_shared
     def sessions(self) -> DataFrame:
         return sessions.session_rollup(self.clicks, roles.COUNTED_EVENTS, roles.MARKER_EVENTS,
                                        roles.STEP2_EVENTS, roles.STEP3_EVENTS)
 
-    @cached_property
+    @_shared
+    def product_genders(self) -> DataFrame:
+        """``prod_id, gender`` of every product.  The category lookup join
+        keeps every product row (its keys are unique) and does not touch
+        these columns, so the marts use this lean view."""
+        raw = roles.products_raw(self.spark, self.sf_dir)
+        return raw.select(F.col("id").alias("prod_id"), "gender")
+
+    @_shared
     def product_summary(self) -> DataFrame:
-        return marts.booking_product_summary(self.lines, self.products)
+        return marts.booking_product_summary(self.lines, self.product_genders)
 
     @cached_property
     def dm_transactions(self) -> DataFrame:
         return marts.dm_transactions(self.tx, self.customers, self.product_summary)
 
-    @cached_property
+    @_shared
     def dm_transactions_base(self) -> DataFrame:
         """The mart without the booking number (lazy, prunable)."""
         return marts.dm_transactions(self.tx, self.customers, self.product_summary, with_booking_number=False)
