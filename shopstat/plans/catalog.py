@@ -29,15 +29,16 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
-    """Doubles rounded half to even; decimals (money) presented as rounded
-    doubles too, so results hash the same whatever engine produced them.
-    Written tables keep their declared DECIMAL types."""
-    return df.select(*[
-        F.bround(F.col(f.name).cast("double"), digits).alias(f.name)
-        if isinstance(f.dataType, (T.DoubleType, T.FloatType, T.DecimalType))
-        else F.col(f.name)
-        for f in df.schema.fields
-    ])
+    """Presentation for cross-engine comparison: doubles rounded half to
+    even; decimals (money) as rounded doubles; dates as ISO text.  Written
+    tables keep their declared types."""
+    def present(f: T.StructField):
+        if isinstance(f.dataType, (T.DoubleType, T.FloatType, T.DecimalType)):
+            return F.bround(F.col(f.name).cast("double"), digits).alias(f.name)
+        if isinstance(f.dataType, T.DateType):
+            return F.date_format(F.col(f.name), "yyyy-MM-dd").alias(f.name)
+        return F.col(f.name)
+    return df.select(*[present(f) for f in df.schema.fields])
 
 
 def _q(build: Callable[[Roles], DataFrame]) -> Query:

@@ -1,8 +1,9 @@
 """Independent SQL (DuckDB dialect) for each catalogue query.
 
 Written directly against the raw tables, not generated from the Spark
-plans.  Double outputs are rounded half to even to 6 decimals, as the
-catalogue does.  p-values: Student's t by Simpson integration of the
+plans.  Double outputs are rounded half to even to 6 decimals and dates are
+ISO text, as the catalogue presents them; integer columns that can hold
+nulls are returned as DOUBLE, the form they take in a pandas frame.  p-values: Student's t by Simpson integration of the
 density (2,000 intervals), chi-square by the closed form for even degrees
 of freedom.
 """
@@ -352,7 +353,7 @@ def _daily_cte() -> str:
 def _rolling() -> str:
     on = ", ".join(f'"{m}"' for m in PAYMENT_METHODS)
     return _with(f"""
-SELECT day, payment_method, cnt,
+SELECT strftime(day, '%Y-%m-%d') AS day, payment_method, cnt,
   round_even(CASE WHEN count(*) OVER w = 7 THEN avg(cnt) OVER w END, 6) AS rolling_7
 FROM (UNPIVOT daily ON {on} INTO NAME payment_method VALUE cnt)
 WINDOW w AS (PARTITION BY payment_method ORDER BY day ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)
@@ -391,7 +392,7 @@ GROUP BY upper(trim(c.segment))"""),
             f'round_even(CAST(c2 AS DOUBLE) * 100.0 / sum(c2) OVER (), 0) AS "{g2}" FROM ct',
             _crosstab_cte("segment")),
         "age_category": _with(f"""
-SELECT customer_id, birthdate, CAST({age} AS INTEGER) AS age_years,
+SELECT customer_id, birthdate, CAST({age} AS DOUBLE) AS age_years,
   {_case(age, AGE_BANDS, AGE_NOT_SET)} AS age_category
 FROM cust"""),
         "amount_category": _with(
@@ -419,7 +420,8 @@ WHERE days_to_shipment IS NOT NULL GROUP BY days_to_shipment"""),
         "customers_clean": _with("SELECT * FROM cust"),
         "products_clean": _with("SELECT * FROM prods"),
         "transaction_lines": _with("""
-SELECT t.booking_id, l.product_id, l.quantity, round_even(l.item_price, 6) AS item_price,
+SELECT t.booking_id, CAST(l.product_id AS DOUBLE) AS product_id, CAST(l.quantity AS DOUBLE) AS quantity,
+  round_even(l.item_price, 6) AS item_price,
   round_even(l.quantity * l.item_price, 6) AS product_amount
 FROM tx_raw t LEFT JOIN lines l ON t.booking_id = l.booking_id"""),
         "transaction_lines_strict": _with("""
@@ -490,7 +492,7 @@ FROM cust GROUP BY 1"""),
 SELECT event_name, count(event_id) AS event_count, count(DISTINCT session_id) AS session_unique,
   round_even(count(event_id) / count(DISTINCT session_id), 1) AS ratio
 FROM ev WHERE event_name IS NOT NULL GROUP BY event_name"""),
-        "daily_method_counts": _with("SELECT * FROM daily", _daily_cte()),
+        "daily_method_counts": _with("SELECT * REPLACE (strftime(day, '%Y-%m-%d') AS day) FROM daily", _daily_cte()),
         "daily_method_rolling7": _rolling(),
         "head_orders": _with("""
 (SELECT booking_id, created_at, CAST(total_amount AS DOUBLE) AS total_amount, 'head' AS part FROM tx ORDER BY booking_id LIMIT 5)
