@@ -108,3 +108,19 @@ def test_percent_columns_sum_to_100(spark):
     pct = crosstab_percent(ct, "method", ["g1", "g2"], digits=6).collect()
     assert sum(r.g1 for r in pct) == pytest.approx(100.0, abs=1e-4)
     assert sum(r.g2 for r in pct) == pytest.approx(100.0, abs=1e-4)
+
+
+def test_ttest_plan_has_one_python_node_on_the_result(spark):
+    import __spark_entry__ as entry
+    df = entry.queries()["ttest_order_value_by_segment"](spark, "/root/testdata/sf0.001")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "BatchEvalPython" not in plan
+    # the Python node sits above the final (one-row) aggregate
+    assert plan.index("ArrowEvalPython") < plan.index("HashAggregate")
+
+
+def test_cluster_conf_sizes_partitions():
+    from shopstat.session import cluster_conf
+    conf = cluster_conf(100 << 40, 8000)
+    assert int(conf["spark.sql.shuffle.partitions"]) == (100 << 40) // (256 << 20)
+    assert int(cluster_conf(1 << 20, 64)["spark.sql.shuffle.partitions"]) == 192
