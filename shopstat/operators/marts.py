@@ -15,9 +15,10 @@ def order_quantity(lines: DataFrame, id_col: str = "booking_id") -> DataFrame:
     return lines.groupBy(id_col).agg(F.sum("quantity").cast("bigint").alias("total_quantity"))
 
 
-def order_unique_products(lines: DataFrame, id_col: str = "booking_id") -> DataFrame:
-    """Distinct products per booking."""
-    return lines.groupBy(id_col).agg(F.countDistinct("product_id").alias("unique_prods"))
+def order_unique_products(lines: DataFrame, id_col: str = "booking_id", approx: bool = False) -> DataFrame:
+    """Distinct products per booking (``approx``: HyperLogLog estimate)."""
+    agg = F.approx_count_distinct("product_id") if approx else F.countDistinct("product_id")
+    return lines.groupBy(id_col).agg(agg.alias("unique_prods"))
 
 
 def booking_product_summary(lines: DataFrame, products: DataFrame, mens_label: str = "Men") -> DataFrame:

@@ -15,13 +15,14 @@ from shopstat.operators.ranking import exact_quantiles
 REPORT_QUANTILES = [0, 0.01, 0.05, 0.25, 0.50, 0.75, 0.90, 0.95, 0.97, 0.99, 0.995, 0.997, 0.999, 1]
 
 
-def column_profile(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
+def column_profile(df: DataFrame, cols: Sequence[str] | None = None, approx: bool = False) -> DataFrame:
     """Per column: type, non-null count, null count, exact distinct count.
 
     One scan: the columns are unpivoted into narrow ``(column, value as
     text)`` rows and counted by one grouped aggregate, whose distinct part
     is reduced map-side per (column, value).  Text forms are distinct
     exactly when values are (floating zeros are normalised first).
+    ``approx`` uses HyperLogLog sketches instead (no shuffle of values).
     """
     cols = list(cols or df.columns)
 
@@ -37,7 +38,7 @@ def column_profile(df: DataFrame, cols: Sequence[str] | None = None) -> DataFram
     counts = long.groupBy("column_name").agg(
         F.count("value").alias("non_null"),
         F.count_if(F.col("value").isNull()).alias("nulls"),
-        F.countDistinct("value").alias("distinct_values"),
+        (F.approx_count_distinct("value") if approx else F.countDistinct("value")).alias("distinct_values"),
     )
     types = F.create_map(*[x for c in cols for x in (F.lit(c), F.lit(df.schema[c].dataType.simpleString()))])
     return counts.select("column_name", types[F.col("column_name")].alias("data_type"),
@@ -64,8 +65,16 @@ def describe(df: DataFrame, cols: Sequence[str]) -> DataFrame:
         "column_name", "count", "mean", "std", "min", "p25", "p50", "p75", "max")
 
 
-def quantile_table(df: DataFrame, col: str, probs: Sequence[float] = REPORT_QUANTILES) -> DataFrame:
-    return exact_quantiles(df, col, probs)
+def quantile_table(df: DataFrame, col: str, probs: Sequence[float] = REPORT_QUANTILES,
+                   approx: bool = False, accuracy: int = 10000) -> DataFrame:
+    """Quantiles of ``col``: exact (linear interpolation) by default;
+    ``approx`` uses ``percentile_approx`` (one pass, bounded memory, rank
+    error about 1/accuracy, values are sample points, no interpolation)."""
+    if not approx:
+        return exact_quantiles(df, col, probs)
+    arr = df.agg(F.percentile_approx(F.col(col).cast("double"), [float(q) for q in probs], accuracy).alias("a"))
+    return arr.select(F.explode(F.arrays_zip(F.array(*[F.lit(float(q)) for q in probs]).alias("q"),
+                                             F.col("a").alias("value"))).alias("z")).select("z.q", "z.value")
 
 
 def _fences(df: DataFrame, col: str, k: float = 1.5) -> DataFrame:

@@ -80,3 +80,16 @@ def test_ratio_head_tail_sample(spark):
     assert sorted((r.part, r.event_id) for r in ht) == [("head", 1), ("head", 2), ("tail", 3), ("tail", 4)]
     s1 = [r.event_id for r in sample_rows(ev, "event_id", 2).collect()]
     assert s1 == [r.event_id for r in sample_rows(ev, "event_id", 2).collect()] and len(s1) == 2
+
+
+def test_approximate_modes(spark):
+    from shopstat.operators.marts import order_unique_products
+    from shopstat.operators.profile import quantile_table
+    df = spark.range(0, 1001).selectExpr("id % 10 AS booking_id", "id AS product_id", "CAST(id AS DOUBLE) AS x")
+    got = {r.q: r.value for r in quantile_table(df, "x", [0.0, 0.5, 1.0], approx=True).collect()}
+    assert got[0.0] == 0.0 and got[1.0] == 1000.0 and abs(got[0.5] - 500.0) <= 1.0
+    exact = {r.booking_id: r.unique_prods for r in order_unique_products(df).collect()}
+    approx = {r.booking_id: r.unique_prods for r in order_unique_products(df, approx=True).collect()}
+    assert all(abs(approx[k] - exact[k]) <= 0.1 * exact[k] for k in exact)
+    p = {r.column_name: r.distinct_values for r in column_profile(df, approx=True).collect()}
+    assert p["booking_id"] == 10

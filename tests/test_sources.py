@@ -90,3 +90,18 @@ def test_bucketed_table_and_catalog(spark, tmpdir_path):
     plan = t.groupBy("customer_id").count()._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan          # bucketed layout satisfies the grouping: no shuffle
     spark.sql("DROP TABLE bucketed_tx")
+
+
+def test_transactions_clean_from_text(spark):
+    from shopstat.operators.clean import TRANSACTIONS_SCHEMA, transactions_clean
+    raw = spark.createDataFrame(
+        [(1, 10, 10, "2024-01-01 23:59:59.700", "2024-01-02 00:00:01", 0.0, 0.0, None, "card", "P", 123.455),
+         (2, 11, 11, "2024-01-01 10:00:00", "2024-01-03 09:00:00", 5.0, 1.5, "X", None, "F", None)],
+        "booking_id long, session_id long, customer_id long, created_at string, shipment_date_limit string, "
+        "shipment_fee double, promo_amount double, promo_code string, payment_method string, "
+        "payment_status string, total_amount double")
+    rows = {r.booking_id: r for r in transactions_clean(raw).collect()}
+    assert [f.dataType for f in transactions_clean(raw).schema.fields] == [f.dataType for f in TRANSACTIONS_SCHEMA.fields]
+    assert rows[1].created_at.microsecond == 0 and rows[1].days_to_shipment == 0
+    assert rows[1].has_free_shipping == 1 and rows[1].has_promo == 0 and float(rows[1].total_amount) == 123.46
+    assert rows[2].days_to_shipment == 1 and rows[2].promo_flag == 1 and rows[2].total_amount is None
