@@ -59,7 +59,9 @@ def transactions(spark: SparkSession, sf_dir: str, with_metadata: bool = False)
         F.col("o_totalprice").alias("total_amount"),
     )
     if with_metadata:
-        df = df.join(_metadata_text(lines(spark, sf_dir)), "booking_id", "left")
+        # one text cell per booking: grows with the data, so never broadcast
+        meta = _metadata_text(lines(spark, sf_dir)).hint("merge")
+        df = df.join(meta, "booking_id", "left")
     return df
 
 
