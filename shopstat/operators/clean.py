@@ -49,7 +49,7 @@ CUSTOMERS_SCHEMA = T.StructType([
     T.StructField("home_location", T.StringType()),
 ])
 
-LOOKUP_BROADCAST_ROWS = 1_000_000
+LOOKUP_BROADCAST_ROWS = 100_000   # four short text columns: about 10 MB
 
 
 def flag(cond: Column) -> Column:

@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from shopstat.operators import clean, marts, nested, quality, sessions
+from shopstat.operators import marts, nested, quality, sessions
 from shopstat.plans.metrics import Roles
 from shopstat.sources import roles
 from shopstat.sources.sinks import write_table

@@ -2,7 +2,6 @@ import datetime as dt
 import os
 import tempfile
 
-from pyspark.sql import functions as F
 
 from shopstat.operators.clean import TRANSACTIONS_SCHEMA
 from shopstat.plans.batch import build_tables, register_views

@@ -1,7 +1,6 @@
 import datetime as dt
 
 import pytest
-from pyspark.sql import functions as F
 
 from shopstat.operators.profile import (birth_year_counts, box_stats, column_profile, count_by, daily_counts,
                                         describe, event_ratio, head_tail, histogram, outliers_iqr,
