@@ -124,3 +124,17 @@ def test_cluster_conf_sizes_partitions():
     conf = cluster_conf(100 << 40, 8000)
     assert int(conf["spark.sql.shuffle.partitions"]) == (100 << 40) // (256 << 20)
     assert int(cluster_conf(1 << 20, 64)["spark.sql.shuffle.partitions"]) == 192
+
+
+def test_equal_values_give_no_statistic(spark):
+    rows = [("A", 2.0), ("A", 2.0), ("B", 2.0), ("B", 2.0)]
+    r = welch_ttest(_units(spark, rows), "grp", "value", "A", "B").first()
+    assert r.t_statistic is None and r.p_value is None
+    assert r.decision == "No statistically significant difference"
+
+
+def test_customer_with_two_methods_counts_in_two_cells(spark):
+    rows = spark.createDataFrame([("card", "g1", 1), ("cash", "g1", 1), ("card", "g2", 2), ("card", "g2", 2)],
+                                 "method string, grp string, customer_id long").distinct()
+    got = {r.method: (r.g1, r.g2) for r in crosstab(rows, "method", "grp", ["g1", "g2"]).collect()}
+    assert got == {"card": (1, 1), "cash": (1, 0)}
