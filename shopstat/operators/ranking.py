@@ -19,8 +19,8 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import StorageLevel, TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,24 +32,34 @@ _LOCAL = "_sq_local"
 _TAIL = "_sq_tail"
 
 
-def _same_as_previous(keys: pd.DataFrame, n: int) -> np.ndarray:
-    """Null-safe "row key equals the previous row's key" per row."""
-    if keys.shape[1] == 0:
-        return np.ones(n, dtype=bool)
-    prev = keys.shift(1)
-    same = (keys == prev) | (keys.isna() & prev.isna())
-    return same.all(axis=1).to_numpy().copy()
+def _same_as_previous(rb: pa.RecordBatch, part_cols: list[str]) -> np.ndarray:
+    """Null-safe "row key equals the previous row's key" per row, compared
+    exactly in Arrow (no float conversion of large integer keys)."""
+    n = rb.num_rows
+    same = np.ones(n, dtype=bool)
+    for c in part_cols:
+        col = rb.column(c)
+        prev = pa.concat_arrays([pa.nulls(1, col.type), col.slice(0, n - 1)])
+        eq = pc.fill_null(pc.equal(col, prev), False)
+        both_null = pc.and_(pc.is_null(col), pc.is_null(prev))
+        same &= pc.or_(eq, both_null).to_numpy(zero_copy_only=False)
+    return same
+
+
+def _key_of(rb: pa.RecordBatch, part_cols: list[str], i: int) -> tuple:
+    return tuple(rb.column(c)[i] for c in part_cols)
 
 
 def _key_equal(a: tuple, b: tuple) -> bool:
-    return all((x == y) or (pd.isna(x) and pd.isna(y)) for x, y in zip(a, b))
+    return all((not x.is_valid and not y.is_valid) or (x.is_valid and y.is_valid and x.as_py() == y.as_py())
+               for x, y in zip(a, b))
 
 
 def _number_partitions(part_cols: list[str]):
     """Per partition: local row numbers per key run, plus one summary row.
 
-    Works on Arrow record batches; only the key columns are converted for
-    the comparisons, every other column passes through untouched.
+    Works on Arrow record batches; only the key columns are read, every
+    other column passes through untouched.
     """
     extra = [_KIND, _PID, _LOCAL, _TAIL]
 
@@ -61,15 +71,20 @@ def _number_partitions(part_cols: list[str]):
             n = rb.num_rows
             if n == 0:
                 continue
-            keys = pd.DataFrame({c: rb.column(c).to_pandas() for c in part_cols})
-            same = _same_as_previous(keys, n)
-            first_key = tuple(keys.iloc[0]) if part_cols else ()
-            same[0] = carry_key is not None and _key_equal(first_key, carry_key)
+            same = _same_as_previous(rb, part_cols)
+            same[0] = carry_key is not None and _key_equal(_key_of(rb, part_cols, 0), carry_key)
             gid = np.cumsum(~same)
-            local = pd.Series(np.ones(n, dtype=np.int64)).groupby(gid).cumsum().to_numpy()
+            # position within the run: index minus the index where the run starts
+            starts = np.flatnonzero(~same)
+            idx = np.arange(n)
+            run_start = np.zeros(n, dtype=np.int64)
+            if len(starts):
+                run_start = starts[np.maximum(np.searchsorted(starts, idx, side="right") - 1, 0)]
+                run_start = np.where(idx < starts[0], 0, run_start)
+            local = (idx - run_start + 1).astype(np.int64)
             if same[0]:
                 local[gid == 0] += carry_n
-            carry_key = tuple(keys.iloc[-1]) if part_cols else ()
+            carry_key = _key_of(rb, part_cols, n - 1)
             carry_n = int(local[-1])
             last = rb.slice(n - 1, 1)
             yield pa.RecordBatch.from_arrays(

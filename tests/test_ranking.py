@@ -52,3 +52,15 @@ def test_grouped_quantiles(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("a", 3.0), ("a", 4.0), ("b", 10.0)], "g string, v double")
     got = {(r.g, r.q): r.value for r in exact_quantiles(df, "v", [0.5], ["g"]).collect()}
     assert got == {("a", 0.5): 2.5, ("b", 0.5): 10.0}
+
+
+def test_huge_integer_and_composite_keys(spark):
+    big = 2 ** 62                              # big and big + 1 are equal as float64
+    df = spark.range(0, 6000).select(
+        F.when(F.col("id") % 3 == 0, F.lit(big)).when(F.col("id") % 3 == 1, F.lit(big + 1))
+        .otherwise(F.lit(None)).alias("k"),
+        F.when(F.col("id") % 5 == 0, F.lit("a")).alias("s"), F.col("id"))
+    mine = sequence_number(df, ["k", "s"], ["id"], "rn").toPandas().sort_values("id").reset_index(drop=True)
+    ref = (df.withColumn("rn", F.row_number().over(Window.partitionBy("k", "s").orderBy("id")))
+           .toPandas().sort_values("id").reset_index(drop=True))
+    assert (mine["rn"] == ref["rn"]).all()
