@@ -145,17 +145,27 @@ def chi_square(table: DataFrame, row_col: str, col_values, alpha: float = ALPHA,
         dev = F.when(F.col("_dof") == 1, F.greatest(dev - 0.5, F.lit(0.0))).otherwise(dev)
         terms.append(F.try_divide(dev * dev, e))
     t = t.withColumn("_term", reduce(lambda x, y: x + y, terms))
+    # report lines, one per category row (the crosstab is bounded by the categories)
+    label = F.coalesce(F.col(row_col).cast("string"), F.lit("null"))
+    count_line = F.concat(label, F.lit(": "), F.concat_ws(" / ", *[F.col(v).cast("string") for v in cols]))
+    pct_line = F.concat(label, F.lit(": "), F.concat_ws(" / ", *[
+        F.format_string("%.0f%%", F.bround(F.col(v) * 100.0 / F.col(f"_colsum_{i}"), 0))
+        for i, v in enumerate(cols)]))
     res = t.agg(
         F.sum("_term").alias("statistic"),
         F.max("_dof").alias("dof"),
         F.max("_n").alias("n"),
+        F.array_join(F.array_sort(F.collect_list(count_line)), "\n").alias("_counts"),
+        F.array_join(F.array_sort(F.collect_list(pct_line)), "\n").alias("_pcts"),
     ).filter((F.col("dof") > 0))
     res = res.withColumn("p_value", chi2_p_value(F.col("statistic"), F.col("dof")))
     reject = F.col("p_value") < F.lit(alpha)
     decision = F.when(reject, F.lit("Reject independence")).otherwise(F.lit("No evidence against independence"))
+    header = " / ".join(cols)
     report = F.format_string(
-        "%s\nNull hypothesis: the distributions are independent.\nP-value of Chi-square test = %.3f\n%s",
-        F.lit(question), F.col("p_value"),
+        "%s\nNumber of customers (" + header + "):\n%s\nShare of customers within each column (" + header
+        + "):\n%s\nNull hypothesis: the distributions are independent.\nP-value of Chi-square test = %.3f\n%s",
+        F.lit(question), F.col("_counts"), F.col("_pcts"), F.col("p_value"),
         F.when(reject, F.lit("We reject the null hypothesis."))
         .otherwise(F.lit("We fail to reject the null hypothesis.")),
     )

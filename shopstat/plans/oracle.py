@@ -234,6 +234,7 @@ ct AS (
 def chi2_sql(grouping: str) -> str:
     title = "Segment" if grouping == "segment" else "Traffic source"
     question = f"Does the share of payment methods differ across {title}?"
+    hdr = " / ".join(roles.SEGMENT_GROUPS if grouping == "segment" else roles.SOURCE_GROUPS)
     nl = "' || chr(10) || '"
     extra = _crosstab_cte(grouping) + """,
 tot AS (SELECT CAST(sum(c1) AS DOUBLE) AS s1, CAST(sum(c2) AS DOUBLE) AS s2,
@@ -242,13 +243,19 @@ dofs AS (SELECT (r - 1) * ((CASE WHEN s1 > 0 THEN 1 ELSE 0 END) + (CASE WHEN s2
            AS dof FROM tot),
 terms AS (
   SELECT CAST(ct.c1 + ct.c2 AS DOUBLE) * tot.s1 / tot.n AS e1, CAST(ct.c1 + ct.c2 AS DOUBLE) * tot.s2 / tot.n AS e2,
-    ct.c1, ct.c2, dofs.dof, tot.n
+    ct.c1, ct.c2, dofs.dof, tot.n, tot.s1, tot.s2, coalesce(ct.payment_method, 'null') AS m_label
   FROM ct, tot, dofs),
 x AS (
   SELECT sum(power(CASE WHEN dof = 1 THEN greatest(abs(c1 - e1) - 0.5, 0) ELSE abs(c1 - e1) END, 2) / e1
            + power(CASE WHEN dof = 1 THEN greatest(abs(c2 - e2) - 0.5, 0) ELSE abs(c2 - e2) END, 2) / e2)
            AS statistic,
-    max(dof) AS dof, max(n) AS n
+    max(dof) AS dof, max(n) AS n,
+    string_agg(m_label || ': ' || CAST(c1 AS VARCHAR) || ' / ' || CAST(c2 AS VARCHAR), chr(10)
+               ORDER BY m_label || ': ' || CAST(c1 AS VARCHAR) || ' / ' || CAST(c2 AS VARCHAR)) AS counts,
+    string_agg(m_label || ': ' || printf('%.0f%%', round_even(c1 * 100.0 / s1, 0)) || ' / '
+                 || printf('%.0f%%', round_even(c2 * 100.0 / s2, 0)), chr(10)
+               ORDER BY m_label || ': ' || printf('%.0f%%', round_even(c1 * 100.0 / s1, 0)) || ' / '
+                 || printf('%.0f%%', round_even(c2 * 100.0 / s2, 0))) AS pcts
   FROM terms),
 px AS (
   SELECT *, exp(-statistic / 2) * list_sum(list_transform(range(0, CAST(dof / 2 AS BIGINT)),
@@ -259,8 +266,9 @@ px AS (
 SELECT CAST(n AS BIGINT) AS n, round_even(statistic, 6) AS statistic, CAST(dof AS BIGINT) AS dof,
   round_even(p, 6) AS p_value,
   CASE WHEN p < 0.05 THEN 'Reject independence' ELSE 'No evidence against independence' END AS decision,
-  printf('%s{nl}Null hypothesis: the distributions are independent.{nl}P-value of Chi-square test = %.3f{nl}%s',
-         '{question}', p,
+  printf('%s{nl}Number of customers ({hdr}):{nl}%s{nl}Share of customers within each column ({hdr}):{nl}%s{nl}'
+         'Null hypothesis: the distributions are independent.{nl}P-value of Chi-square test = %.3f{nl}%s',
+         '{question}', counts, pcts, p,
          CASE WHEN p < 0.05 THEN 'We reject the null hypothesis.'
               ELSE 'We fail to reject the null hypothesis.' END) AS report
 FROM px
