@@ -60,3 +60,11 @@ def test_event_attributes_declared_and_open(spark):
     open_keys = event_attributes(ev, "signup").orderBy("event_id").collect()
     assert open_keys[0].attributes == {"k": "5", "x": "a"} and open_keys[1].attributes == {"x": "b"}
     assert open_keys[2].attributes is None
+
+
+def test_apostrophe_inside_string_field(spark):
+    schema = T.StructType([T.StructField("name", T.StringType()), T.StructField("product_id", T.LongType())])
+    df = spark.createDataFrame([("[{'name': \"O'Neil None\", 'product_id': 1}, {'name': 'plain', 'product_id': None}]",)],
+                               "t string")
+    items = df.select(parse_items(F.col("t"), schema).alias("a")).first().a
+    assert [(i.name, i.product_id) for i in items] == [("O'Neil None", 1), ("plain", None)]
