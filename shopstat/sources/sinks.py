@@ -63,5 +63,23 @@ def write_table(df: DataFrame, path: str | None = None, table: str | None = None
         w.save(path)
 
 
+def write_jdbc(df: DataFrame, url: str, table: str, batch_size: int = 10_000, mode: str = "overwrite",
+               properties: dict[str, str] | None = None, num_connections: int | None = None,
+               truncate: bool = True) -> None:
+    """Replace a database table through JDBC, inserting in batches.
+
+    Each task writes its partition in one transaction with ``batch_size``
+    rows per round trip; ``num_connections`` caps concurrent writers by
+    coalescing first.  With ``truncate`` an existing table keeps its
+    definition (and keys/indexes) and only its rows are replaced.
+    """
+    out = df.coalesce(num_connections) if num_connections else df
+    w = (out.write.format("jdbc").mode(mode).option("url", url).option("dbtable", table)
+         .option("batchsize", str(batch_size)).option("truncate", str(truncate).lower()))
+    for k, v in (properties or {}).items():
+        w = w.option(k, v)
+    w.save()
+
+
 def tables_exist(spark: SparkSession, names: Sequence[str]) -> dict[str, bool]:
     return {n: spark.catalog.tableExists(n) for n in names}
