@@ -3,9 +3,9 @@
 Written directly against the raw tables, not generated from the Spark
 plans.  Double outputs are rounded half to even to 6 decimals and dates are
 ISO text, as the catalogue presents them; integer columns that can hold
-nulls are returned as DOUBLE, the form they take in a pandas frame.  p-values: Student's t by Simpson integration of the
-density (2,000 intervals), chi-square by the closed form for even degrees
-of freedom.
+nulls are returned as DOUBLE, the form they take in a pandas frame.
+p-values: Student's t by Simpson integration of the density (2,000
+intervals), chi-square by the closed form for even degrees of freedom.
 """
 
 from __future__ import annotations
