@@ -64,3 +64,13 @@ def test_huge_integer_and_composite_keys(spark):
     ref = (df.withColumn("rn", F.row_number().over(Window.partitionBy("k", "s").orderBy("id")))
            .toPandas().sort_values("id").reset_index(drop=True))
     assert (mine["rn"] == ref["rn"]).all()
+
+
+def test_hot_key_is_spread_over_range_partitions(spark):
+    # the first step of sequence_number: range partitioning on (key, order)
+    df = spark.range(0, 30000).select(
+        F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id") % 100).alias("k"), F.col("id"))
+    parts = (df.repartitionByRange(8, "k", "id").groupBy(F.spark_partition_id().alias("p"))
+             .agg(F.count_if(F.col("k") == 0).alias("hot"), F.count("*").alias("n")).collect())
+    assert sum(1 for r in parts if r.hot > 0) >= 2          # the hot key spans several tasks
+    assert max(r.n for r in parts) < 2 * 30000 / 8         # no task gets much more than its share
