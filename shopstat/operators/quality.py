@@ -66,8 +66,10 @@ def placeholder_values(df: DataFrame, cols: Sequence[str], tokens=PLACEHOLDER_TO
 
 def orphan_lines(lines: DataFrame, products: DataFrame, key: str = "product_id",
                  product_key: str = "prod_id") -> DataFrame:
-    """Lines whose product is not in the product table (null matches null)."""
-    p = products.select(F.col(product_key).alias("_pk")).distinct()
+    """Lines whose product is not in the product table (null matches null).
+    An anti join keeps or drops each line once whatever the duplicates on
+    the product side, so no de-duplication (and its shuffle) is needed."""
+    p = products.select(F.col(product_key).alias("_pk"))
     return lines.join(p, lines[key].eqNullSafe(p["_pk"]), "left_anti")
 
 
