@@ -136,7 +136,7 @@ def build_queries() -> dict[str, Query]:
         "value_quality": _q(lambda r: quality.value_quality(r.lines)),
         "placeholder_values": _q(lambda r: quality.placeholder_values(
             r.tx, ["payment_method", "payment_status", "promo_code"])),
-        "orphan_lines": _q(lambda r: quality.orphan_lines(r.lines, r.products)),
+        "orphan_lines": _q(lambda r: quality.orphan_lines(r.lines, r.product_genders)),
         "duplicate_lines": _q(lambda r: quality.duplicate_members(r.lines, ["booking_id", "product_id"])),
         "reconcile_totals": _q(lambda r: quality.reconcile_totals(r.tx, r.lines)),
         "once_per_session": _q(lambda r: quality.once_per_session(r.clicks, roles.BOOKING_EVENT)),
