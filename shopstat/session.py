@@ -18,6 +18,8 @@ BASE_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # checkpoint files of numbered rows are removed once no plan refers to them
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -50,12 +52,15 @@ def get_session(
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this setting names a shared file system folder and is used
-    as is.  Only when it is unset (local runs, tests) a scratch folder is
-    created so ``DataFrame.checkpoint`` works.
+    On a cluster this setting must name a shared file system folder and is
+    used as is; a missing setting is an error there.  Only for a local
+    master (tests, local runs) a scratch folder is created when it is unset.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
         current = tempfile.mkdtemp(prefix="shopstat-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)
     try:
