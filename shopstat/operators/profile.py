@@ -98,7 +98,7 @@ def outliers_iqr(df: DataFrame, col: str, k: float = 1.5) -> DataFrame:
     f = _fence_values(df, col, k)
     x = F.col(col)
     if f is None or f["q1"] is None:
-        return df.limit(0)
+        return df.filter(F.lit(False))          # no values, no fences, no outliers
     return df.filter((x < F.lit(f["lower_fence"])) | (x > F.lit(f["upper_fence"])))
 
 
