@@ -105,3 +105,24 @@ def test_transactions_clean_from_text(spark):
     assert rows[1].created_at.microsecond == 0 and rows[1].days_to_shipment == 0
     assert rows[1].has_free_shipping == 1 and rows[1].has_promo == 0 and float(rows[1].total_amount) == 123.46
     assert rows[2].days_to_shipment == 1 and rows[2].promo_flag == 1 and rows[2].total_amount is None
+
+
+def test_read_lookup_csv_and_parquet(spark, tmpdir_path):
+    from shopstat.sources.files import read_lookup
+    path = os.path.join(tmpdir_path, "lookup.csv")
+    with open(path, "w") as f:
+        f.write("original_name_concat,masterCategory_new\nA-B-C,New A\n")
+    csv = read_lookup(spark, path)
+    assert [tuple(r) for r in csv.collect()] == [("A-B-C", "New A")]
+    pq = os.path.join(tmpdir_path, "lookup.parquet")
+    csv.write.parquet(pq)
+    assert read_lookup(spark, pq, fmt="parquet").count() == 1
+
+
+def test_command_line(spark, capsys):
+    from shopstat.__main__ import main
+    assert main(["list"]) == 0
+    listed = capsys.readouterr().out.split()
+    assert "dm_transactions" in listed and len(listed) == 56
+    assert main(["test", "1", "segment", "/root/testdata/sf0.001"]) == 0
+    assert "t-statistic" in capsys.readouterr().out
