@@ -52,3 +52,17 @@ def test_streaming_rollup_closes_sessions(spark):
     assert out[7].click_cnt == 2 and out[7].signup_time == t0 + dt.timedelta(minutes=2)
     assert out[7].session_events_cnt == 3 and out[8].view_cnt == 1
     assert out[7].window_end == t0 + dt.timedelta(minutes=12)
+
+
+def test_package_is_shipped_to_workers(spark):
+    import zipfile
+
+    from shopstat.session import ship_package
+    ship_package(spark)                                  # idempotent per SparkContext
+    assert getattr(spark.sparkContext, "_shopstat_shipped", False)
+    zips = [p for p in spark.sparkContext._python_includes if p.endswith("shopstat.zip")]
+    assert len(zips) == 1
+    from pyspark import SparkFiles
+    with zipfile.ZipFile(os.path.join(SparkFiles.getRootDirectory(), zips[0])) as z:
+        names = set(z.namelist())
+    assert {"shopstat/operators/ranking.py", "shopstat/functions/distributions.py"} <= names
