@@ -26,6 +26,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from shopstat.session import ensure_checkpoint_dir
+
 _KIND = "_sq_kind"       # 0 = data row, 1 = partition summary row
 _PID = "_sq_pid"
 _LOCAL = "_sq_local"
@@ -107,6 +109,7 @@ def _materialise(df: DataFrame) -> DataFrame:
     """Reliable checkpoint of ``df``.  The write re-runs the cheap Arrow
     numbering over the same shuffle output (same split points), which
     measured faster than caching the rows first."""
+    ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

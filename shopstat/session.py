@@ -46,7 +46,6 @@ def get_session(
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
     ship_package(spark)
     return spark
 
@@ -79,24 +78,23 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
+    """The shared folder for checkpoints and scratch tables.
 
-    On a cluster this setting must name a shared file system folder and is
-    used as is; a missing setting is an error there.  Only for a local
-    master (tests, local runs) a scratch folder is created when it is unset.
+    ``spark.checkpoint.dir`` decides; else a folder that the caller has set
+    on the context.  Where neither is set a scratch folder is made, but only
+    for a local master (tests, local runs): on a cluster a machine-local
+    folder would be wrong, so that is an error there, raised by the first
+    query that needs the folder.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
-    if not current:
-        master = spark.conf.get("spark.master", "")
-        if not master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
-        current = tempfile.mkdtemp(prefix="shopstat-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", current)
-    try:
-        spark.sparkContext.setCheckpointDir(current)
-    except Exception:  # noqa: BLE001 - no SparkContext on this client; the conf is enough
-        pass
-    return current
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        if not current:
+            if not sc.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
+            current = tempfile.mkdtemp(prefix="shopstat-ckpt-")
+        sc.setCheckpointDir(current)
+    return current or sc.getCheckpointDir()
 
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
