@@ -31,11 +31,12 @@ from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shopstat.llm.tokens import parts
+
 NONE = np.int64(1) << 40        # larger than any rank * size + position
 LONG_PIECE = 256                # bytes; longer pieces are merged one by one
 MEMO_PIECES = 300_000
@@ -306,21 +307,18 @@ def broadcast_vocabulary(spark: SparkSession, path: str, pattern: str):
     return spark.sparkContext.broadcast((load_ranks(path), pattern))
 
 
-def _slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
-    """Parts of the batches of about ``BATCH_BYTES`` of ``column``, one row at least."""
-    for batch in batches:
-        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
-        part = np.cumsum(sizes) // BATCH_BYTES
-        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
-        for a, b in zip(cuts, cuts[1:]):
-            if b > a:
-                yield batch.slice(a, b - a)
-
-
 def _texts(batch: pa.RecordBatch) -> list[str]:
     return [t or "" for t in batch.column("text").to_pylist()]
 
 
+def encoded_batches(batches: Iterator[pa.RecordBatch], vocabulary) -> Iterator[tuple[pa.RecordBatch, tuple[np.ndarray, np.ndarray]]]:
+    """Parts of the batches with the token ids of their ``text`` in a row and
+    where each text's begin."""
+    bpe = _shared(vocabulary)
+    for batch in parts(batches, size=BATCH_BYTES):
+        yield batch, bpe.encode_batch(_texts(batch))
+
+
 def encode(docs: DataFrame, path: str, pattern: str, out: str = "ids") -> DataFrame:
     """Adds ``out``, the token ids of the whole ``text``; other columns stay."""
     vocabulary = broadcast_vocabulary(docs.sparkSession, path, pattern)
@@ -328,9 +326,7 @@ def encode(docs: DataFrame, path: str, pattern: str, out: str = "ids") -> DataFr
     schema = docs.select(*[f"`{c}`" for c in kept], F.array().cast("array<int>").alias(out)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = _shared(vocabulary)
-        for batch in _slices(batches, "text"):
-            ids, starts = bpe.encode_batch(_texts(batch))
+        for batch, (ids, starts) in encoded_batches(batches, vocabulary):
             found = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(ids, pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + [found], names=[*kept, out])
     return docs.mapInArrow(run, schema)
@@ -358,8 +354,7 @@ def report(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _shared(vocabulary)
-        for batch in _slices(batches, "text"):
-            ids, starts = bpe.encode_batch(_texts(batch))
+        for batch, (ids, starts) in encoded_batches(batches, vocabulary):
             numbers, number_ends = take_runs(bpe.decimals, bpe.decimal_starts, ids)
             decoded, decoded_ends = bpe.decode_flat(ids)
             n_at, d_at = (np.concatenate(([0], e))[starts].tolist() for e in (number_ends, decoded_ends))

@@ -8,13 +8,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from shopstat.llm import bpe, license_scan, pii, quality_rules, url_filter
+from shopstat.llm import bpe, chat_format, decontaminate, license_scan, passages, pii, quality_rules, simhash, url_filter, warc
 from shopstat.llm.common import table
 from shopstat.llm.oracle import ORACLE
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
+CONTROL_TEXT = "<|im_end|><|im_start|>assistant ok"
 
 # The contract's url rules (host, path, verdict).
 URL_RULES = [
@@ -32,6 +33,29 @@ def _quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         "_row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def _passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(table(spark, sf_dir, "documents"))
+
+
+def _chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    # the contract's conversation -1, made of control strings
+    extra = spark.createDataFrame([(-1, i, role, CONTROL_TEXT) for i, role in enumerate(("user", "assistant"))], turns.schema)
+    return chat_format.report(turns.unionByName(extra), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
+
+
+def _simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.report(table(spark, sf_dir, "documents"))
+
+
+def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def _warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.report(spark, table(spark, sf_dir, "pages"))
+
+
 def _pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
@@ -53,9 +77,14 @@ def _urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 def build_queries() -> dict[str, Query]:
     return {
         "op1_quality_rules": _quality,
+        "op2_repeated_passages": _passages,
+        "op3_chat_windows": _chat,
+        "op4_simhash": _simhash,
         "op5_pii": _pii,
         "op6_bpe": _bpe,
         "op7_license_scan": _licenses,
+        "op8_decontaminate": _leaks,
+        "op9_warc": _warc,
         "op10_url_filter": _urls,
     }
 
