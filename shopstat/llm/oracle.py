@@ -65,7 +65,24 @@ SELECT page_id, host, path,
   coalesce((SELECT max_by(v, length(rh) * 10000 + length(rp)) FROM rules WHERE (host = rh OR host LIKE '%.' || rh) AND starts_with(path, rp)), 'allow') AS verdict
 FROM parts"""
 
+# base32 of the SHA-1: five bits a digit
+_WARC = """
+WITH p AS (SELECT row_number() OVER () AS rid, page_id, coalesce(html, '') AS html FROM pages),
+bits AS (SELECT rid, list_aggregate(list_transform(string_split(sha1(html), ''),
+    lambda d: (['0000','0001','0010','0011','0100','0101','0110','0111','1000','1001','1010','1011','1100','1101','1110','1111'])
+      [strpos('0123456789abcdef', d)]), 'string_agg', '') AS b FROM p),
+dig AS (SELECT rid, list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + 16 * CAST(substr(b, 5 * i + 1, 1) AS INT) + 8 * CAST(substr(b, 5 * i + 2, 1) AS INT) + 4 * CAST(substr(b, 5 * i + 3, 1) AS INT)
+      + 2 * CAST(substr(b, 5 * i + 4, 1) AS INT) + CAST(substr(b, 5 * i + 5, 1) AS INT), 1)), 'string_agg', '') AS digest FROM bits),
+o AS (SELECT p.*, row_number() OVER (PARTITION BY html ORDER BY page_id NULLS LAST, rid) AS n,
+    min(page_id) OVER (PARTITION BY html) AS least FROM p)
+SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, digest AS payload_digest,
+  CASE WHEN n = 1 THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN n > 1 THEN least END AS refers_to, true AS intact
+FROM o JOIN dig USING (rid)"""
+
 ORACLE: dict[str, str] = {
     "op1_quality_rules": _quality(),
+    "op9_warc": _WARC,
     "op10_url_filter": _URLS,
 }

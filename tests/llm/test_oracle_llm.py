@@ -1,0 +1,37 @@
+"""Queries against their DuckDB SQL on the smallest folder, and their columns."""
+
+import pytest
+
+import __spark_entry__ as entry
+from shopstat.llm.oracle import ORACLE
+from tests.llm.helpers import SF, duck
+
+QUERIES = entry.queries()
+
+
+def _norm(df):
+    df = df[sorted(df.columns)].astype(str).replace({"None": "", "nan": "", "<NA>": ""})
+    return df.sort_values(list(df.columns)).reset_index(drop=True)
+
+
+@pytest.mark.parametrize("key", sorted(ORACLE))
+def test_query_matches_sql(spark, key):
+    got, want = QUERIES[key](spark, SF).toPandas(), duck().execute(ORACLE[key]).df()
+    assert sorted(got.columns) == sorted(want.columns)
+    for c in got.columns:
+        if str(want[c].dtype).startswith("float") and want[c].isna().any():
+            want[c], got[c] = want[c].astype("Int64"), got[c].astype("Int64")
+    assert _norm(got).equals(_norm(want))
+
+
+@pytest.mark.parametrize("key, first", [
+    ("op1_quality_rules", ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]),
+    ("op3_chat_windows", ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]),
+    ("op4_simhash", ["doc_id", "fingerprint", "component_id"]),
+    ("op5_pii", ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"]),
+    ("op6_bpe", ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]),
+    ("op9_warc", ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]),
+    ("op10_url_filter", ["page_id", "host", "path", "rule", "verdict"]),
+])
+def test_contract_columns(spark, key, first):
+    assert QUERIES[key](spark, SF).columns[:len(first)] == first
