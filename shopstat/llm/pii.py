@@ -159,15 +159,21 @@ def disclosing_terms(docs: DataFrame) -> DataFrame:
     n_e = (found.select("entity", "doc_id").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
            .filter(F.col("n_e") >= MIN_CONTEXTS))
     near = found.select("entity", "doc_id", "context", F.explode("terms").alias("term"))
+    ic = F.log2(F.lit(float(max(n_docs, 1))) / F.col("n_e"))
+
+    def share(n_t: Column) -> Column:
+        return F.when(ic > 0, 1 + F.log2(F.least(F.col("n_te") / n_t, F.lit(1.0))) / ic).otherwise(F.lit(0.0))
+    # documents with the term near any entity: at most n(t), so a term whose share is too small with
+    # them (most common words) is too small with all documents and needn't be counted in the corpus
+    n_near = near.groupBy("term").agg(F.countDistinct("doc_id").alias("n_near"))
     pairs = (near.groupBy("entity", "term").agg(F.countDistinct("context").alias("contexts"),
                                                 F.countDistinct("doc_id").alias("n_te"))
-             .filter(F.col("contexts") >= MIN_CONTEXTS).join(n_e, "entity"))
+             .filter(F.col("contexts") >= MIN_CONTEXTS).join(n_e, "entity").join(n_near, "term")
+             .filter(share(F.col("n_near")) >= GENERALISE))
     pairs = materialise(pairs.select("term", "n_te", "n_e"), "pii-pairs")
     candidates = materialise(pairs.select("term").distinct(), "pii-candidates")
     n_t = (_doc_terms(docs).join(candidates, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_t")))
-    ic = F.log2(F.lit(float(max(n_docs, 1))) / F.col("n_e"))
-    share = F.when(ic > 0, 1 + F.log2(F.least(F.col("n_te") / F.col("n_t"), F.lit(1.0))) / ic).otherwise(F.lit(0.0))
-    scored = pairs.join(n_t, "term").groupBy("term").agg(F.max(share).alias("disclosure"))
+    scored = pairs.join(n_t, "term").groupBy("term").agg(F.max(share(F.col("n_t"))).alias("disclosure"))
     return scored.filter(F.col("disclosure") >= GENERALISE).select(
         "term", "disclosure", F.when(F.col("disclosure") >= REMOVE, "remove").otherwise("generalise").alias("kind"))
 
