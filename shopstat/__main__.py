@@ -1,6 +1,7 @@
 """Command line.
 
     python -m shopstat build <data_dir> <out_dir>     write every table and mart, check keys
+    python -m shopstat load <raw_dir> <lookup_file> <out_dir>   the same from the shop's own files
     python -m shopstat list                           list catalogue queries
     python -m shopstat show <query> <data_dir> [n]    print the first rows of a query
     python -m shopstat test <metric 1-5> <segment|source> <data_dir>   print a t-test report
@@ -33,6 +34,13 @@ def main(argv: list[str]) -> int:
         for name, path in build_tables(spark, args[0], args[1]).items():
             print(f"{name}\t{path}")
         return 0
+    if cmd == "load":
+        from shopstat.plans.batch import build_tables
+        from shopstat.sources.shop import ShopFiles
+        fmt = "parquet" if args[1].endswith(".parquet") else "csv"
+        for name, path in build_tables(spark, ShopFiles(spark, args[0], args[1], fmt), args[2]).items():
+            print(f"{name}\t{path}")
+        return 0
     if cmd == "show":
         n = int(args[2]) if len(args) > 2 else 20
         build_queries()[args[0]](spark, args[1]).show(n, truncate=False)

@@ -1,64 +1,87 @@
 """Tail probabilities of Student's t and chi-square distributions.
 
 Used only on the one-row result of a test, after Spark has reduced the data
-to moments or counts.  Pure Python (``math``) wrapped in pandas UDFs; no
-SciPy dependency.
+to moments or counts.  Plain Python (``math``) wrapped in pandas UDFs.
 
-- t: two-sided p = I_x(df/2, 1/2) with x = df / (df + t^2), where I is the
-  regularised incomplete beta function (continued fraction, modified Lentz).
-- chi-square: upper tail Q(k/2, x/2) of the regularised gamma function
-  (series below a+1, continued fraction above).
+- t: two-sided p = I_x(df/2, 1/2), x = df / (df + t^2), the regularised
+  incomplete beta function by its continued fraction (DLMF 8.17.22).
+- chi-square: upper tail Q(k/2, x/2) of the regularised gamma function by
+  its power series (DLMF 8.7.1) or continued fraction (DLMF 8.9.2).
+
+Continued fractions are evaluated from the inside out at a depth that is
+doubled until two results agree; a fraction that doesn't settle is an error.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_EPS = 1e-15
-_TINY = 1e-300
-_MAX_ITER = 10000
-
-
-def _beta_cont_fraction(a: float, b: float, x: float) -> float:
-    qab, qap, qam = a + b, a + 1.0, a - 1.0
-    c, d = 1.0, 1.0 - qab * x / qap
-    d = 1.0 / (d if abs(d) > _TINY else _TINY)
-    h = d
-    for m in range(1, _MAX_ITER + 1):
-        m2 = 2 * m
-        num = m * (b - m) * x / ((qam + m2) * (a + m2))
-        d = 1.0 + num * d
-        d = 1.0 / (d if abs(d) > _TINY else _TINY)
-        c = 1.0 + num / c
-        c = c if abs(c) > _TINY else _TINY
-        h *= d * c
-        num = -(a + m) * (qab + m) * x / ((a + m2) * (qap + m2))
-        d = 1.0 + num * d
-        d = 1.0 / (d if abs(d) > _TINY else _TINY)
-        c = 1.0 + num / c
-        c = c if abs(c) > _TINY else _TINY
-        step = d * c
-        h *= step
-        if abs(step - 1.0) < _EPS:
-            break
-    return h
-
-
-def reg_incomplete_beta(a: float, b: float, x: float) -> float:
+_AGREE = 1e-14
+_DEPTHS = [1 << i for i in range(5, 23)]
+
+
+def _settled(at_depth: Callable[[int], float]) -> float:
+    """The value at growing depths, once two in a row agree."""
+    last = None
+    for depth in _DEPTHS:
+        value = at_depth(depth)
+        if last is not None and abs(value - last) <= _AGREE * abs(value):
+            return value
+        last = value
+    raise ArithmeticError("a continued fraction did not settle")
+
+
+def _log_beta(a: float, b: float) -> float:
+    """ln B(a, b); for one large argument the difference of its log gammas
+    comes from the asymptotic series (DLMF 5.11.13), as subtracting two large
+    numbers would leave no digits."""
+    small, large = sorted((a, b))
+    if large < 1e3 or small > 100:
+        return math.lgamma(a) + math.lgamma(b) - math.lgamma(a + b)
+    # ln G(z + s) - ln G(z) for large z
+    s, z = small, large
+    rise = s * math.log(z) + s * (s - 1) / (2 * z) - s * (s - 1) * (2 * s - 1) / (12 * z * z) + (s * (s - 1)) ** 2 / (12 * z ** 3)
+    return math.lgamma(s) - rise
+
+
+def _beta_fraction(a: float, b: float, x: float) -> float:
+    """1 / (1 + d1 / (1 + d2 / ...)) of DLMF 8.17.22."""
+    def part(n: int) -> float:
+        m, odd = divmod(n, 2)
+        if odd:
+            return -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        return m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+
+    def at_depth(depth: int) -> float:
+        inner = 1.0
+        for n in range(depth, 0, -1):
+            inner = 1.0 + part(n) / inner
+        return 1.0 / inner
+    return _settled(at_depth)
+
+
+def _beta_pair(a: float, b: float, x: float, rest: float) -> float:
+    """I_x(a, b), given x and 1 - x both with all their digits."""
     if x <= 0.0:
         return 0.0
-    if x >= 1.0:
+    if rest <= 0.0:
         return 1.0
-    log_front = (math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)
-                 + a * math.log(x) + b * math.log1p(-x))
+    log_x = math.log(x) if x < 0.5 else math.log1p(-rest)
+    log_rest = math.log(rest) if rest < 0.5 else math.log1p(-x)
+    front = math.exp(a * log_x + b * log_rest - _log_beta(a, b))
     if x < (a + 1.0) / (a + b + 2.0):
-        return math.exp(log_front) * _beta_cont_fraction(a, b, x) / a
-    return 1.0 - math.exp(log_front) * _beta_cont_fraction(b, a, 1.0 - x) / b
+        return front * _beta_fraction(a, b, x) / a
+    return 1.0 - front * _beta_fraction(b, a, rest) / b
+
+
+def reg_incomplete_beta(a: float, b: float, x: float) -> float:
+    return _beta_pair(a, b, x, 1.0 - x)
 
 
 def t_two_sided_p(t: float | None, df: float | None) -> float | None:
@@ -67,40 +90,28 @@ def t_two_sided_p(t: float | None, df: float | None) -> float | None:
         return None
     if math.isinf(t):
         return 0.0
-    return reg_incomplete_beta(df / 2.0, 0.5, df / (df + t * t))
+    return _beta_pair(df / 2.0, 0.5, df / (df + t * t), t * t / (df + t * t))
 
 
 def reg_upper_gamma(a: float, x: float) -> float:
     """Q(a, x) = Gamma(a, x) / Gamma(a)."""
     if x <= 0.0:
         return 1.0
-    log_front = -x + a * math.log(x) - math.lgamma(a)
+    front = math.exp(a * math.log(x) - x - math.lgamma(a))
     if x < a + 1.0:
-        term = total = 1.0 / a
-        ap = a
-        for _ in range(_MAX_ITER):
-            ap += 1.0
-            term *= x / ap
+        total, term, n = 0.0, 1.0 / a, 0
+        while term > total * _AGREE / 100:
             total += term
-            if abs(term) < abs(total) * _EPS:
-                break
-        return 1.0 - total * math.exp(log_front)
-    b = x + 1.0 - a
-    c = 1.0 / _TINY
-    d = 1.0 / b
-    h = d
-    for i in range(1, _MAX_ITER + 1):
-        an = -i * (i - a)
-        b += 2.0
-        d = an * d + b
-        d = 1.0 / (d if abs(d) > _TINY else _TINY)
-        c = b + an / c
-        c = c if abs(c) > _TINY else _TINY
-        step = d * c
-        h *= step
-        if abs(step - 1.0) < _EPS:
-            break
-    return math.exp(log_front) * h
+            n += 1
+            term *= x / (a + n)
+        return 1.0 - front * total
+
+    def at_depth(depth: int) -> float:
+        inner = x
+        for n in range(depth, 0, -1):
+            inner = x + (n - a) / (1.0 + n / inner)
+        return 1.0 / inner
+    return front * _settled(at_depth)
 
 
 def chi2_upper_p(stat: float | None, dof: float | None) -> float | None:

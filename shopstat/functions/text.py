@@ -6,7 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Text that marks a missing value in the shop's exports.
-NA_TOKENS = ["", "NA", "N/A", "NaN", "nan", "NULL", "null", "None", "<NA>", "#N/A", "n/a", "-NaN", "-nan"]
+NA_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
+             "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
 PLACEHOLDER_TOKENS = ["", "None", "0", "?"]
 
 
@@ -51,17 +52,21 @@ def sql_len(c: Column) -> Column:
     return F.length(F.rtrim(c.cast("string")))
 
 
+_QUOTED = r"""'(?:[^'\\]++|\\.)*+'|"(?:[^"\\]++|\\.)*+\""""
+
+
 def pyliteral_to_json(c: Column) -> Column:
     """Make a Python literal list/dict text readable by ``from_json``.
 
-    Single quotes are accepted by the JSON reader as is.  Bare ``None``,
-    ``True`` and ``False`` in value position (after ``[`` ``,`` or ``:``
-    and before ``,`` ``]`` or ``}``) become ``null``, ``true``, ``false``.
-    Only safe for element schemas without free-text fields, where such a
-    word cannot occur inside a quoted string.  Cells without any of the
-    words skip the regular expressions.
+    Single quotes are accepted by the JSON reader as is.  The bare words
+    ``None``, ``True`` and ``False`` become ``null``, ``true``, ``false``;
+    quoted strings are stepped over whole (escapes included), so free text is
+    left as it is.  From the end of one match (``\\G``) the pattern consumes
+    quoted strings and other characters up to the next bare word, without
+    going back.  Cells without any of the words skip this.
     """
     fixed = c
     for word, repl in (("None", "null"), ("True", "true"), ("False", "false")):
-        fixed = F.regexp_replace(fixed, rf"([\[,:]\s*){word}(?=\s*[,\]}}])", f"$1{repl}")
+        first, rest = word[0], word[1:]
+        fixed = F.regexp_replace(fixed, rf"""(?s)\G((?:[^'"{first}]++|{_QUOTED}|{first}(?!{rest}\b))*+){word}\b""", f"$1{repl}")
     return F.when(c.contains("None") | c.contains("True") | c.contains("False"), fixed).otherwise(c)

@@ -23,7 +23,7 @@ def parse_timestamp(text: Column, fmt: str | None = None, lenient: bool = False)
         parsed = F.try_to_timestamp(text, F.lit(fmt)) if fmt else F.try_to_timestamp(text)
     else:
         parsed = F.to_timestamp(text, fmt) if fmt else F.to_timestamp(text)
-    return parsed.cast("timestamp_ntz")
+    return to_wall_clock(parsed)
 
 
 def days_between_boundaries(start: Column, end: Column) -> Column:

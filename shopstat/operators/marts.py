@@ -15,9 +15,18 @@ def order_quantity(lines: DataFrame, id_col: str = "booking_id") -> DataFrame:
     return lines.groupBy(id_col).agg(F.sum("quantity").cast("bigint").alias("total_quantity"))
 
 
-def order_unique_products(lines: DataFrame, id_col: str = "booking_id", approx: bool = False) -> DataFrame:
-    """Distinct products per booking (``approx``: HyperLogLog estimate)."""
+def order_unique_products(lines: DataFrame, id_col: str = "booking_id", approx: bool = False,
+                          pre_partition: bool = True) -> DataFrame:
+    """Distinct products per booking (``approx``: HyperLogLog estimate).
+
+    The lines are dealt out by booking once, and both steps of the distinct
+    count (and a later join on the booking) use that one exchange.
+    ``pre_partition=False`` reduces (booking, product) pairs before the
+    shuffle instead, for inputs where single bookings are huge.
+    """
     agg = F.approx_count_distinct("product_id") if approx else F.countDistinct("product_id")
+    if pre_partition and not approx:
+        lines = lines.select(id_col, "product_id").repartition(F.col(id_col))
     return lines.groupBy(id_col).agg(agg.alias("unique_prods"))
 
 
@@ -44,9 +53,12 @@ def dm_transactions(tx: DataFrame, customers: DataFrame, summary: DataFrame,
     product, with bands, delivery days, product counts and booking number
     (numbered after those joins).
 
-    The numbering is materialised when the mart is built, so consumers that
-    do not need ``booking_number`` should pass ``with_booking_number=False``
-    and keep the plan lazy (Catalyst then prunes the unused columns too).
+    Only customer, time and booking id of the mart's bookings are numbered
+    (and pass through Python and the checkpoint); the numbers are joined back
+    on the booking id, which is the table's key.  The numbering is
+    materialised when the mart is built, so consumers that do not need
+    ``booking_number`` should pass ``with_booking_number=False`` and keep the
+    plan lazy (Catalyst then prunes the unused columns too).
     """
     c = customers.select("customer_id", "birthdate")
     joined = tx.join(c, "customer_id").join(summary, "booking_id")
@@ -62,4 +74,8 @@ def dm_transactions(tx: DataFrame, customers: DataFrame, summary: DataFrame,
     )
     if not with_booking_number:
         return mart
-    return booking_numbers(mart, time_col="created_dt")
+    keys = (tx.select("customer_id", F.col("created_at").alias("created_dt"), "booking_id")
+            .join(customers.select("customer_id"), "customer_id", "left_semi")
+            .join(summary.select("booking_id"), "booking_id", "left_semi").select("customer_id", "created_dt", "booking_id"))
+    numbers = booking_numbers(keys, time_col="created_dt").select("booking_id", "booking_number")
+    return mart.join(numbers, "booking_id").select(*mart.columns, "booking_number")

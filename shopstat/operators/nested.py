@@ -21,6 +21,11 @@ LINE_ITEM = T.StructType([
 ])
 
 
+def _options(strict: bool) -> dict[str, str]:
+    return {"allowSingleQuotes": "true", "allowBackslashEscapingAnyCharacter": "true",
+            "mode": "FAILFAST" if strict else "PERMISSIVE"}
+
+
 def parse_items(text: Column, item_schema: T.StructType = LINE_ITEM, strict: bool = True) -> Column:
     """Text list of dicts -> ``array<struct>``.
 
@@ -28,7 +33,7 @@ def parse_items(text: Column, item_schema: T.StructType = LINE_ITEM, strict: boo
     list.  A missing cell gives an empty list in both modes; a missing key
     gives a null field.
     """
-    opts = {"allowSingleQuotes": "true", "mode": "FAILFAST" if strict else "PERMISSIVE"}
+    opts = _options(strict)
     parsed = F.from_json(pyliteral_to_json(text), T.ArrayType(item_schema), opts)
     return F.coalesce(parsed, F.array().cast(T.ArrayType(item_schema)))
 
@@ -57,17 +62,31 @@ def booking_lines(tx: DataFrame, strict: bool = True, keep_empty: bool = True,
 
 
 def event_attributes(events: DataFrame, event_name: str, attr_schema: T.StructType | None = None,
-                     name_col: str = "event_name", meta_col: str = "event_metadata") -> DataFrame:
+                     name_col: str = "event_name", meta_col: str = "event_metadata", strict: bool = True) -> DataFrame:
     """Events of one name with their attribute dict spread into columns.
 
     With ``attr_schema`` the declared keys become typed columns (missing key
     -> null).  Without it the keys stay open as ``attributes`` (map of text).
+    Malformed text raises; ``strict=False`` turns it into nulls.  A missing
+    cell has no attributes in both modes.
     """
     ev = events.filter(F.col(name_col) == F.lit(event_name))
     text = pyliteral_to_json(F.col(meta_col))
-    opts = {"allowSingleQuotes": "true"}
+    opts = _options(strict)
     base = [c for c in ev.columns if c not in (name_col, meta_col)]
     if attr_schema is None:
         return ev.select(*base, F.from_json(text, T.MapType(T.StringType(), T.StringType()), opts)
                          .alias("attributes"))
     return ev.select(*base, F.from_json(text, attr_schema, opts).alias("_m")).select(*base, "_m.*")
+
+
+CART_ITEM = LINE_ITEM
+
+
+def cart_events(events: DataFrame, event_name: str, strict: bool = True) -> DataFrame:
+    """Add-to-cart events with their product, quantity, price (rounded to
+    cents after the amount is taken) and ``prod_amount = quantity * price``."""
+    rows = event_attributes(events, event_name, CART_ITEM, strict=strict)
+    price = F.col("item_price")
+    return rows.select("event_id", "event_time", "session_id", "traffic_source", F.col("product_id").alias("prod_id"), "quantity",
+                       F.bround(price, 2).alias("item_price"), (F.col("quantity") * price).alias("prod_amount"))

@@ -4,6 +4,7 @@ outliers, histograms, frequency tables, daily trends, head/tail, samples."""
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,34 +16,35 @@ from shopstat.operators.ranking import exact_quantiles
 REPORT_QUANTILES = [0, 0.01, 0.05, 0.25, 0.50, 0.75, 0.90, 0.95, 0.97, 0.99, 0.995, 0.997, 0.999, 1]
 
 
-def column_profile(df: DataFrame, cols: Sequence[str] | None = None, approx: bool = False) -> DataFrame:
+def column_profile(df: DataFrame, cols: Sequence[str] | None = None, approx: bool = False,
+                   distinct_of: Sequence[str] | None = None) -> DataFrame:
     """Per column: type, non-null count, null count, exact distinct count.
 
-    One scan: the columns are unpivoted into narrow ``(column, value as
-    text)`` rows and counted by one grouped aggregate, whose distinct part
-    is reduced map-side per (column, value).  Text forms are distinct
-    exactly when values are (floating zeros are normalised first).
-    ``approx`` uses HyperLogLog sketches instead (no shuffle of values).
+    Types, nulls and non-nulls are one aggregate row without a shuffle of
+    values; each distinct count is an aggregate of its own column in its own
+    type, reduced map-side, reading that column only.  ``approx`` uses
+    HyperLogLog sketches in the one aggregate instead (no shuffle of values).
+    ``distinct_of`` names the columns to count distinct values of (all by
+    default; the others show null).
     """
     cols = list(cols or df.columns)
+    wanted = set(cols if distinct_of is None else distinct_of)
 
-    def as_text(c: str) -> Column:
-        x = F.col(c)
-        if isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType)):
-            x = F.when(x == 0, F.lit(0.0)).otherwise(x)
-        return x.cast("string")
-
-    long = df.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column_name"), as_text(c).alias("value")) for c in cols
-    ])).alias("r")).select("r.*")
-    counts = long.groupBy("column_name").agg(
-        F.count("value").alias("non_null"),
-        F.count_if(F.col("value").isNull()).alias("nulls"),
-        (F.approx_count_distinct("value") if approx else F.countDistinct("value")).alias("distinct_values"),
-    )
-    types = F.create_map(*[x for c in cols for x in (F.lit(c), F.lit(df.schema[c].dataType.simpleString()))])
-    return counts.select("column_name", types[F.col("column_name")].alias("data_type"),
-                         "non_null", "nulls", "distinct_values")
+    def rows(i: int, c: str) -> Column:
+        d = F.col(f"_d{i}") if approx and c in wanted else F.lit(None).cast("bigint")
+        return F.struct(F.lit(c).alias("column_name"), F.lit(df.schema[c].dataType.simpleString()).alias("data_type"),
+                        F.col(f"_v{i}").alias("non_null"), (F.col("_n") - F.col(f"_v{i}")).alias("nulls"), d.alias("_approx"))
+
+    aggs = [F.count(F.lit(1)).alias("_n")] + [F.count(c).alias(f"_v{i}") for i, c in enumerate(cols)]
+    if approx:
+        aggs += [F.approx_count_distinct(c).alias(f"_d{i}") for i, c in enumerate(cols) if c in wanted]
+    table = df.agg(*aggs).select(F.explode(F.array(*[rows(i, c) for i, c in enumerate(cols)])).alias("r")).select("r.*")
+    if approx or not wanted:
+        return table.withColumnRenamed("_approx", "distinct_values")
+    exact = reduce(DataFrame.unionByName, [
+        df.groupBy(c).agg(F.lit(1).alias("_one")).agg(F.lit(c).alias("column_name"), F.count(c).alias("distinct_values"))
+        for c in cols if c in wanted])
+    return table.drop("_approx").join(F.broadcast(exact), "column_name", "left")
 
 
 def _long(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -127,14 +129,25 @@ def _numeric(df: DataFrame, col: str) -> Column:
 
 def histogram(df: DataFrame, col: str, bins: int = 50) -> DataFrame:
     """Equal-width bins between min and max; the max falls in the last bin.
-    Timestamps are binned on epoch seconds.  Only non-empty bins appear."""
+    Timestamps are binned on epoch seconds.  Every bin has a row with its
+    edges, empty ones too; a single value gets a range of one around it; a
+    column without values has no bins."""
     x = _numeric(df, col)
     v = df.select(x.alias("_x")).filter(F.col("_x").isNotNull())
     bounds = v.agg(F.min("_x").alias("lo"), F.max("_x").alias("hi")).first()
-    lo, hi = F.lit(bounds["lo"]).cast("double"), F.lit(bounds["hi"]).cast("double")
-    raw = F.floor((F.col("_x") - lo) * F.lit(bins) / (hi - lo)) + 1
-    b = F.when(hi == lo, F.lit(1)).otherwise(F.least(raw, F.lit(bins))).cast("int")
-    return v.select(b.alias("bin")).groupBy("bin").agg(F.count(F.lit(1)).alias("cnt"))
+    if bounds["lo"] is None:
+        lo_value = hi_value = 0.0
+    elif bounds["lo"] == bounds["hi"]:
+        lo_value, hi_value = bounds["lo"] - 0.5, bounds["hi"] + 0.5
+    else:
+        lo_value, hi_value = bounds["lo"], bounds["hi"]
+    lo, hi = F.lit(lo_value).cast("double"), F.lit(hi_value).cast("double")
+    b = F.least(F.floor((F.col("_x") - lo) * F.lit(bins) / (hi - lo)) + 1, F.lit(bins)).cast("int")
+    counts = v.select(b.alias("bin")).groupBy("bin").agg(F.count(F.lit(1)).alias("cnt"))
+    every = df.sparkSession.range(1, 1 if bounds["lo"] is None else bins + 1, 1, 1).select(F.col("id").cast("int").alias("bin"))
+    return every.join(counts, "bin", "left").select(
+        "bin", (lo + (hi - lo) * (F.col("bin") - 1) / bins).alias("bin_start"), (lo + (hi - lo) * F.col("bin") / bins).alias("bin_end"),
+        F.coalesce("cnt", F.lit(0)).cast("bigint").alias("cnt"))
 
 
 def value_counts(df: DataFrame, col: str, dropna: bool = True, by_key: bool = False,
@@ -171,22 +184,25 @@ def event_ratio(events: DataFrame, name_col: str = "event_name", id_col: str = "
         .orderBy(name_col))
 
 
-def daily_counts(df: DataFrame, ts_col: str, method_col: str, methods: Sequence[str],
-                 date_col: str = "day") -> DataFrame:
-    """Rows per day and method, one column per method, 0 where absent.
-    Days without any row do not appear."""
-    d = df.filter(F.col(method_col).isNotNull()).select(
-        F.to_date(F.col(ts_col)).alias(date_col), F.col(method_col))
-    return d.groupBy(date_col).agg(
-        *[F.count_if(F.col(method_col) == F.lit(m)).alias(m) for m in methods])
+def daily_counts(df: DataFrame, ts_col: str, method_col: str, date_col: str = "day") -> DataFrame:
+    """Rows per day and method, for every method that occurs, 0 where it is
+    absent on a day.  Days without any row do not appear.  The list of
+    methods is one row made from the daily counts, so no method is fixed
+    beforehand."""
+    counts = (df.filter(F.col(method_col).isNotNull())
+              .groupBy(F.to_date(F.col(ts_col)).alias(date_col), F.col(method_col)).agg(F.count(F.lit(1)).alias("cnt")))
+    methods = counts.agg(F.collect_set(method_col).alias("_methods"))
+    # per day: the methods present with their counts, then the absent ones with 0
+    per_day = counts.groupBy(date_col).agg(F.map_from_entries(F.collect_list(F.struct(method_col, "cnt"))).alias("_present"))
+    full = per_day.join(F.broadcast(methods)).select(date_col, "_present", F.explode("_methods").alias(method_col))
+    return full.select(date_col, method_col, F.coalesce(F.try_element_at("_present", F.col(method_col)), F.lit(0)).cast("bigint").alias("cnt"))
 
 
-def rolling_mean(daily: DataFrame, methods: Sequence[str], window: int = 7,
-                 date_col: str = "day", method_col: str = "payment_method") -> DataFrame:
+def rolling_mean(daily: DataFrame, window: int = 7, date_col: str = "day", method_col: str = "payment_method") -> DataFrame:
     """Trailing mean over the last ``window`` rows present (not calendar
     days) per method; null until ``window`` rows exist.  Runs on the daily
     table, whose size is days x methods."""
-    long = daily.unpivot([date_col], list(methods), method_col, "cnt")
+    long = daily.select(date_col, method_col, "cnt")
     w = Window.partitionBy(method_col).orderBy(date_col).rowsBetween(-(window - 1), 0)
     return long.select(
         date_col, method_col, "cnt",
@@ -203,6 +219,8 @@ def head_tail(df: DataFrame, order_cols: Sequence[str], n: int = 5) -> DataFrame
 
 
 def sample_rows(df: DataFrame, key_col: str, n: int, seed: int = 42) -> DataFrame:
-    """A repeatable sample of exactly ``n`` rows: the ``n`` smallest hashes
-    of the key (per-partition top-n, then one merge of n x partitions)."""
-    return df.orderBy(F.xxhash64(F.col(key_col), F.lit(seed))).limit(n)
+    """A repeatable sample of exactly ``n`` rows: the ``n`` smallest MD5 of
+    key and seed, ties by key (per-partition top-n, then one merge of
+    n x partitions)."""
+    mixed = F.md5(F.concat_ws(":", F.col(key_col).cast("string"), F.lit(str(seed))))
+    return df.orderBy(mixed, F.col(key_col)).limit(n)

@@ -30,11 +30,19 @@ def key_quality(tables: Sequence[tuple[str, DataFrame, str]]) -> DataFrame:
     return reduce(DataFrame.unionByName, [key_report(df, key, name) for name, df, key in tables])
 
 
-def assert_keys(df: DataFrame, key: str, table: str = "table") -> None:
-    """Raise when the key has nulls or duplicates (the primary-key contract)."""
-    r = key_report(df, key, table).first()
-    if r["null_keys"] or r["duplicate_keys"]:
-        raise ValueError(f"{table}.{key}: {r['null_keys']} null, {r['duplicate_keys']} duplicate keys")
+def assert_keys(df: DataFrame, key: str | Sequence[str], table: str = "table", max_len: int = 36) -> None:
+    """Raise when the key (one column or several) has nulls or duplicates, or
+    a text key is longer than ``max_len`` (the primary-key contract)."""
+    keys = [key] if isinstance(key, str) else list(key)
+    any_null = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
+    too_long = reduce(lambda a, b: a | b, [sql_len(F.col(k)) > max_len for k in keys])
+    # groups are counted map-side first, so a very common key is one row
+    groups = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    r = groups.agg(F.coalesce(F.sum(F.when(any_null, F.col("_n"))), F.lit(0)).alias("nulls"),
+                   F.coalesce(F.sum(F.when(~any_null, F.col("_n") - 1)), F.lit(0)).alias("repeats"),
+                   F.count_if(too_long).alias("long")).first()
+    if r["nulls"] or r["repeats"] or r["long"]:
+        raise ValueError(f"{table}.{'+'.join(keys)}: {r['nulls']} null, {r['repeats']} duplicate, {r['long']} too long keys")
 
 
 def value_quality(lines: DataFrame) -> DataFrame:
@@ -89,7 +97,8 @@ def duplicate_members(df: DataFrame, keys: Sequence[str], count_col: str = "dup_
 def reconcile_totals(tx: DataFrame, lines: DataFrame) -> DataFrame:
     """Tally of ``total - fee + promo - sum(lines)`` per booking, as exact
     decimals; bookings without lines have no difference and drop out."""
-    sums = lines.groupBy("booking_id").agg(money(F.sum("product_amount")).alias("products_total"))
+    # each amount is a decimal before it is summed: the order of summation can't move a cent
+    sums = lines.groupBy("booking_id").agg(F.sum(money(F.col("product_amount"))).cast("decimal(18,2)").alias("products_total"))
     check = tx.select("booking_id", "total_amount", "shipment_fee", "promo_amount").join(sums, "booking_id", "left")
     diff = (F.col("total_amount") - F.col("shipment_fee") + F.col("promo_amount") - F.col("products_total"))
     return (check.select(diff.alias("difference"))

@@ -6,9 +6,9 @@ global numbering (no ``p``) runs entirely in one task.  Here the rows are
 instead range-partitioned on ``(p, o)``: Spark samples split points, so a
 hot key is spread over many partitions.  Each partition numbers its rows
 locally (Arrow batches through ``mapInArrow``), reports how its last key
-ends, and a table with one row per partition (a size bound that does not
-grow with the data) turns those into offsets for keys that continue from
-earlier partitions.
+ends, and a table with one row per partition (see
+``session.cluster_conf`` for how many there are) turns those into offsets
+for keys that continue from earlier partitions.
 
 The order columns should make the order total; among exact ties numbers are
 assigned in an arbitrary but consistent way.
@@ -43,6 +43,8 @@ def _same_as_previous(rb: pa.RecordBatch, part_cols: list[str]) -> np.ndarray:
         col = rb.column(c)
         prev = pa.concat_arrays([pa.nulls(1, col.type), col.slice(0, n - 1)])
         eq = pc.fill_null(pc.equal(col, prev), False)
+        if pa.types.is_floating(col.type):          # all NaN are one key, as in a window
+            eq = pc.or_(eq, pc.and_(pc.fill_null(pc.is_nan(col), False), pc.fill_null(pc.is_nan(prev), False)))
         both_null = pc.and_(pc.is_null(col), pc.is_null(prev))
         same &= pc.or_(eq, both_null).to_numpy(zero_copy_only=False)
     return same
@@ -53,8 +55,12 @@ def _key_of(rb: pa.RecordBatch, part_cols: list[str], i: int) -> tuple:
 
 
 def _key_equal(a: tuple, b: tuple) -> bool:
-    return all((not x.is_valid and not y.is_valid) or (x.is_valid and y.is_valid and x.as_py() == y.as_py())
-               for x, y in zip(a, b))
+    def same(x, y) -> bool:
+        if not (x.is_valid and y.is_valid):
+            return x.is_valid == y.is_valid
+        u, v = x.as_py(), y.as_py()
+        return u == v or (u != u and v != v)        # NaN equals NaN, as in a window
+    return all(same(x, y) for x, y in zip(a, b))
 
 
 def _number_partitions(part_cols: list[str]):
@@ -163,42 +169,65 @@ def sequence_number(df: DataFrame, partition_cols: Sequence[str], order_cols: Se
     return numbered.select(*df.columns, out_col)
 
 
+def cumulative_counts(df: DataFrame, value_col: str, groups: Sequence[str] = (),
+                      num_partitions: int | None = None) -> DataFrame:
+    """``(*groups, _v, _c, _upto)``: every distinct value with its count and
+    the rows up to it in value order.
+
+    Counting first (map-side) leaves one row per distinct value, so a value
+    that a third of all rows share is one row here and can't fill a range
+    partition.  The distinct values are range-partitioned and checkpointed
+    with their partition number; running sums are taken within a partition
+    and group, and each partition's offset comes from a table of one row per
+    partition and group in it.
+    """
+    groups = list(groups)
+    counts = (df.select(*groups, F.col(value_col).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
+              .groupBy(*groups, "_v").agg(F.count(F.lit(1)).alias("_c")))
+    n_parts = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = _materialise(counts.repartitionByRange(n_parts, *groups, "_v").withColumn("_part", F.spark_partition_id()))
+    inside = Window.partitionBy("_part", *groups)
+    running = placed.withColumn("_local", F.sum("_c").over(inside.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)))
+    before = Window.partitionBy(*groups).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = placed.groupBy("_part", *groups).agg(F.sum("_c").alias("_pc")).select(
+        F.col("_part").alias("_op"), *[F.col(g).alias(f"_o_{g}") for g in groups], F.sum("_pc").over(before).alias("_before"))
+    cond = F.col("_part") == F.col("_op")
+    for g in groups:
+        cond = cond & F.col(g).eqNullSafe(F.col(f"_o_{g}"))
+    # left to the planner: one row per partition and group, broadcast only if measured small
+    joined = running.join(offsets, cond)
+    return joined.select(*groups, "_v", "_c", (F.col("_local") + F.coalesce("_before", F.lit(0))).alias("_upto"))
+
+
 def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float],
                     group_cols: Sequence[str] = ()) -> DataFrame:
     """Exact quantiles with linear interpolation between order statistics.
 
-    Rows ``(*group_cols, q, value)``; nulls are skipped.  Positions come from
-    a balanced numbering of the sorted values, then only the rows at the
-    needed positions are read, instead of building a value->count map per
-    group in one final task.
+    Rows ``(*group_cols, q, value)``; nulls are skipped.  The value at a
+    position is the one whose cumulative count first reaches it, found in
+    the table of distinct values instead of a value->count map per group in
+    one final task.
     """
     groups = list(group_cols)
-    v = (df.select(*groups, F.col(value_col).cast("double").alias("_v"))
-         .filter(F.col("_v").isNotNull()))
-    numbered = sequence_number(v, groups, ["_v"], "_pos")
-    n = v.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n"))
+    upto = cumulative_counts(df, value_col, groups)
+    total = upto.groupBy(*groups).agg(F.max("_upto").alias("_n"))
     h = [(F.col("_n") - 1) * F.lit(float(q)) for q in probs]
-    wanted = n.select(
-        *groups,
-        F.explode(F.array(*[
-            F.struct(F.lit(float(q)).alias("q"), hq.alias("h"),
-                     (F.floor(hq) + 1).alias("lo"), (F.ceil(hq) + 1).alias("hi"))
-            for q, hq in zip(probs, h)
-        ])).alias("w"),
-    ).select(*groups, "w.*")
-    positions = wanted.select(*[F.col(g).alias(f"_p_{g}") for g in groups], "q", "h",
-                              F.explode(F.array_distinct(F.array("lo", "hi"))).alias("pos"))
-    if not groups:
-        # at most two rows per requested quantile
-        positions = F.broadcast(positions)
-    cond = numbered["_pos"] == positions["pos"]
+    wanted = total.select(*[F.col(g).alias(f"_p_{g}") for g in groups], F.array(*[
+        F.struct(F.lit(float(q)).alias("q"), hq.alias("h"), (F.floor(hq) + 1).alias("lo"), (F.ceil(hq) + 1).alias("hi"))
+        for q, hq in zip(probs, h)]).alias("_w"))
+    cond = F.lit(True)
     for g in groups:
-        cond = cond & numbered[g].eqNullSafe(positions[f"_p_{g}"])
-    hits = numbered.join(positions, cond)
-    per_q = hits.groupBy(*groups, "q").agg(
-        F.first("h").alias("h"),
-        F.max(F.when(F.col("_pos") == F.floor("h") + 1, F.col("_v"))).alias("v_lo"),
-        F.max(F.when(F.col("_pos") == F.ceil("h") + 1, F.col("_v"))).alias("v_hi"),
+        cond = cond & upto[g].eqNullSafe(wanted[f"_p_{g}"])
+    # without groups the positions are one row
+    joined = upto.join(wanted, cond) if groups else upto.join(F.broadcast(wanted))
+
+    def holds(p: Column) -> Column:
+        return (p <= F.col("_upto")) & (p > F.col("_upto") - F.col("_c"))
+    hits = joined.select(*groups, "_v", "_c", "_upto", F.explode(F.filter("_w", lambda w: holds(w["lo"]) | holds(w["hi"]))).alias("w"))
+    per_q = hits.groupBy(*groups, "w.q").agg(
+        F.first("w.h").alias("h"),
+        F.max(F.when(holds(F.col("w.lo")), F.col("_v"))).alias("v_lo"),
+        F.max(F.when(holds(F.col("w.hi")), F.col("_v"))).alias("v_hi"),
     )
     return per_q.select(
         *groups, "q",

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shopstat.functions.timeparts import floor_second
@@ -22,6 +22,23 @@ def clean_clicks(events: DataFrame, time_col: str = "event_time") -> DataFrame:
     return events.withColumn(time_col, floor_second(F.col(time_col)))
 
 
+def event_aggregates(counted: Sequence[str], markers: Sequence[str], step2: Sequence[str], step3: Sequence[str],
+                     name: Column, ts: Column, event_id: Column, totals: Sequence[str]) -> list[Column]:
+    """Per event its count and times, then the totals under the given names:
+    events, first and last time, first time of each step set."""
+    aggs = []
+    for e in sorted(set(counted) | set(markers)):
+        t_e = F.when(name == F.lit(e), ts)
+        if e in markers and e not in counted:
+            aggs.append(F.min(t_e).alias(f"{e}_time"))
+        else:
+            aggs += [F.count(t_e).cast("int").alias(f"{e}_cnt"), F.min(t_e).alias(f"{e}_first_time"),
+                     F.max(t_e).alias(f"{e}_last_time")]
+    values = [F.count(event_id).cast("int"), F.min(ts), F.max(ts), F.min(F.when(name.isin(list(step2)), ts)),
+              F.min(F.when(name.isin(list(step3)), ts))]
+    return aggs + [v.alias(n) for v, n in zip(values, totals)]
+
+
 def session_rollup(
     events: DataFrame,
     counted: Sequence[str],
@@ -53,24 +70,8 @@ def session_rollup(
     ev = events.filter(F.col(session_col).isNotNull())
     if pre_partition:
         ev = ev.repartition(session_col)
-    aggs = []
-    for e in sorted(set(counted) | set(markers)):
-        t_e = F.when(name == F.lit(e), ts)
-        if e in markers and e not in counted:
-            aggs.append(F.min(t_e).alias(f"{e}_time"))
-        else:
-            aggs += [
-                F.count(t_e).cast("int").alias(f"{e}_cnt"),
-                F.min(t_e).alias(f"{e}_first_time"),
-                F.max(t_e).alias(f"{e}_last_time"),
-            ]
-    aggs += [
-        F.count(F.col(id_col)).alias("_ids"),
-        F.min(ts).alias("_start"),
-        F.max(ts).alias("_end"),
-        F.min(F.when(name.isin(list(step2)), ts)).alias("_step2"),
-        F.min(F.when(name.isin(list(step3)), ts)).alias("_step3"),
-    ]
+    aggs = event_aggregates(counted, markers, step2, step3, name, ts, F.col(id_col),
+                            ("_ids", "_start", "_end", "_step2", "_step3"))
     per_source = ev.groupBy(session_col, source_col).agg(*aggs)
     w = Window.partitionBy(session_col)
     rolled = per_source.withColumns({

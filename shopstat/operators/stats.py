@@ -9,13 +9,15 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shopstat.functions.distributions import chi2_p_value, t_p_value
 from shopstat.functions.text import norm_label
 
 ALPHA = 0.05
+REPORT_LINES = 1000
+# Decision texts of the t-test.
 T_SIGNIFICANT = "Significant difference"
 T_NOT_SIGNIFICANT = "No statistically significant difference"
 
@@ -75,12 +77,15 @@ def welch_ttest(unit_df: DataFrame, group_col: str, value_col: str, group_1: str
     a = F.try_divide(F.col("std_1") * F.col("std_1"), F.col("n_1"))
     b = F.try_divide(F.col("std_2") * F.col("std_2"), F.col("n_2"))
     row = row.withColumns({"_a": a, "_b": b}).withColumn("_se2", F.col("_a") + F.col("_b"))
-    t = F.try_divide(F.col("mean_1") - F.col("mean_2"), F.sqrt("_se2"))
-    df = F.try_divide(
+    gap = F.col("mean_1") - F.col("mean_2")
+    # no spread in either group: equal means can't be compared (null), different ones differ for certain
+    certain = (F.col("_se2") == 0) & (gap != 0)
+    t = F.when(certain, F.signum(gap) * F.lit(float("inf"))).otherwise(F.try_divide(gap, F.sqrt("_se2")))
+    df = F.when(F.col("_se2") == 0, F.lit(1.0)).otherwise(F.try_divide(
         F.col("_se2") * F.col("_se2"),
         F.try_divide(F.col("_a") * F.col("_a"), F.col("n_1") - 1)
         + F.try_divide(F.col("_b") * F.col("_b"), F.col("n_2") - 1),
-    )
+    ))
     row = row.withColumns({"t_statistic": t, "df": df})
     row = row.withColumn("p_value", t_p_value(F.col("t_statistic"), F.col("df")))
     decision = F.when(F.col("p_value") < F.lit(alpha), F.lit(T_SIGNIFICANT)).otherwise(F.lit(T_NOT_SIGNIFICANT))
@@ -100,25 +105,26 @@ def welch_ttest(unit_df: DataFrame, group_col: str, value_col: str, group_1: str
 def crosstab(df: DataFrame, row_col: str, col_col: str, col_values) -> DataFrame:
     """Counts of rows per (row value, column value), one column per value.
 
-    Rows with a null row or column value drop out.  ``col_values`` is the
-    fixed list of columns, so the pivot needs no extra pass to find them;
-    missing cells are 0.
+    Rows with a null row or column value drop out.  Column labels are
+    compared trimmed and upper case on both sides, as in ``moments``.
+    ``col_values`` is the fixed list of columns, so the pivot needs no extra
+    pass to find them; missing cells are 0.
     """
-    counted = df.filter(F.col(row_col).isNotNull() & F.col(col_col).isNotNull())
-    aggs = [F.count(F.when(F.col(col_col) == F.lit(v), F.lit(1))).alias(v) for v in col_values]
-    return (
-        counted.filter(F.col(col_col).isin(list(col_values)))
-        .groupBy(row_col)
-        .agg(*aggs)
-    )
+    label = norm_label(F.col(col_col))
+    wanted = {v: v.strip().upper() for v in col_values}
+    counted = df.filter(F.col(row_col).isNotNull() & label.isin(list(wanted.values())))
+    return counted.groupBy(row_col).agg(
+        *[F.count(F.when(label == F.lit(u), F.lit(1))).alias(v) for v, u in wanted.items()])
 
 
 def crosstab_percent(table: DataFrame, row_col: str, col_values, digits: int = 0) -> DataFrame:
-    """Column percentages of a crosstab, rounded half to even."""
-    whole = Window.partitionBy()
-    return table.select(
+    """Column percentages of a crosstab, rounded half to even; null in a
+    column without any rows.  The column sums are one aggregate row, so a
+    crosstab with very many categories isn't gathered in one task."""
+    sums = table.agg(*[F.sum(v).alias(f"_sum_{i}") for i, v in enumerate(col_values)])
+    return table.join(F.broadcast(sums)).select(
         row_col,
-        *[F.bround(F.col(v) * 100.0 / F.sum(v).over(whole), digits).alias(v) for v in col_values],
+        *[F.bround(F.try_divide(F.col(v) * 100.0, F.col(f"_sum_{i}")), digits).alias(v) for i, v in enumerate(col_values)],
     )
 
 
@@ -127,45 +133,46 @@ def chi_square(table: DataFrame, row_col: str, col_values, alpha: float = ALPHA,
     """Pearson chi-square test of independence on a crosstab.
 
     Yates' continuity correction is applied when the table has one degree of
-    freedom.  The crosstab has one row per category value, so the windows
-    here run over a table whose size is bounded by the number of categories.
+    freedom.  Without any (a single category, or a group without rows) the
+    statistic is 0 and p is 1.  Margins are one aggregate row joined back;
+    only the report gathers the categories' lines, and shows the first
+    ``REPORT_LINES`` of them.
     """
-    whole = Window.partitionBy()
     cols = list(col_values)
     row_sum = reduce(lambda x, y: x + y, [F.col(v) for v in cols])
-    t = table.withColumn("_row_sum", row_sum)
-    t = t.withColumns({f"_colsum_{i}": F.sum(v).over(whole) for i, v in enumerate(cols)})
-    t = t.withColumn("_n", F.sum("_row_sum").over(whole)).withColumn("_rows", F.count(F.lit(1)).over(whole))
+    margins = table.agg(*[F.sum(v).alias(f"_colsum_{i}") for i, v in enumerate(cols)],
+                        F.sum(row_sum).alias("_n"), F.count(F.lit(1)).alias("_rows"))
+    t = table.withColumn("_row_sum", row_sum).join(F.broadcast(margins))
     n_cols = reduce(lambda x, y: x + y, [F.when(F.col(f"_colsum_{i}") > 0, 1).otherwise(0) for i in range(len(cols))])
     t = t.withColumn("_dof", (F.col("_rows") - 1) * (n_cols - 1))
     terms = []
     for i, v in enumerate(cols):
-        e = F.col("_row_sum").cast("double") * F.col(f"_colsum_{i}") / F.col("_n")
+        e = F.try_divide(F.col("_row_sum").cast("double") * F.col(f"_colsum_{i}"), F.col("_n"))
         dev = F.abs(F.col(v) - e)
         dev = F.when(F.col("_dof") == 1, F.greatest(dev - 0.5, F.lit(0.0))).otherwise(dev)
-        terms.append(F.try_divide(dev * dev, e))
+        terms.append(F.when(F.col("_dof") > 0, F.coalesce(F.try_divide(dev * dev, e), F.lit(0.0))).otherwise(F.lit(0.0)))
     t = t.withColumn("_term", reduce(lambda x, y: x + y, terms))
     # report lines, one per category row (the crosstab is bounded by the categories)
     label = F.coalesce(F.col(row_col).cast("string"), F.lit("null"))
     count_line = F.concat(label, F.lit(": "), F.concat_ws(" / ", *[F.col(v).cast("string") for v in cols]))
     pct_line = F.concat(label, F.lit(": "), F.concat_ws(" / ", *[
-        F.format_string("%.0f%%", F.bround(F.col(v) * 100.0 / F.col(f"_colsum_{i}"), 0))
+        F.coalesce(F.format_string("%.0f%%", F.bround(F.try_divide(F.col(v) * 100.0, F.col(f"_colsum_{i}")), 0)), F.lit("-"))
         for i, v in enumerate(cols)]))
     res = t.agg(
         F.sum("_term").alias("statistic"),
         F.max("_dof").alias("dof"),
         F.max("_n").alias("n"),
-        F.array_join(F.array_sort(F.collect_list(count_line)), "\n").alias("_counts"),
-        F.array_join(F.array_sort(F.collect_list(pct_line)), "\n").alias("_pcts"),
-    ).filter((F.col("dof") > 0))
-    res = res.withColumn("p_value", chi2_p_value(F.col("statistic"), F.col("dof")))
+        F.array_join(F.slice(F.array_sort(F.collect_list(count_line)), 1, REPORT_LINES), "\n").alias("_counts"),
+        F.array_join(F.slice(F.array_sort(F.collect_list(pct_line)), 1, REPORT_LINES), "\n").alias("_pcts"),
+    ).filter(F.col("n") > 0)
+    res = res.withColumn("p_value", F.when(F.col("dof") > 0, chi2_p_value(F.col("statistic"), F.col("dof"))).otherwise(F.lit(1.0)))
     reject = F.col("p_value") < F.lit(alpha)
     decision = F.when(reject, F.lit("Reject independence")).otherwise(F.lit("No evidence against independence"))
     header = " / ".join(cols)
     report = F.format_string(
-        "%s\nNumber of customers (" + header + "):\n%s\nShare of customers within each column (" + header
-        + "):\n%s\nNull hypothesis: the distributions are independent.\nP-value of Chi-square test = %.3f\n%s",
-        F.lit(question), F.col("_counts"), F.col("_pcts"), F.col("p_value"),
+        "%s\nNumber of customers (%s):\n%s\nShare of customers within each column (%s)"
+        ":\n%s\nNull hypothesis: the distributions are independent.\nP-value of Chi-square test = %.3f\n%s",
+        F.lit(question), F.lit(header), F.col("_counts"), F.lit(header), F.col("_pcts"), F.col("p_value"),
         F.when(reject, F.lit("We reject the null hypothesis."))
         .otherwise(F.lit("We fail to reject the null hypothesis.")),
     )

@@ -13,14 +13,11 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import types as T
 
 from shopstat.operators import marts, nested, quality, sessions
+from shopstat.operators.ranking import sequence_number
 from shopstat.plans.metrics import Roles
-from shopstat.sources import roles
-from shopstat.sources.sinks import write_table
-
-CART_ATTRIBUTES = T.StructType([T.StructField("k", T.LongType())])
+from shopstat.sources.sinks import conform, require_tables, write_table
 
 # Table names of the build.
 TABLES = {
@@ -31,12 +28,14 @@ TABLES = {
     "customers": "rd_customers",
     "sessions": "rd_sessions",
 }
+# Key columns of each table; text keys have at most 36 characters.
 KEYS = {
-    "rd_transactions": "booking_id",
-    "rd_events_add_to_cart": "event_id",
-    "rd_prods": "prod_id",
-    "rd_customers": "customer_id",
-    "rd_sessions": None,  # one row per (session, source): no single-column key
+    "rd_transactions": ["booking_id"],
+    "rd_transactions_prods": ["id"],
+    "rd_events_add_to_cart": ["event_id"],
+    "rd_prods": ["prod_id"],
+    "rd_customers": ["customer_id"],
+    "rd_sessions": ["session_id", "traffic_source"],
 }
 
 
@@ -44,9 +43,21 @@ class StageError(RuntimeError):
     pass
 
 
-def build_tables(spark: SparkSession, sf_dir: str, out_dir: str, check_keys: bool = True) -> dict[str, str]:
-    """Write every table and both marts; return name -> path."""
-    r = Roles(spark, sf_dir)
+def _lines(source) -> DataFrame:
+    """Product lines with declared types and a dense line id."""
+    lines = conform(nested.booking_lines(source.tx_raw_with_lines, strict=True, keep_empty=True), source.lines_schema)
+    return sequence_number(lines, [], lines.columns, "id")
+
+
+def build_tables(spark: SparkSession, source, out_dir: str, check_keys: bool = True) -> dict[str, str]:
+    """Write every table and both marts; return name -> path.
+
+    ``source`` is a ``Roles`` or ``ShopFiles`` object, or the path of a
+    driver data folder.  Key contracts are checked on the written tables.
+    """
+    if isinstance(source, str):
+        source = Roles(spark, source)
+    events = source.events
     paths: dict[str, str] = {}
 
     def path(name: str) -> str:
@@ -56,12 +67,12 @@ def build_tables(spark: SparkSession, sf_dir: str, out_dir: str, check_keys: boo
         return spark.read.parquet(paths[name])
 
     stages: list[tuple[str, Callable[[], DataFrame]]] = [
-        ("transactions", lambda: r.tx),
-        ("transactions_prods", lambda: nested.booking_lines(r.tx_raw_with_lines, strict=True, keep_empty=True)),
-        ("events_add_to_cart", lambda: nested.event_attributes(r.clicks, roles.CART_EVENT, CART_ATTRIBUTES)),
-        ("products", lambda: r.products),
-        ("customers", lambda: r.customers),
-        ("sessions", lambda: r.sessions),
+        ("transactions", lambda: source.tx),
+        ("transactions_prods", lambda: _lines(source)),
+        ("events_add_to_cart", lambda: source.cart_events),
+        ("products", lambda: source.products),
+        ("customers", lambda: source.customers),
+        ("sessions", lambda: source.sessions),
     ]
     for stage, build in stages:
         table = TABLES[stage]
@@ -77,7 +88,7 @@ def build_tables(spark: SparkSession, sf_dir: str, out_dir: str, check_keys: boo
     summary = marts.booking_product_summary(lines_t.filter("product_id IS NOT NULL"), prods)
     mart_builds = {
         "dm_transactions": lambda: marts.dm_transactions(tx, cust, summary),
-        "dm_sessions": lambda: sessions.session_flags(sess, roles.COUNTED_EVENTS, roles.MARKER_EVENTS),
+        "dm_sessions": lambda: sessions.session_flags(sess, events.counted, events.markers),
     }
     for name, build in mart_builds.items():
         try:
@@ -86,10 +97,10 @@ def build_tables(spark: SparkSession, sf_dir: str, out_dir: str, check_keys: boo
             raise StageError(f"mart {name} failed: {e}") from e
         paths[name] = path(name)
 
+    require_tables(spark, paths)
     if check_keys:
-        for table, key in KEYS.items():
-            if key:
-                quality.assert_keys(read(table), key, table)
+        for table, keys in KEYS.items():
+            quality.assert_keys(read(table), keys, table)
     return paths
 
 

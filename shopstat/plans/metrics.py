@@ -7,13 +7,14 @@ aggregated per booking before any dimension join.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from shopstat.operators import clean, marts, sessions, stats
+from shopstat.functions.text import norm_label
+from shopstat.operators import clean, marts, nested, sessions, stats
 from shopstat.sources import roles
 
 # Metric ids and labels.
@@ -25,70 +26,63 @@ METRIC_LABELS = {
     5: "Number of unique products",
 }
 CLICK_EVENT = "click"
+# attributes of the driver tables' cart event
+CART_ATTRIBUTES = T.StructType([T.StructField("k", T.LongType())])
 GROUPINGS = {"segment": roles.SEGMENT_GROUPS, "source": roles.SOURCE_GROUPS}
 
 
-_LAZY_VIEWS: dict[tuple[int, str, str], tuple[SparkSession, DataFrame]] = {}
-
-
-def _shared(build):
-    """Share a purely lazy view (no action when built) per session and data
-    folder: it is a table definition, so building it once is enough.  Views
-    whose construction runs a job are not shared."""
-    name = build.__name__
-
-    def get(self: "Roles") -> DataFrame:
-        key = (id(self.spark), self.sf_dir, name)
-        hit = _LAZY_VIEWS.get(key)
-        if hit is not None and hit[0] is self.spark:
-            return hit[1]
-        df = build(self)
-        _LAZY_VIEWS[key] = (self.spark, df)
-        return df
-    return cached_property(get)
-
-
 class Roles:
-    """The shop's tables for one data folder, built lazily."""
+    """The shop's tables for one data folder, built lazily.  The driver
+    tables' ids are numbers and their prices have cents."""
+
+    events = roles.EVENTS
+    id_type: T.DataType = T.LongType()
+    lines_schema = T.StructType([T.StructField(f.name, T.LongType() if f.name == "booking_id" else T.DoubleType()
+                                               if f.name in ("item_price", "product_amount") else f.dataType)
+                                 for f in clean.LINES_SCHEMA.fields])
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
 
-    @_shared
+    @cached_property
     def tx_raw(self) -> DataFrame:
         return roles.transactions(self.spark, self.sf_dir)
 
-    @_shared
+    @cached_property
     def tx_raw_with_lines(self) -> DataFrame:
         return roles.transactions(self.spark, self.sf_dir, with_metadata=True)
 
-    @_shared
+    @cached_property
     def tx(self) -> DataFrame:
-        return clean.transactions_clean(self.tx_raw)
+        return clean.transactions_clean(self.tx_raw, self.id_type)
 
-    @_shared
+    @cached_property
     def lines(self) -> DataFrame:
         return roles.lines(self.spark, self.sf_dir)
 
-    @_shared
+    @cached_property
     def customers(self) -> DataFrame:
-        return clean.customers_clean(roles.customers(self.spark, self.sf_dir))
+        return clean.customers_clean(roles.customers(self.spark, self.sf_dir), extra=["segment"])
 
     @cached_property
     def products(self) -> DataFrame:
         return clean.products_clean(roles.products_raw(self.spark, self.sf_dir),
                                     roles.category_lookup(self.spark, self.sf_dir))
 
-    @_shared
+    @cached_property
     def clicks(self) -> DataFrame:
         return sessions.clean_clicks(roles.events(self.spark, self.sf_dir))
 
-    @_shared
+    @cached_property
+    def cart_events(self) -> DataFrame:
+        return nested.event_attributes(self.clicks, self.events.cart, CART_ATTRIBUTES)
+
+    @cached_property
     def sessions(self) -> DataFrame:
         return sessions.session_rollup(self.clicks, roles.COUNTED_EVENTS, roles.MARKER_EVENTS,
                                        roles.STEP2_EVENTS, roles.STEP3_EVENTS)
 
-    @_shared
+    @cached_property
     def product_genders(self) -> DataFrame:
         """``prod_id, gender`` of every product.  The category lookup join
         keeps every product row (its keys are unique) and does not touch
@@ -96,7 +90,7 @@ class Roles:
         raw = roles.products_raw(self.spark, self.sf_dir)
         return raw.select(F.col("id").alias("prod_id"), "gender")
 
-    @_shared
+    @cached_property
     def product_summary(self) -> DataFrame:
         return marts.booking_product_summary(self.lines, self.product_genders)
 
@@ -104,18 +98,12 @@ class Roles:
     def dm_transactions(self) -> DataFrame:
         return marts.dm_transactions(self.tx, self.customers, self.product_summary)
 
-    @_shared
+    @cached_property
     def dm_transactions_base(self) -> DataFrame:
         """The mart without the booking number (lazy, prunable)."""
         return marts.dm_transactions(self.tx, self.customers, self.product_summary, with_booking_number=False)
 
 
-@dataclass(frozen=True)
-class Metric:
-    metric_id: int
-    label: str
-
-
 def _grouped(units: DataFrame, grouping: str, r: Roles) -> DataFrame:
     if grouping == "segment":
         dim = r.customers.select("customer_id", F.col("segment").alias("grp"))
@@ -170,7 +158,8 @@ def payment_customers(grouping: str, r: Roles) -> DataFrame:
         s = r.sessions.select("session_id", F.col("traffic_source").alias("grp"))
         base = (r.tx.select("payment_method", "session_id", "customer_id").join(s, "session_id")
                 .join(r.customers.select("customer_id"), "customer_id"))
-    return (base.filter(F.col("grp").isin(groups))
+    return (base.withColumn("grp", norm_label(F.col("grp")))
+            .filter(F.col("grp").isin([g.strip().upper() for g in groups]))
             .groupBy("payment_method", "grp", "customer_id")
             .agg(F.count(F.lit(1)).alias("transactions_cnt")))
 

@@ -10,10 +10,23 @@ intervals), chi-square by the closed form for even degrees of freedom.
 
 from __future__ import annotations
 
-from shopstat.functions.bands import AGE_BANDS, AGE_NOT_SET, AMOUNT_BANDS, AMOUNT_TOP
-from shopstat.plans.catalog import AGE_AS_OF, METRIC_KEYS, PAYMENT_METHODS
-from shopstat.plans.metrics import METRIC_LABELS
-from shopstat.sources import roles
+# Fixed values, written out here so that a wrong one in the package shows.
+AGE_BANDS = [(14, "1: less than 14"), (18, "2: 14 – 17"), (24, "3: 18 – 23"), (28, "4: 24 – 27"), (35, "5: 28 – 34"),
+             (50, "6: 35 – 49"), (66, "7: 50 – 65"), (99, "8: more than 65")]
+AGE_NOT_SET = "9: Not set"
+AMOUNT_BANDS = [(0, "0: Not set"), (200000, "1: less than 200,000"), (300000, "2: 200,000 - 300,000"),
+                (500000, "3: 300,000 - 500,000"), (2000000, "4: 500,000 - 2,000,000"), (100000000, "5: more than 2,000,000")]
+AMOUNT_TOP = "6: more than 100,000,000"
+AGE_AS_OF = "1999-06-30"
+METRIC_KEYS = {1: "order_value", 2: "items", 3: "clicks", 4: "delivery_cost", 5: "unique_products"}
+METRIC_LABELS = {1: "Average order value", 2: "Number of items per order", 3: "Number of clicks before booking",
+                 4: "Average delivery cost", 5: "Number of unique products"}
+QUANTILES = [0, 0.01, 0.05, 0.25, 0.50, 0.75, 0.90, 0.95, 0.97, 0.99, 0.995, 0.997, 0.999, 1]
+SEGMENT_GROUPS = ("BUILDING", "MACHINERY")
+SOURCE_GROUPS = ("WEB", "MOBILE")
+COUNTED_EVENTS, MARKER_EVENTS = ["click", "view", "error"], ["signup", "purchase"]
+STEP2_EVENTS, STEP3_EVENTS = ["click", "view"], ["signup"]
+BOOKING_EVENT, CART_EVENT, MENS_PRODUCT_TYPE = "purchase", "signup", "ECONOMY"
 
 
 def _case(expr: str, bands, otherwise: str) -> str:
@@ -35,9 +48,9 @@ def _cap(expr: str) -> str:
 
 def _session_cols() -> str:
     cols = []
-    for e in sorted(set(roles.COUNTED_EVENTS) | set(roles.MARKER_EVENTS)):
+    for e in sorted(set(COUNTED_EVENTS) | set(MARKER_EVENTS)):
         t = f"CASE WHEN event_name = '{e}' THEN event_time END"
-        if e in roles.COUNTED_EVENTS:
+        if e in COUNTED_EVENTS:
             cols += [f"CAST(count({t}) AS INTEGER) AS {e}_cnt", f"min({t}) AS {e}_first_time",
                      f"max({t}) AS {e}_last_time"]
         else:
@@ -77,14 +90,15 @@ cust AS (
   SELECT c_custkey AS customer_id, c_mktsegment AS segment,
     CASE WHEN c_custkey % 50 = 0 THEN NULL
          ELSE CAST(DATE '1940-01-01' + CAST(c_custkey * 37 % 25000 AS INTEGER) AS TIMESTAMP) END AS birthdate,
-    CAST(c_nationkey AS VARCHAR) AS home_location
+    CAST(c_nationkey AS VARCHAR) AS home_location,
+    CAST(NULL AS VARCHAR) AS gender, CAST(NULL AS VARCHAR) AS device_type, CAST(NULL AS VARCHAR) AS device_version
   FROM customer),
 prods AS (
   SELECT p_partkey AS prod_id, p_name AS prod_name,
     {_cap('p_type')} AS category_level_1,
     replace(p_brand, '#', ' ') AS category_level_2,
     {_cap("split_part(p_name, ' ', 2)")} AS category_level_3,
-    CASE WHEN p_type = '{roles.MENS_PRODUCT_TYPE}' THEN 'Men' ELSE 'Women' END AS gender,
+    CASE WHEN p_type = '{MENS_PRODUCT_TYPE}' THEN 'Men' ELSE 'Women' END AS gender,
     split_part(p_name, ' ', 1) AS baseColour,
     CAST(NULL AS VARCHAR) AS season,
     CAST(2010 + p_size % 10 AS BIGINT) AS year,
@@ -106,8 +120,8 @@ sess_tot AS (
     CAST(count(event_id) AS INTEGER) AS session_events_cnt,
     min(event_time) AS session_start_time,
     max(event_time) AS session_end_time,
-    min(CASE WHEN event_name IN ({_list(roles.STEP2_EVENTS)}) THEN event_time END) AS step2_time,
-    min(CASE WHEN event_name IN ({_list(roles.STEP3_EVENTS)}) THEN event_time END) AS step3_time
+    min(CASE WHEN event_name IN ({_list(STEP2_EVENTS)}) THEN event_time END) AS step2_time,
+    min(CASE WHEN event_name IN ({_list(STEP3_EVENTS)}) THEN event_time END) AS step3_time
   FROM ev WHERE session_id IS NOT NULL
   GROUP BY session_id),
 sess AS (
@@ -133,7 +147,7 @@ mart AS (
 cart AS (
   SELECT event_id, session_id, event_time, traffic_source, value,
     CAST(json_extract_string(event_metadata, '$.k') AS BIGINT) AS k
-  FROM ev WHERE event_name = '{roles.CART_EVENT}')
+  FROM ev WHERE event_name = '{CART_EVENT}')
 """
 
 
@@ -165,7 +179,7 @@ def _units(metric_id: int, grouping: str) -> str:
 
 
 def ttest_sql(metric_id: int, grouping: str) -> str:
-    g1, g2 = (roles.SEGMENT_GROUPS if grouping == "segment" else roles.SOURCE_GROUPS)
+    g1, g2 = (SEGMENT_GROUPS if grouping == "segment" else SOURCE_GROUPS)
     label = METRIC_LABELS[metric_id]
     nl = "' || chr(10) || '"
     extra = f"""
@@ -210,16 +224,16 @@ def _payment_customers(grouping: str) -> str:
     if grouping == "segment":
         return (f"SELECT t.payment_method, c.segment AS grp, c.customer_id, count(*) AS transactions_cnt "
                 f"FROM mart t JOIN cust c ON t.customer_id = c.customer_id "
-                f"WHERE c.segment IN ({_list(roles.SEGMENT_GROUPS)}) "
+                f"WHERE c.segment IN ({_list(SEGMENT_GROUPS)}) "
                 f"GROUP BY t.payment_method, c.segment, c.customer_id")
     return (f"SELECT t.payment_method, s.traffic_source AS grp, c.customer_id, count(*) AS transactions_cnt "
             f"FROM tx t JOIN sess s ON t.session_id = s.session_id JOIN cust c ON t.customer_id = c.customer_id "
-            f"WHERE s.traffic_source IN ({_list(roles.SOURCE_GROUPS)}) "
+            f"WHERE s.traffic_source IN ({_list(SOURCE_GROUPS)}) "
             f"GROUP BY t.payment_method, s.traffic_source, c.customer_id")
 
 
 def _crosstab_cte(grouping: str) -> str:
-    g1, g2 = roles.SEGMENT_GROUPS if grouping == "segment" else roles.SOURCE_GROUPS
+    g1, g2 = SEGMENT_GROUPS if grouping == "segment" else SOURCE_GROUPS
     return f"""
 pc AS ({_payment_customers(grouping)}),
 ct AS (
@@ -234,7 +248,7 @@ ct AS (
 def chi2_sql(grouping: str) -> str:
     title = "Segment" if grouping == "segment" else "Traffic source"
     question = f"Does the share of payment methods differ across {title}?"
-    hdr = " / ".join(roles.SEGMENT_GROUPS if grouping == "segment" else roles.SOURCE_GROUPS)
+    hdr = " / ".join(SEGMENT_GROUPS if grouping == "segment" else SOURCE_GROUPS)
     nl = "' || chr(10) || '"
     extra = _crosstab_cte(grouping) + """,
 tot AS (SELECT CAST(sum(c1) AS DOUBLE) AS s1, CAST(sum(c2) AS DOUBLE) AS s2,
@@ -324,8 +338,7 @@ def _describe() -> str:
 
 
 def _quantiles() -> str:
-    from shopstat.operators.profile import REPORT_QUANTILES
-    qs = ", ".join(f"CAST({q} AS DOUBLE)" for q in REPORT_QUANTILES)
+    qs = ", ".join(f"CAST({q} AS DOUBLE)" for q in QUANTILES)
     return _with(f"""
 SELECT q, round_even(value, 6) AS value FROM (
   SELECT unnest([{qs}]) AS q,
@@ -352,20 +365,20 @@ FROM fences
 """, FENCES)
 
 
-def _daily_cte() -> str:
-    cols = ", ".join(f"count(*) FILTER (WHERE payment_method = '{m}') AS \"{m}\"" for m in PAYMENT_METHODS)
-    return (f"daily AS (SELECT CAST(created_at AS DATE) AS day, {cols} FROM tx "
-            f"WHERE payment_method IS NOT NULL GROUP BY CAST(created_at AS DATE))")
+DAILY = """
+methods AS (SELECT DISTINCT payment_method FROM tx WHERE payment_method IS NOT NULL),
+days AS (SELECT DISTINCT CAST(created_at AS DATE) AS day FROM tx WHERE payment_method IS NOT NULL),
+daily AS (SELECT d.day, m.payment_method, count(t.booking_id) AS cnt FROM days d CROSS JOIN methods m
+  LEFT JOIN tx t ON CAST(t.created_at AS DATE) = d.day AND t.payment_method = m.payment_method GROUP BY ALL)"""
 
 
 def _rolling() -> str:
-    on = ", ".join(f'"{m}"' for m in PAYMENT_METHODS)
-    return _with(f"""
+    return _with("""
 SELECT strftime(day, '%Y-%m-%d') AS day, payment_method, cnt,
   round_even(CASE WHEN count(*) OVER w = 7 THEN avg(cnt) OVER w END, 6) AS rolling_7
-FROM (UNPIVOT daily ON {on} INTO NAME payment_method VALUE cnt)
+FROM daily
 WINDOW w AS (PARTITION BY payment_method ORDER BY day ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)
-""", _daily_cte())
+""", DAILY)
 
 
 def build_oracle() -> dict[str, str]:
@@ -373,9 +386,9 @@ def build_oracle() -> dict[str, str]:
     for mid, name in METRIC_KEYS.items():
         for grouping in ("segment", "source"):
             sql[f"ttest_{name}_by_{grouping}"] = ttest_sql(mid, grouping)
-    g1, g2 = roles.SEGMENT_GROUPS
-    counted = sorted(roles.COUNTED_EVENTS)
-    markers = sorted(set(roles.MARKER_EVENTS) - set(roles.COUNTED_EVENTS))
+    g1, g2 = SEGMENT_GROUPS
+    counted = sorted(COUNTED_EVENTS)
+    markers = sorted(set(MARKER_EVENTS) - set(COUNTED_EVENTS))
     flags = ", ".join([f"CASE WHEN {e}_cnt > 0 THEN 1 ELSE 0 END AS has_{e}" for e in counted]
                       + [f"CASE WHEN {e}_time IS NOT NULL THEN 1 ELSE 0 END AS has_{e}" for e in markers])
     age = f"(year(DATE '{AGE_AS_OF}') - year(birthdate))"
@@ -415,7 +428,7 @@ FROM sess"""),
         "funnel": _with(f"""
 SELECT traffic_source, count(*) AS sessions, count(session_start_time) AS started,
   count(step2_time) AS step2_sessions, count(step3_time) AS step3_sessions,
-  count({roles.BOOKING_EVENT}_time) AS booking_sessions
+  count({BOOKING_EVENT}_time) AS booking_sessions
 FROM sess GROUP BY traffic_source"""),
         "booking_number": _with("""
 SELECT booking_id, customer_id, created_at,
@@ -456,7 +469,8 @@ FROM lines"""),
         "orphan_lines": _with("""
 SELECT booking_id, product_id, quantity, round_even(item_price, 6) AS item_price,
   round_even(product_amount, 6) AS product_amount
-FROM lines l WHERE NOT EXISTS (SELECT 1 FROM prods p WHERE p.prod_id IS NOT DISTINCT FROM l.product_id)"""),
+FROM (SELECT * REPLACE (CASE WHEN booking_id % 97 = 0 THEN product_id + 10000000 ELSE product_id END AS product_id) FROM lines) l
+WHERE NOT EXISTS (SELECT 1 FROM prods p WHERE p.prod_id IS NOT DISTINCT FROM l.product_id)"""),
         "duplicate_lines": _with("""
 SELECT l.booking_id, l.product_id, l.quantity, round_even(l.item_price, 6) AS item_price,
   round_even(l.product_amount, 6) AS product_amount, d.dup_count
@@ -466,13 +480,13 @@ FROM lines l JOIN (SELECT booking_id, product_id, count(*) AS dup_count FROM lin
         "reconcile_totals": _with(f"""
 SELECT CAST(difference AS DOUBLE) AS difference, count(*) AS bookings FROM (
   SELECT CAST(t.total_amount - t.shipment_fee + t.promo_amount - s.products_total AS DECIMAL(18,2)) AS difference
-  FROM tx t LEFT JOIN (SELECT booking_id, {_money('sum(product_amount)')} AS products_total
+  FROM tx t LEFT JOIN (SELECT booking_id, CAST(sum({_money('product_amount')}) AS DECIMAL(18,2)) AS products_total
                        FROM lines GROUP BY booking_id) s ON t.booking_id = s.booking_id)
 WHERE difference IS NOT NULL GROUP BY difference"""),
         "once_per_session": _with(f"""
-SELECT '{roles.BOOKING_EVENT}' AS event_name, count(*) AS total, count(DISTINCT session_id) AS unique_sessions,
+SELECT '{BOOKING_EVENT}' AS event_name, count(*) AS total, count(DISTINCT session_id) AS unique_sessions,
   count(*) FILTER (WHERE session_id IS NULL) AS missing_sessions
-FROM ev WHERE event_name = '{roles.BOOKING_EVENT}'"""),
+FROM ev WHERE event_name = '{BOOKING_EVENT}'"""),
         "column_profile": _column_profile(),
         "describe_orders": _describe(),
         "quantiles_order_value": _quantiles(),
@@ -482,12 +496,16 @@ SELECT l.booking_id, l.product_id, l.quantity, round_even(l.item_price, 6) AS it
   round_even(l.product_amount, 6) AS product_amount
 FROM lines l, fences f WHERE l.product_amount < f.lower_fence OR l.product_amount > f.upper_fence""", FENCES),
         "ship_histogram": _with("""
-SELECT CAST(CASE WHEN b.hi = b.lo THEN 1 ELSE least(floor((v.x - b.lo) * 50 / (b.hi - b.lo)) + 1, 50) END AS INTEGER)
-         AS bin,
-       count(*) AS cnt
-FROM (SELECT epoch(shipment_date_limit) AS x FROM tx WHERE shipment_date_limit IS NOT NULL) v,
-     (SELECT min(epoch(shipment_date_limit)) AS lo, max(epoch(shipment_date_limit)) AS hi FROM tx) b
-GROUP BY 1"""),
+SELECT CAST(g.i AS INTEGER) AS bin, round_even(b.lo + (b.hi - b.lo) * (g.i - 1) / 50, 6) AS bin_start,
+  round_even(b.lo + (b.hi - b.lo) * g.i / 50, 6) AS bin_end, count(v.x) AS cnt
+FROM range(1, 51) g(i)
+CROSS JOIN (SELECT min(epoch(shipment_date_limit)) AS lo, max(epoch(shipment_date_limit)) AS hi FROM tx) b
+LEFT JOIN (SELECT epoch(shipment_date_limit) AS x FROM tx WHERE shipment_date_limit IS NOT NULL) v
+  ON g.i = least(floor((v.x - b.lo) * 50 / (b.hi - b.lo)) + 1, 50)
+GROUP BY ALL"""),
+        "sample_events": _with("""
+SELECT event_id, session_id, event_name, event_time, traffic_source, event_metadata, round_even(value, 6) AS value FROM ev
+ORDER BY md5(CAST(event_id AS VARCHAR) || ':42'), event_id LIMIT 20"""),
         "value_counts_status": _with(
             "SELECT payment_status, count(*) AS cnt FROM tx WHERE payment_status IS NOT NULL GROUP BY payment_status"),
         "value_counts_with_nulls": _with("SELECT promo_code, count(*) AS cnt FROM tx GROUP BY promo_code"),
@@ -500,7 +518,7 @@ FROM cust GROUP BY 1"""),
 SELECT event_name, count(event_id) AS event_count, count(DISTINCT session_id) AS session_unique,
   round_even(count(event_id) / count(DISTINCT session_id), 1) AS ratio
 FROM ev WHERE event_name IS NOT NULL GROUP BY event_name"""),
-        "daily_method_counts": _with("SELECT * REPLACE (strftime(day, '%Y-%m-%d') AS day) FROM daily", _daily_cte()),
+        "daily_method_counts": _with("SELECT * REPLACE (strftime(day, '%Y-%m-%d') AS day) FROM daily", DAILY),
         "daily_method_rolling7": _rolling(),
         "head_orders": _with("""
 (SELECT booking_id, created_at, CAST(total_amount AS DOUBLE) AS total_amount, 'head' AS part FROM tx ORDER BY booking_id LIMIT 5)

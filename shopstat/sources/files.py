@@ -8,30 +8,35 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shopstat.functions.text import NA_TOKENS, drop_replacement_chars, field, first_fields, null_tokens, strip_line_breaks
+from shopstat.functions.text import NA_TOKENS, drop_replacement_chars, first_fields, null_tokens, strip_line_breaks
 
 # Separator and quote characters that never occur in the shop's text files;
 # with them the CSV reader hands over whole lines (and drops each file's
-# header line), and the splitting is done by column expressions.
+# header line).
 _NO_SEP = "\u0001"
 _NO_QUOTE = "\u0000"
 
 
 def read_csv_typed(spark: SparkSession, path: str, schema: T.StructType,
-                   na_tokens: Sequence[str] = NA_TOKENS, lenient: bool = False) -> DataFrame:
-    """CSV with a header, columns cast to ``schema``.
+                   na_tokens: Sequence[str] = NA_TOKENS, lenient: bool = False, multi_line: bool = True) -> DataFrame:
+    """CSV with a header; the columns of ``schema`` by name, cast to its types.
 
-    Every column is read as text first so that all missing-value tokens (not
-    only one ``nullValue``) become null; then cast.  No type inference: the
-    schema is explicit.  Strict casts raise on bad values, lenient ones give
-    null.
+    A column that the header lacks is an error; others are ignored.  Doubled
+    quotes stand for one.  Every column is read as text first so that all
+    missing-value tokens (not only one ``nullValue``) become null; then cast.
+    Strict reading raises on rows of the wrong length and on bad values,
+    lenient reading gives nulls.  ``multi_line`` allows line breaks inside
+    quotes; a file is then one task's work, so large exports without such
+    breaks should pass False (files are then split) or come in many files.
     """
-    raw = (spark.read.option("header", True).option("mode", "PERMISSIVE")
-           .schema(T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields]))
-           .csv(path))
+    raw = (spark.read.option("header", True).option("mode", "PERMISSIVE" if lenient else "FAILFAST")
+           .option("quote", '"').option("escape", '"').option("multiLine", multi_line).csv(path))
+    missing = [f.name for f in schema.fields if f.name not in raw.columns]
+    if missing:
+        raise ValueError(f"{path}: the header lacks {', '.join(missing)}")
     cols = []
     for f in schema.fields:
-        c = null_tokens(F.col(f.name), list(na_tokens))
+        c = null_tokens(F.col(f"`{f.name}`"), list(na_tokens))
         if isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)):
             parsed = F.try_to_timestamp(c) if lenient else F.to_timestamp(c)
             cols.append(parsed.cast(f.dataType).alias(f.name))
@@ -43,14 +48,15 @@ def read_csv_typed(spark: SparkSession, path: str, schema: T.StructType,
 def read_ragged_csv(spark: SparkSession, path: str, n_fields: int = 10, sep: str = ",",
                     types: dict[str, T.DataType] | None = None,
                     na_tokens: Sequence[str] = NA_TOKENS) -> DataFrame:
-    """Lines cut at every ``sep``, first ``n_fields`` pieces kept, named by
-    the header line.
+    """Lines cut at every ``sep``, the first ``n_fields`` pieces joined by
+    tabs and read as tab-separated fields with quotes, named by the header.
 
-    Quotes are not honoured (a quoted separator cuts the field), undecodable
-    bytes are dropped, line-break characters become blanks, blank lines are
-    skipped, values are trimmed and missing-value tokens become null.
-    Missing trailing fields are null.  ``types`` casts named columns
-    (lenient: a bad value becomes null).
+    So a separator inside quotes cuts, but the quote then holds its pieces
+    together again (``"Red, Dark"`` is one field ``Red<TAB> Dark``).
+    Undecodable bytes are dropped, line-break characters become blanks, blank
+    lines are skipped, values are trimmed and missing-value tokens become
+    null; missing trailing fields are null.  A quote left open ends with its
+    line.  ``types`` casts named columns (lenient: a bad value becomes null).
     """
     raw = (spark.read.option("header", True).option("sep", _NO_SEP).option("quote", _NO_QUOTE)
            .option("escape", _NO_QUOTE).option("ignoreLeadingWhiteSpace", False)
@@ -58,11 +64,13 @@ def read_ragged_csv(spark: SparkSession, path: str, n_fields: int = 10, sep: str
     header = raw.columns[0]
     names = [drop_replacement_name(n).strip() for n in header.split(sep)[:n_fields]]
     line = strip_line_breaks(drop_replacement_chars(F.col(f"`{header}`")))
-    parts = raw.select(first_fields(line, n_fields, sep).alias("_f"), line.alias("_line"))
-    parts = parts.filter(F.trim(F.col("_line")) != "")
+    pieces = F.array_join(first_fields(line, n_fields, sep), "\t", "")
+    fields = F.from_csv(pieces, ", ".join(f"f{i} string" for i in range(len(names))),
+                        {"sep": "\t", "quote": '"', "escape": '"', "mode": "PERMISSIVE"})
+    parts = raw.select(line.alias("_line"), fields.alias("_f")).filter(F.trim(F.col("_line")) != "")
     cols = []
     for i, name in enumerate(names):
-        v = null_tokens(F.trim(field(F.col("_f"), i)), list(na_tokens))
+        v = null_tokens(F.trim(F.col(f"_f.f{i}")), list(na_tokens))
         if types and name in types:
             v = v.try_cast(types[name])
         cols.append(v.alias(name))
@@ -78,4 +86,4 @@ def read_lookup(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
     read; export the sheet to CSV first."""
     if fmt == "parquet":
         return spark.read.parquet(path)
-    return spark.read.option("header", True).csv(path)
+    return spark.read.option("header", True).option("quote", '"').option("escape", '"').csv(path)

@@ -12,6 +12,8 @@ DataFrames and column names as parameters.
 from __future__ import annotations
 
 import os
+from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +28,20 @@ STEP3_EVENTS = ["signup"]
 BOOKING_EVENT = "purchase"
 CART_EVENT = "signup"                          # the event whose attributes become a table
 
+
+@dataclass(frozen=True)
+class EventRoles:
+    """Which events a source counts, marks and takes as steps."""
+    counted: Sequence[str]
+    markers: Sequence[str]
+    step2: Sequence[str]
+    step3: Sequence[str]
+    booking: str
+    cart: str
+
+
+EVENTS = EventRoles(COUNTED_EVENTS, MARKER_EVENTS, STEP2_EVENTS, STEP3_EVENTS, BOOKING_EVENT, CART_EVENT)
+
 # The two groups compared by the statistical tests.
 SEGMENT_GROUPS = ("BUILDING", "MACHINERY")
 SOURCE_GROUPS = ("WEB", "MOBILE")

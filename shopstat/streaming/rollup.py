@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from shopstat.operators.sessions import clean_clicks
+from shopstat.operators.sessions import clean_clicks, event_aggregates
 
 
 def streaming_session_rollup(
@@ -46,21 +46,8 @@ def streaming_session_rollup(
           .withColumn(time_col, F.col(time_col).cast("timestamp"))
           .filter(F.col(session_col).isNotNull() & F.col(source_col).isNotNull() & ts.isNotNull())
           .withWatermark(time_col, watermark))
-    aggs = []
-    for e in sorted(set(counted) | set(markers)):
-        t_e = F.when(name == F.lit(e), ts)
-        if e in markers and e not in counted:
-            aggs.append(F.min(t_e).alias(f"{e}_time"))
-        else:
-            aggs += [F.count(t_e).cast("int").alias(f"{e}_cnt"),
-                     F.min(t_e).alias(f"{e}_first_time"), F.max(t_e).alias(f"{e}_last_time")]
-    aggs += [
-        F.count(F.col(id_col)).cast("int").alias("session_events_cnt"),
-        F.min(ts).alias("session_start_time"),
-        F.max(ts).alias("session_end_time"),
-        F.min(F.when(name.isin(list(step2)), ts)).alias("step2_time"),
-        F.min(F.when(name.isin(list(step3)), ts)).alias("step3_time"),
-    ]
+    aggs = event_aggregates(counted, markers, step2, step3, name, ts, F.col(id_col), (
+        "session_events_cnt", "session_start_time", "session_end_time", "step2_time", "step3_time"))
     rolled = (ev.groupBy(F.session_window(ts, gap).alias("session_window"), session_col, source_col)
               .agg(*aggs))
     return rolled.select(*[
