@@ -107,7 +107,7 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8) -> SparkSe
 
 
 def cluster_conf(input_bytes: int, total_cores: int, target_partition_bytes: int = 256 << 20,
-                 broadcast_bytes: int = 64 << 20) -> dict[str, str]:
+                 broadcast_bytes: int = 64 << 20, most_partitions: int = 100_000) -> dict[str, str]:
     """Partition sizing for a cluster run over ``input_bytes`` of input.
 
     Scan splits and shuffle partitions aim at ``target_partition_bytes``
@@ -116,6 +116,9 @@ def cluster_conf(input_bytes: int, total_cores: int, target_partition_bytes: int
     partitions and splits skewed ones around the same size.  Joins switch to
     broadcast only below ``broadcast_bytes`` of measured (runtime) size.
     """
+    # the tables of map and reduce blocks grow with the square of the partition
+    # count, so beyond ``most_partitions`` each partition takes more bytes instead
+    target_partition_bytes = max(target_partition_bytes, -(-input_bytes // most_partitions))
     partitions = max(total_cores * 3, -(-input_bytes // target_partition_bytes))
     return {
         "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),

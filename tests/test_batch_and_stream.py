@@ -3,7 +3,9 @@ import os
 import tempfile
 
 
-from shopstat.operators.clean import CUSTOMERS_SCHEMA, PRODUCTS_SCHEMA, TRANSACTIONS_SCHEMA
+from pyspark.sql import types as T
+
+from shopstat.operators.clean import CUSTOMERS_SCHEMA, PRODUCTS_SCHEMA, TRANSACTIONS_SCHEMA, with_ids
 from shopstat.plans.batch import build_tables, register_views
 from shopstat.sources import roles
 from shopstat.streaming.rollup import start_rollup, streaming_session_rollup
@@ -15,8 +17,8 @@ def test_build_tables_roundtrip(spark, tmpdir_path):
     paths = build_tables(spark, SF, os.path.join(tmpdir_path, "out"))
     assert set(paths) >= {"rd_transactions", "rd_transactions_prods", "rd_events_add_to_cart", "rd_prods",
                           "rd_customers", "rd_sessions", "dm_transactions", "dm_sessions"}
-    declared = {"rd_transactions": TRANSACTIONS_SCHEMA, "rd_prods": PRODUCTS_SCHEMA,
-                "rd_customers": CUSTOMERS_SCHEMA}
+    segment = T.StructType(CUSTOMERS_SCHEMA.fields + [T.StructField("segment", T.StringType())])
+    declared = {"rd_transactions": with_ids(TRANSACTIONS_SCHEMA, T.LongType()), "rd_prods": PRODUCTS_SCHEMA, "rd_customers": segment}
     for table, schema in declared.items():
         got = spark.read.parquet(paths[table]).schema
         assert [(f.name, f.dataType) for f in got.fields] == [(f.name, f.dataType) for f in schema.fields], table
@@ -25,7 +27,7 @@ def test_build_tables_roundtrip(spark, tmpdir_path):
         assert {f"{e}_cnt", f"{e}_first_time", f"{e}_last_time"} <= set(sess)
     assert {"signup_time", "purchase_time", "session_events_cnt", "step2_time", "step3_time"} <= set(sess)
     lines = spark.read.parquet(paths["rd_transactions_prods"]).columns
-    assert lines == ["booking_id", "product_id", "quantity", "item_price", "product_amount"]
+    assert lines == ["booking_id", "product_id", "quantity", "item_price", "product_amount", "id"]
     assert register_views(spark, paths)
     assert spark.sql("SELECT count(*) AS n FROM dm_transactions").first().n > 0
 

@@ -31,3 +31,10 @@ def test_degenerate_inputs():
     assert t_two_sided_p(float("nan"), 3.0) is None
     assert t_two_sided_p(math.inf, 3.0) == 0.0
     assert chi2_upper_p(0.0, 2) == 1.0
+
+
+@pytest.mark.parametrize("df", [1e6, 1e8, 1e10, 1e12, 1e13])
+@pytest.mark.parametrize("t", [0.01, 1.0, 3.0])
+def test_large_degrees_of_freedom_tend_to_the_normal(df, t):
+    assert t_two_sided_p(t, df) == pytest.approx(math.erfc(t / math.sqrt(2)), abs=1e-6)
+    assert reg_incomplete_beta(2.0, 3.0, 0.4) == pytest.approx(0.5248)

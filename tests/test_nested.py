@@ -68,3 +68,22 @@ def test_apostrophe_inside_string_field(spark):
                                "t string")
     items = df.select(parse_items(F.col("t"), schema).alias("a")).first().a
     assert [(i.name, i.product_id) for i in items] == [("O'Neil None", 1), ("plain", None)]
+
+
+@pytest.mark.parametrize("text, want", [
+    ("{'kw': 'a, None, b'}", {"kw": "a, None, b"}), ("{'kw': 'x, True]'}", {"kw": "x, True]"}),
+    ("{'a': None, 'b': True, 'c': \"it's False\", 'd': False}", {"a": None, "b": "true", "c": "it's False", "d": "false"}),
+    ("{'a': 'it\\'s None', 'b': None}", {"a": "it's None", "b": None}), ("{'None': 'None'}", {"None": "None"}),
+])
+def test_only_bare_words_are_rewritten(spark, text, want):
+    ev = spark.createDataFrame([(1, "e", text)], "event_id long, event_name string, event_metadata string")
+    assert event_attributes(ev, "e").first().attributes == want
+
+
+def test_long_literals_and_malformed_events(spark):
+    long = "[" + ", ".join("{'product_id': None, 'quantity': 1, 'item_price': 2.0}" for _ in range(3000)) + "]"
+    assert booking_lines(_tx(spark, [(1, long)])).filter("product_id IS NULL AND quantity = 1").count() == 3000
+    bad = spark.createDataFrame([(1, "e", "{'a': "), (2, "e", None)], "event_id long, event_name string, event_metadata string")
+    with pytest.raises(Exception):
+        event_attributes(bad, "e").collect()
+    assert [r.attributes for r in event_attributes(bad, "e", strict=False).orderBy("event_id").collect()] == [None, None]

@@ -10,13 +10,22 @@ from shopstat.operators.profile import (birth_year_counts, box_stats, column_pro
 def test_histogram_last_bin_closed(spark):
     df = spark.createDataFrame([(float(v),) for v in [0, 1, 2, 5, 9, 10]], "x double")
     got = {r.bin: r.cnt for r in histogram(df, "x", 10).collect()}
-    assert got == {1: 1, 2: 1, 3: 1, 6: 1, 10: 2}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 0, 5: 0, 6: 1, 7: 0, 8: 0, 9: 0, 10: 2}
+    edges = {r.bin: (r.bin_start, r.bin_end) for r in histogram(df, "x", 10).collect()}
+    assert edges[1] == (0.0, 1.0) and edges[10] == (9.0, 10.0)
+
+
+def test_histogram_of_one_value_and_of_none(spark):
+    one = spark.createDataFrame([(5.0,), (5.0,), (None,)], "x double")
+    got = histogram(one, "x", 4).orderBy("bin").collect()
+    assert [r.cnt for r in got] == [0, 0, 2, 0] and (got[0].bin_start, got[3].bin_end) == (4.5, 5.5)
+    assert histogram(one.filter("x IS NULL"), "x", 4).collect() == []
 
 
 def test_histogram_timestamps(spark):
     t0 = dt.datetime(2024, 1, 1)
     df = spark.createDataFrame([(t0,), (t0 + dt.timedelta(days=1),)], "t timestamp_ntz")
-    assert {r.bin: r.cnt for r in histogram(df, "t", 50).collect()} == {1: 1, 50: 1}
+    assert {r.bin: r.cnt for r in histogram(df, "t", 50).collect() if r.cnt} == {1: 1, 50: 1}
 
 
 def test_box_and_outliers(spark):
@@ -59,9 +68,9 @@ def test_daily_and_rolling(spark):
         if d % 2 == 0:
             rows.append((base + dt.timedelta(days=d), "B"))
     df = spark.createDataFrame(rows, "ts timestamp_ntz, m string")
-    daily = daily_counts(df, "ts", "m", ["A", "B"])
-    assert daily.count() == 8
-    r = {(x.day, x.payment_method): x for x in rolling_mean(daily, ["A", "B"], 7).collect()}
+    daily = daily_counts(df, "ts", "m").withColumnRenamed("m", "payment_method")
+    assert daily.count() == 16
+    r = {(x.day, x.payment_method): x for x in rolling_mean(daily, 7).collect()}
     day = lambda d: (base + dt.timedelta(days=d)).date()
     assert r[(day(4), "A")].rolling_7 is None
     # rows present: days 0,1,2,3,4,9,10,11
@@ -92,3 +101,36 @@ def test_approximate_modes(spark):
     assert all(abs(approx[k] - exact[k]) <= 0.1 * exact[k] for k in exact)
     p = {r.column_name: r.distinct_values for r in column_profile(df, approx=True).collect()}
     assert p["booking_id"] == 10
+
+
+def test_daily_counts_cover_every_method(spark):
+    day = dt.datetime(2024, 1, 1)
+    df = spark.createDataFrame([(day, "1-URGENT"), (day, "6-NEW"), (day, "6-NEW"), (day + dt.timedelta(days=1), None), (None, "6-NEW")],
+                               "ts timestamp_ntz, m string")
+    got = {(r.day, r.m): r.cnt for r in daily_counts(df, "ts", "m").collect()}
+    assert got[(day.date(), "6-NEW")] == 2 and got[(day.date(), "1-URGENT")] == 1
+    assert daily_counts(df.limit(0), "ts", "m").collect() == []
+
+
+def test_column_profile_counts_only_what_is_asked(spark):
+    df = spark.createDataFrame([(1, 0.0, "a"), (1, -0.0, None)], "a int, b double, c string")
+    p = {r.column_name: r for r in column_profile(df, distinct_of=["a", "b"]).collect()}
+    assert (p["a"].distinct_values, p["b"].distinct_values, p["c"].distinct_values) == (1, 1, None)
+    assert p["c"].nulls == 1
+    plan = column_profile(df, distinct_of=[])._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan            # nulls and types need no shuffle of values
+
+
+def test_appended_rows_are_seen(spark, tmpdir_path):
+    import os
+    import shutil
+
+    from shopstat.plans.catalog import build_queries
+    src = "/root/testdata/sf0.001"
+    for t in ("orders", "lineitem"):
+        os.makedirs(os.path.join(tmpdir_path, f"{t}.parquet"))
+        shutil.copy(f"{src}/{t}.parquet", os.path.join(tmpdir_path, f"{t}.parquet", "a.parquet"))
+    count = lambda: sum(r.cnt for r in build_queries()["value_counts_status"](spark, tmpdir_path).collect())
+    first = count()
+    shutil.copy(f"{src}/orders.parquet", os.path.join(tmpdir_path, "orders.parquet", "b.parquet"))
+    assert count() == 2 * first

@@ -5,7 +5,7 @@ from hypothesis import strategies as st
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from shopstat.operators.ranking import exact_quantiles, sequence_number
+from shopstat.operators.ranking import cumulative_counts, exact_quantiles, sequence_number
 
 
 def test_sequence_number_matches_row_number_on_skewed_keys(spark):
@@ -74,3 +74,56 @@ def test_hot_key_is_spread_over_range_partitions(spark):
              .agg(F.count_if(F.col("k") == 0).alias("hot"), F.count("*").alias("n")).collect())
     assert sum(1 for r in parts if r.hot > 0) >= 2          # the hot key spans several tasks
     assert max(r.n for r in parts) < 2 * 30000 / 8         # no task gets much more than its share
+
+
+def test_nan_keys_are_one_key(spark):
+    df = spark.range(0, 2000).select(F.when(F.col("id") % 2 == 0, F.lit(float("nan"))).otherwise(F.lit(1.0)).alias("k"), F.col("id"))
+    got = sorted(r.rn for r in sequence_number(df, ["k"], ["id"], "rn").filter(F.isnan("k")).collect())
+    assert got == list(range(1, 1001))
+
+
+def test_hot_value_is_one_row_of_the_quantile_table(spark):
+    """Two thirds of the rows share a value; no range partition gets more than twice its share."""
+    df = spark.range(0, 30000).select(F.when(F.col("id") % 3 < 2, F.lit(7.0)).otherwise(F.col("id").cast("double")).alias("v"))
+    table = cumulative_counts(df, "v", num_partitions=8)
+    sizes = [r["count"] for r in table.groupBy("_v").count().collect()]
+    assert max(sizes) == 1 and table.agg(F.max("_upto")).first()[0] == 30000
+    parts = (df.groupBy("v").count().repartitionByRange(8, "v").groupBy(F.spark_partition_id()).count().collect())
+    assert max(r["count"] for r in parts) <= 2 * 10001 / 8
+    got = {r.q: r.value for r in exact_quantiles(df, "v", [0.0, 0.5, 0.9]).collect()}
+    vals = np.array([7.0 if i % 3 < 2 else float(i) for i in range(30000)])
+    assert got == {q: pytest.approx(float(np.quantile(vals, q))) for q in (0.0, 0.5, 0.9)}
+
+
+def test_mart_numbers_only_key_columns(spark):
+    """Three columns pass through Python in the mart's numbering."""
+    from unittest import mock
+
+    from shopstat.operators import marts
+    from shopstat.plans.metrics import Roles
+    seen = []
+    real = marts.sequence_number
+    with mock.patch.object(marts, "sequence_number", lambda df, *a, **k: seen.append(df.columns) or real(df, *a, **k)):
+        mart = Roles(spark, "/root/testdata/sf0.001").dm_transactions
+    assert seen == [["customer_id", "created_dt", "booking_id"]] and mart.columns[-1] == "booking_number"
+
+
+def test_distinct_products_use_one_exchange(spark):
+    from shopstat.operators.marts import order_unique_products
+    from shopstat.plans.metrics import Roles
+    lines = Roles(spark, "/root/testdata/sf0.001").lines
+    plan = lambda **k: order_unique_products(lines, **k)._jdf.queryExecution().executedPlan().toString()
+    assert plan().count("Exchange") == 1 and plan(pre_partition=False).count("Exchange") == 2
+
+
+def test_building_products_starts_no_job(spark):
+    from shopstat.operators.clean import products_clean
+    from shopstat.sources import roles
+    sc = spark.sparkContext
+    raw, lookup = (f(spark, "/root/testdata/sf0.001") for f in (roles.products_raw, roles.category_lookup))
+    sc.setJobGroup("no-job", "building")
+    try:
+        products_clean(raw, lookup)
+        assert not sc.statusTracker().getJobIdsForGroup("no-job")
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)

@@ -98,9 +98,33 @@ def test_chi_square_transposed_2x2_same(spark):
     assert a.statistic == pytest.approx(b.statistic) and a.p_value == pytest.approx(b.p_value)
 
 
-def test_single_row_has_no_test(spark):
+def test_no_degrees_of_freedom(spark):
     ct = crosstab(_cells(spark, [[3, 4]]), "method", "grp", ["g1", "g2"])
-    assert chi_square(ct, "method", ["g1", "g2"]).count() == 0
+    r = chi_square(ct, "method", ["g1", "g2"]).first()
+    assert (r.statistic, r.dof, r.p_value) == (0.0, 0, 1.0)
+
+
+def test_group_without_rows(spark):
+    ct = crosstab(_cells(spark, [[3, 0], [5, 0]]), "method", "grp", ["g1", "g2"])
+    r = chi_square(ct, "method", ["g1", "g2"]).first()
+    assert (r.statistic, r.dof, r.p_value) == (0.0, 0, 1.0)
+    assert {x.method: x.g2 for x in crosstab_percent(ct, "method", ["g1", "g2"]).collect()} == {"m0": None, "m1": None}
+
+
+def test_percent_sign_in_a_label(spark):
+    df = _cells(spark, [[3, 4], [5, 1]], cols=("10%", "%s"))
+    r = chi_square(crosstab(df, "method", "grp", ["10%", "%s"]), "method", ["10%", "%s"]).first()
+    assert "10% / %s" in r.report
+
+
+def test_labels_are_compared_trimmed_and_upper_case(spark):
+    df = spark.createDataFrame([("m", " g1 "), ("m", "G1"), ("m", "g2"), ("n", "G2 ")], "method string, grp string")
+    assert {r.method: (r.g1, r.g2) for r in crosstab(df, "method", "grp", ["g1", "g2"]).collect()} == {"m": (2, 1), "n": (0, 1)}
+
+
+def test_no_spread_but_different_means(spark):
+    r = welch_ttest(_units(spark, [("A", 2.0), ("A", 2.0), ("B", 5.0), ("B", 5.0)]), "grp", "value", "A", "B").first()
+    assert r.t_statistic == float("-inf") and r.df == 1.0 and r.p_value == 0.0 and r.decision == "Significant difference"
 
 
 def test_percent_columns_sum_to_100(spark):
@@ -122,7 +146,9 @@ def test_ttest_plan_has_one_python_node_on_the_result(spark):
 def test_cluster_conf_sizes_partitions():
     from shopstat.session import cluster_conf
     conf = cluster_conf(100 << 40, 8000)
-    assert int(conf["spark.sql.shuffle.partitions"]) == (100 << 40) // (256 << 20)
+    assert int(conf["spark.sql.shuffle.partitions"]) == 100_000
+    assert int(conf["spark.sql.files.maxPartitionBytes"]) > 1 << 30
+    assert int(cluster_conf(1 << 40, 100)["spark.sql.shuffle.partitions"]) == (1 << 40) // (256 << 20)
     assert int(cluster_conf(1 << 20, 64)["spark.sql.shuffle.partitions"]) == 192
 
 
