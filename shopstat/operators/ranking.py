@@ -169,61 +169,58 @@ def sequence_number(df: DataFrame, partition_cols: Sequence[str], order_cols: Se
     return numbered.select(*df.columns, out_col)
 
 
-def cumulative_counts(df: DataFrame, value_col: str, groups: Sequence[str] = (),
-                      num_partitions: int | None = None) -> DataFrame:
-    """``(*groups, _v, _c, _upto)``: every distinct value with its count and
-    the rows up to it in value order.
+def value_partitions(df: DataFrame, value_col: str, groups: Sequence[str] = (),
+                     num_partitions: int | None = None) -> DataFrame:
+    """``(*groups, _v, _c, _part)``: every distinct value with its count,
+    range-partitioned in value order and checkpointed with the partition number.
 
     Counting first (map-side) leaves one row per distinct value, so a value
     that a third of all rows share is one row here and can't fill a range
-    partition.  The distinct values are range-partitioned and checkpointed
-    with their partition number; running sums are taken within a partition
-    and group, and each partition's offset comes from a table of one row per
-    partition and group in it.
+    partition.
     """
     groups = list(groups)
     counts = (df.select(*groups, F.col(value_col).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
               .groupBy(*groups, "_v").agg(F.count(F.lit(1)).alias("_c")))
     n_parts = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = _materialise(counts.repartitionByRange(n_parts, *groups, "_v").withColumn("_part", F.spark_partition_id()))
-    inside = Window.partitionBy("_part", *groups)
-    running = placed.withColumn("_local", F.sum("_c").over(inside.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)))
-    before = Window.partitionBy(*groups).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = placed.groupBy("_part", *groups).agg(F.sum("_c").alias("_pc")).select(
-        F.col("_part").alias("_op"), *[F.col(g).alias(f"_o_{g}") for g in groups], F.sum("_pc").over(before).alias("_before"))
-    cond = F.col("_part") == F.col("_op")
-    for g in groups:
-        cond = cond & F.col(g).eqNullSafe(F.col(f"_o_{g}"))
-    # left to the planner: one row per partition and group, broadcast only if measured small
-    joined = running.join(offsets, cond)
-    return joined.select(*groups, "_v", "_c", (F.col("_local") + F.coalesce("_before", F.lit(0))).alias("_upto"))
+    return _materialise(counts.repartitionByRange(n_parts, *groups, "_v").withColumn("_part", F.spark_partition_id()))
 
 
 def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float],
                     group_cols: Sequence[str] = ()) -> DataFrame:
     """Exact quantiles with linear interpolation between order statistics.
 
-    Rows ``(*group_cols, q, value)``; nulls are skipped.  The value at a
-    position is the one whose cumulative count first reaches it, found in
-    the table of distinct values instead of a value->count map per group in
-    one final task.
+    Rows ``(*group_cols, q, value)``; nulls are skipped.  The distinct values
+    lie in range partitions; each partition's total says which partitions
+    hold the wanted positions, and only those are accumulated, instead of a
+    value->count map per group in one final task.
     """
     groups = list(group_cols)
-    upto = cumulative_counts(df, value_col, groups)
-    total = upto.groupBy(*groups).agg(F.max("_upto").alias("_n"))
+    placed = value_partitions(df, value_col, groups)
+    by_group = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(0))
+    parts = placed.groupBy("_part", *groups).agg(F.sum("_c").alias("_pc")).select(
+        F.col("_part").alias("_wp"), *[F.col(g).alias(f"_w_{g}") for g in groups], "_pc",
+        (F.sum("_pc").over(by_group.orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_pc")).alias("_before"),
+        F.sum("_pc").over(by_group).alias("_n"))
     h = [(F.col("_n") - 1) * F.lit(float(q)) for q in probs]
-    wanted = total.select(*[F.col(g).alias(f"_p_{g}") for g in groups], F.array(*[
-        F.struct(F.lit(float(q)).alias("q"), hq.alias("h"), (F.floor(hq) + 1).alias("lo"), (F.ceil(hq) + 1).alias("hi"))
-        for q, hq in zip(probs, h)]).alias("_w"))
-    cond = F.lit(True)
+    wanted = F.array(*[F.struct(F.lit(float(q)).alias("q"), hq.alias("h"), (F.floor(hq) + 1).alias("lo"), (F.ceil(hq) + 1).alias("hi"))
+                       for q, hq in zip(probs, h)])
+
+    def between(p: Column, low: Column, high: Column) -> Column:
+        return (p > low) & (p <= high)
+    here = F.filter(wanted, lambda w: between(w["lo"], F.col("_before"), F.col("_before") + F.col("_pc"))
+                    | between(w["hi"], F.col("_before"), F.col("_before") + F.col("_pc")))
+    needed = parts.select("_wp", *[f"_w_{g}" for g in groups], "_before", here.alias("_w")).filter(F.size("_w") > 0)
+    if not groups:
+        needed = F.broadcast(needed)        # two partitions per quantile at most
+    cond = F.col("_part") == F.col("_wp")
     for g in groups:
-        cond = cond & upto[g].eqNullSafe(wanted[f"_p_{g}"])
-    # without groups the positions are one row
-    joined = upto.join(wanted, cond) if groups else upto.join(F.broadcast(wanted))
+        cond = cond & F.col(g).eqNullSafe(F.col(f"_w_{g}"))
+    inside = Window.partitionBy("_part", *groups).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    running = placed.join(needed, cond).withColumn("_upto", F.col("_before") + F.sum("_c").over(inside))
 
     def holds(p: Column) -> Column:
-        return (p <= F.col("_upto")) & (p > F.col("_upto") - F.col("_c"))
-    hits = joined.select(*groups, "_v", "_c", "_upto", F.explode(F.filter("_w", lambda w: holds(w["lo"]) | holds(w["hi"]))).alias("w"))
+        return between(p, F.col("_upto") - F.col("_c"), F.col("_upto"))
+    hits = running.select(*groups, "_v", "_c", "_upto", F.explode(F.filter("_w", lambda w: holds(w["lo"]) | holds(w["hi"]))).alias("w"))
     per_q = hits.groupBy(*groups, "w.q").agg(
         F.first("w.h").alias("h"),
         F.max(F.when(holds(F.col("w.lo")), F.col("_v"))).alias("v_lo"),

@@ -5,7 +5,7 @@ from hypothesis import strategies as st
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from shopstat.operators.ranking import cumulative_counts, exact_quantiles, sequence_number
+from shopstat.operators.ranking import exact_quantiles, sequence_number, value_partitions
 
 
 def test_sequence_number_matches_row_number_on_skewed_keys(spark):
@@ -85,11 +85,10 @@ def test_nan_keys_are_one_key(spark):
 def test_hot_value_is_one_row_of_the_quantile_table(spark):
     """Two thirds of the rows share a value; no range partition gets more than twice its share."""
     df = spark.range(0, 30000).select(F.when(F.col("id") % 3 < 2, F.lit(7.0)).otherwise(F.col("id").cast("double")).alias("v"))
-    table = cumulative_counts(df, "v", num_partitions=8)
-    sizes = [r["count"] for r in table.groupBy("_v").count().collect()]
-    assert max(sizes) == 1 and table.agg(F.max("_upto")).first()[0] == 30000
-    parts = (df.groupBy("v").count().repartitionByRange(8, "v").groupBy(F.spark_partition_id()).count().collect())
-    assert max(r["count"] for r in parts) <= 2 * 10001 / 8
+    placed = value_partitions(df, "v", num_partitions=8)
+    sizes = [r["count"] for r in placed.groupBy("_part").count().collect()]
+    assert sum(sizes) == placed.select("_v").distinct().count()
+    assert max(sizes) <= 2 * sum(sizes) / 8 and placed.agg(F.sum("_c")).first()[0] == 30000
     got = {r.q: r.value for r in exact_quantiles(df, "v", [0.0, 0.5, 0.9]).collect()}
     vals = np.array([7.0 if i % 3 < 2 else float(i) for i in range(30000)])
     assert got == {q: pytest.approx(float(np.quantile(vals, q))) for q in (0.0, 0.5, 0.9)}
