@@ -17,9 +17,10 @@ from shopstat.functions.text import norm_label
 
 ALPHA = 0.05
 REPORT_LINES = 1000
-# Decision texts of the t-test.
+# Decision texts and report layout of the t-test.
 T_SIGNIFICANT = "Significant difference"
 T_NOT_SIGNIFICANT = "No statistically significant difference"
+T_REPORT = "t-test — %s\nGroups: %s vs %s\nt-statistic: %.4f\np-value: %.4f\nConclusion: %s (alpha=%s)"
 
 
 def moments(unit_df: DataFrame, group_col: str, value_col: str, groups) -> DataFrame:
@@ -90,7 +91,7 @@ def welch_ttest(unit_df: DataFrame, group_col: str, value_col: str, group_1: str
     row = row.withColumn("p_value", t_p_value(F.col("t_statistic"), F.col("df")))
     decision = F.when(F.col("p_value") < F.lit(alpha), F.lit(T_SIGNIFICANT)).otherwise(F.lit(T_NOT_SIGNIFICANT))
     report = F.format_string(
-        "t-test — %s\nGroups: %s vs %s\nt-statistic: %.4f\np-value: %.4f\nConclusion: %s (alpha=%s)",
+        T_REPORT,
         F.lit(metric), F.lit(g1), F.lit(g2), F.col("t_statistic"), F.col("p_value"), decision, F.lit(str(alpha)),
     )
     if strict and row.select("n_1").first() is None:
