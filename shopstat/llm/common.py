@@ -14,6 +14,8 @@ from shopstat.session import ensure_checkpoint_dir
 SPACE = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACE}]+"
 
+SIEVE_BITS = 1 << 24        # 2 MB
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -52,3 +54,31 @@ def pack(df: DataFrame, name: str = "_row") -> Column:
     """All columns of ``df`` in one struct, so that columns an operator adds
     can't clash with columns the caller brought."""
     return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(name)
+
+
+def sieved(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """``df`` with ``_maybe``: false only for rows whose ``key`` is surely not
+    among ``keys``.
+
+    The keys' hashes set bits of a bitmap of ``SIEVE_BITS``, at most 512 rows
+    of 4 kB however many keys there are, which is joined by broadcast.  Wide
+    rows (texts) that can't have a partner then stay out of a shuffle join.
+    With very many keys the bitmap fills up and more rows are let through,
+    which costs time, never rows.
+    """
+    def bit(c: Column) -> Column:
+        return F.pmod(F.xxhash64(c), F.lit(SIEVE_BITS)) + 1
+    bitmap = keys.select(bit(F.col(key)).alias("_b")).groupBy(F.bitmap_bucket_number("_b").alias("_bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("_b")).alias("_bits"))
+    byte = F.conv(F.hex(F.expr("substring(_bits, CAST(_place DIV 8 AS INT) + 1, 1)")), 16, 10).cast("int")
+    placed = df.withColumns({"_bucket": F.bitmap_bucket_number(bit(F.col(key))), "_place": F.bitmap_bit_position(bit(F.col(key)))})
+    found = F.coalesce(F.getbit(byte, (F.col("_place") % 8).cast("int")) == 1, F.lit(False))
+    return placed.join(F.broadcast(bitmap), "_bucket", "left").select(*df.columns, found.alias("_maybe"))
+
+
+def without(df: DataFrame, dropped: DataFrame, key: str) -> DataFrame:
+    """Rows of ``df`` whose ``key`` isn't among ``dropped``.  Only rows that
+    may be are joined; the others pass as they are."""
+    marked = sieved(df, dropped, key)
+    passed = marked.filter("NOT _maybe").drop("_maybe")
+    return passed.unionByName(marked.filter("_maybe").drop("_maybe").join(dropped.select(key), key, "left_anti").select(*df.columns))
