@@ -199,10 +199,10 @@ def convert(spark: SparkSession, arc_path: str, warc_path: str, min_revisit_byte
     """WARC files of the records of ARC files."""
     found = materialise(arc_records(spark, arc_path, ["record_id", "page_id", "payload_bytes", "payload_digest", "http"]), "arc-digests")
     # one row per payload, partly aggregated before the shuffle however often a payload repeats
-    first = (found.filter((F.col("payload_bytes") >= min_revisit_bytes) & F.col("http"))
-             .groupBy("payload_bytes", "payload_digest")
-             .agg(F.min(F.struct(F.col("page_id").isNull().alias("n"), "page_id", "record_id")).alias("f"), F.count(F.lit(1)).alias("n"))
-             .filter("n > 1").select("payload_bytes", "payload_digest", F.col("f.record_id").alias("first_id")))
+    first = materialise(found.filter((F.col("payload_bytes") >= min_revisit_bytes) & F.col("http"))
+                        .groupBy("payload_bytes", "payload_digest")
+                        .agg(F.min(F.struct(F.col("page_id").isNull().alias("n"), "page_id", "record_id")).alias("f"), F.count(F.lit(1)).alias("n"))
+                        .filter("n > 1").select("payload_bytes", "payload_digest", F.col("f.record_id").alias("first_id")), "arc-first")
     revisits = materialise(found.filter("http").join(first, ["payload_bytes", "payload_digest"]).filter("record_id <> first_id")
                            .select("record_id", "first_id"), "arc-revisits")
     # the planner broadcasts the written revisits only if they are small
