@@ -16,14 +16,15 @@ from shopstat.llm.common import materialise
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    # written, so that the join's sides come straight from a shuffle and a node with very many neighbours can be split
+    least = materialise(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "cc-least")
     return (both.filter(F.col("v") > F.col("u")).join(least, "u")
             .select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """``edges`` has u > v, as the large star leaves it."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    least = materialise(edges.groupBy("u").agg(F.min("v").alias("m")), "cc-least")
     hung = edges.join(least, "u").filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     return hung.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
@@ -42,7 +43,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     e = materialise(e, "cc-edges")
     before = _state(e)
     while before[0]:
-        e = materialise(_small_star(_large_star(e)), "cc-edges")
+        e = materialise(_small_star(materialise(_large_star(e), "cc-star")), "cc-edges")
         now = _state(e)
         if now == before:
             break

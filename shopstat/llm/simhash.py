@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shopstat.llm.common import materialise, pack
+from shopstat.llm.common import materialise, pack, without
 from shopstat.llm.components import connected_components
 
 SHINGLE = 3
@@ -66,12 +66,15 @@ def fingerprint(text: str | None) -> int:
 def fingerprints(docs: DataFrame, keep: list[str] = ()) -> DataFrame:
     """``doc_id, fp`` (the bits as a signed 64-bit number), ``_row`` (the
     columns of ``keep``) and a row number of every document, written once."""
-    given = docs.select("doc_id", "text", pack(docs.select(*[f"`{c}`" for c in keep])) if keep else F.lit(None).cast("int").alias("_row"))
+    row = pack(docs.select(*[f"`{c}`" for c in keep])) if keep else F.lit(None).cast("int").alias("_row")
+    inside = "text" in keep                          # then the text travels in the row only
+    given = docs.select("doc_id", row, *([] if inside else ["text"]))
     schema = T.StructType([given.schema["doc_id"], T.StructField("fp", T.LongType()), given.schema["_row"]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = np.fromiter((fingerprint(t.as_py()) for t in batch.column("text")), dtype=np.uint64, count=batch.num_rows)
+            texts = batch.column("_row").field("text") if inside else batch.column("text")
+            fp = np.fromiter((fingerprint(t.as_py()) for t in texts), dtype=np.uint64, count=batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp.view(np.int64)), batch.column("_row")],
                                              names=["doc_id", "fp", "_row"])
     hashed = given.mapInArrow(run, schema).withColumn("_rid", F.monotonically_increasing_id())
@@ -204,10 +207,16 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def one_per_group(docs: DataFrame) -> DataFrame:
-    """The documents with the smallest id of each component, one row each."""
+    """The documents with the smallest id of each component, one row each.
+
+    What goes is joined with the texts rather than what stays: it is the
+    smaller part, and texts that surely stay needn't be shuffled.
+    """
     hashed = fingerprints(docs, docs.columns)
-    roots = near_duplicates(hashed)
+    roots = materialise(near_duplicates(hashed), "simhash-roots")
+    tagged = materialise(hashed.select("doc_id", "fp", "_rid").join(roots, "fp").select("root", "doc_id", "_rid"), "simhash-tagged")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_rid"))
-    chosen = (hashed.select("doc_id", "fp", "_rid").join(roots, "fp").groupBy("root").agg(first.alias("f")).select("f._rid"))
-    chosen = materialise(chosen, "simhash-chosen")
-    return hashed.join(chosen, "_rid", "left_semi").select("_row.*")
+    chosen = materialise(tagged.groupBy("root").agg(first.alias("f"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+                         .select("root", F.col("f._rid").alias("_kept")), "simhash-chosen")
+    dropped = materialise(tagged.join(chosen, "root").filter("_rid <> _kept").select("_rid"), "simhash-dropped")
+    return without(hashed, dropped, "_rid").select("_row.*")
