@@ -39,9 +39,9 @@ from shopstat.llm.tokens import parts
 
 NONE = np.int64(1) << 40        # larger than any rank * size + position
 LONG_PIECE = 256                # bytes; longer pieces are merged one by one
-MEMO_PIECES = 300_000
+MEMO_PIECES = 150_000
 BATCH_CELLS = 1 << 16
-BATCH_BYTES = 1 << 20
+BATCH_BYTES = 1 << 18
 
 # The pattern's classes written out for characters below U+02C2, where they
 # are fixed; texts with other characters take the pattern itself.

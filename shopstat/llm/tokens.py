@@ -17,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 BASE = 0x9E3779B97F4A7C15 | 1
-BATCH_BYTES = 1 << 20
+BATCH_BYTES = 1 << 18
 
 _IS_WORD = np.zeros(256, dtype=bool)
 _IS_WORD[np.frombuffer(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", dtype=np.uint8)] = True
