@@ -1,8 +1,12 @@
 """License scan by sentence rules (operator 7, DataFrame functions only).
 
-A text is cut into sentences (at line ends and after ``. ; : ! ?`` before a
-space), each sentence is normalised (lower case, everything but letters and
-digits to one space, trimmed) and looked up among known licence sentences.
+A text is normalised (lower case, everything but letters and digits to one
+space).  Sentences begin and end at ``. ; : ! ?`` before a space or line end,
+at blank lines and at the ends of the text, and may also begin or end at any
+other line end; a line break inside a sentence counts as a space, and comment
+leaders without letters (``#``, ``*``, ``//``) vanish.  So wrapped and commented
+sentences are known as well as one-line notices without a full stop; of two
+known sentences that begin at one place the longer counts.
 The identifiers found, in text order, form a sequence; the ordered rules
 are tried one after the other, each takes every place where its sequence of
 identifiers stands (other known sentences between them end the match), and
@@ -10,7 +14,7 @@ what a rule took is not offered to later rules.  So the full text of a
 licence is reported once and not also as its opening line.
 
 Everything happens inside the row (no shuffle): the sentence table is a
-constant of this module, and one lookup per sentence replaces a join.
+constant of this module, and one pattern of all sentences replaces a join.
 
 Defined results: one row per document; null or empty text, or no known
 sentence: no licences, empty sequence; a licence found twice is listed once,
@@ -95,11 +99,26 @@ RULES = [
 HINT = r"(?i)licen[sc]e|permission|software|redistribut|warrant|liab|public domain|neither the name"
 
 
+def normalised(text: Column) -> Column:
+    """Letters and digits of a text with single spaces; ``.`` where a sentence
+    surely ends, ``|`` at other line ends."""
+    t = F.regexp_replace(F.regexp_replace(F.lower(text), r"[\x01\x02]", " "), r"\r\n?", "\n")
+    t = F.regexp_replace(t, r"(?<=[.;:!?])[ \t]+|(?<=[.;:!?])\n|(?<=\n)[^\p{L}\p{N}\n]*+\n", "\x01")
+    t = F.regexp_replace(F.regexp_replace(t, r"\n", "\x02"), r"[^\p{L}\p{N}\x01\x02]+", " ")
+    t = F.regexp_replace(t, r"[ \x01\x02]*\x01[ \x01\x02]*", ".")
+    return F.trim(F.regexp_replace(t, r" ?\x02 ?", "|"))
+
+
+# Every known sentence, longest first, where one may begin and (unless it goes on) end.
+_ANY = r"(?<![^.|])(?:" + "|".join(
+    t.rstrip("*").replace(" ", "[ |]") + ("" if t.endswith("*") else r"(?![^.|])")
+    for t, _ in sorted(SENTENCES, key=lambda e: -len(e[0]))) + ")"
+
+
 def sentences(text: Column) -> Column:
-    """Normalised sentences of a text in order."""
-    cut = F.split(text, r"[\n\r]+|(?<=[.;:!?])[ \t]+")
-    clean = F.transform(cut, lambda s: F.trim(F.regexp_replace(F.lower(s), r"[^\p{L}\p{N}]+", " ")))
-    return F.filter(clean, lambda s: s != "")
+    """The known sentences of a text in order."""
+    found = F.regexp_extract_all(normalised(text), F.lit(_ANY), F.lit(0))
+    return F.transform(found, lambda s: F.replace(s, F.lit("|"), F.lit(" ")))
 
 
 def _known(s: Column) -> Column:

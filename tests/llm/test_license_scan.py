@@ -57,3 +57,50 @@ def test_edges(spark):
     assert L.scan_licenses(edge_docs(spark).limit(0)).collect() == []
     plan = L.scan_licenses(edge_docs(spark))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Exchange" not in plan
+
+
+APACHE = """Copyright 2020 Somebody
+Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES.
+See the License for the specific language governing permissions and limitations under the License."""
+GPL = """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
+
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty.
+See the GNU General Public License for more details."""
+BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+* Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+* Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation.
+* Neither the name of X nor Y may be used.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES ARE DISCLAIMED."""
+ISC = """Copyright (c) 2020 Somebody
+Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the notice appears.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES."""
+
+
+def test_wrapped_and_commented_texts(spark):
+    """A text wrapped at any width, commented or not, is known as the unwrapped one."""
+    import textwrap
+    texts, want = [], []
+    for text, name, ids in ((MIT, "MIT", 5), (APACHE, "Apache-2.0", 5), (GPL, None, None), (BSD, "BSD-3-Clause", 5), (ISC, "ISC", 2)):
+        for width in (40, 72, 78):
+            for leader in ("", "# ", " * ", "// "):
+                for end in ("\n", "\r\n"):
+                    lines = [x for line in text.split("\n") for x in (textwrap.wrap(line, width) or [""])]
+                    texts.append("".join(f"{leader}{x}".rstrip() + end for x in lines))
+                    want.append((name, ids))
+    got = _rows(spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], edge_docs(spark).schema))
+    for i, (name, ids) in enumerate(want):
+        if name:
+            assert (got[i][0], got[i][2], got[i][3]) == (name, ids, 0), (texts[i], got[i])
+        else:
+            assert got[i][1].split(",")[:2] == ["GplFree", "GplTerms"] and "GplHope,GplSee" in got[i][1]
+    more = ["MIT License\nPermission is hereby granted, free of charge, to any\nperson", "mit\n\nlicense", "released\nunder the MIT\nLicense\nfoo"]
+    got = _rows(spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(more)], edge_docs(spark).schema))
+    assert got[0][0] == "MIT" and got[1][0] == "" and got[2][1] == "MitLine"
