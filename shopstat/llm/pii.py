@@ -10,7 +10,7 @@ corpus, a term ``t`` (a run of letters, lower case) written within
     PMI(t, e) / IC(e) = 1 + log2(n(t, e) / n(t)) / log2(N / n(e))
 
 of the entity's information content.  Terms seen near the entity in at
-least ``MIN_CONTEXTS`` different contexts (copies of one text count once)
+least ``MIN_CONTEXTS`` different texts (copies of one text count once)
 are generalised from ``GENERALISE`` on and removed from ``REMOVE`` on,
 wherever in the corpus they stand.  An entity in every document has no
 information to protect.
@@ -130,8 +130,8 @@ def _terms(text: Column) -> Column:
 
 
 def mentions(docs: DataFrame) -> DataFrame:
-    """One row per base find: ``doc_id, entity, context`` (a hash of the words
-    around it) and the ``terms`` among those words."""
+    """One row per base find: ``doc_id, entity, context`` (a hash of the whole
+    text) and the ``terms`` among the words around it."""
     spans = (docs.select("doc_id", F.coalesce("text", F.lit("")).alias("_text"))
              .filter(F.col("_text").rlike(r"[@+]|[0-9][\x20.-]?[0-9]"))
              .select("doc_id", "_text", base_spans(F.col("_text")).alias("_s")).filter(F.size("_s") > 0))
@@ -147,8 +147,8 @@ def mentions(docs: DataFrame) -> DataFrame:
     before = let(before, lambda b: F.slice(b, F.greatest(F.size(b) - WINDOW, F.lit(0)) + 1, F.lit(WINDOW)))
     near = F.array_join(F.concat(before, F.array(F.lit("")), after), " ")
     return one.select("doc_id", F.concat(F.col("s.kind_no"), F.lit(":"), F.lower("s.value")).alias("entity"),
-                      near.alias("_near")).select(
-        "doc_id", "entity", F.xxhash64("_near").alias("context"), F.array_distinct(_terms(F.col("_near"))).alias("terms"))
+                      F.xxhash64("_text").alias("context"), near.alias("_near")).select(
+        "doc_id", "entity", "context", F.array_distinct(_terms(F.col("_near"))).alias("terms"))
 
 
 def disclosing_terms(docs: DataFrame) -> DataFrame:

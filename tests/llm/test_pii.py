@@ -114,3 +114,14 @@ def test_empty_table_and_null_ids(spark):
 def test_native_plan(spark):
     plan = P.find_personal_data(edge_docs(spark))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_one_footer_in_many_texts_discloses(spark):
+    """The words around the address are the same everywhere, the texts differ;
+    copies of one text still count once."""
+    footer = "\nyours sincerely agent zanzibar writes to you secret.person@example.org from the old harbour office today"
+    rows = [f"letter {i} about something else" + footer for i in range(6)] + [f"ordinary weather number {i}" for i in range(60)]
+    got = {r.term for r in P.disclosing_terms(_frame(spark, rows)).collect()}
+    assert "zanzibar" in got and "weather" not in got
+    copies = ["one letter" + footer] * 6 + [f"ordinary weather number {i}" for i in range(60)]
+    assert P.disclosing_terms(_frame(spark, copies)).collect() == []
