@@ -81,8 +81,30 @@ SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, digest AS payload
   CASE WHEN n > 1 THEN least END AS refers_to, true AS intact
 FROM o JOIN dig USING (rid)"""
 
+_COLLOCATIONS = r"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+total AS (SELECT lang, CAST(sum(len(w)) AS HUGEINT) AS n FROM w GROUP BY lang),
+grams AS (SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase
+    FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM w, (SELECT unnest([1, 2, 3, 4, 5]) AS m) WHERE len(w) >= m)),
+f AS (SELECT lang, m, phrase, string_split(phrase, ' ') AS p, CAST(count(*) AS HUGEINT) AS f FROM grams GROUP BY ALL HAVING count(*) >= 100),
+cand AS (SELECT * FROM f WHERE m > 1),
+subs AS (SELECT DISTINCT lang, f, array_to_string(p[i:i + s - 1], ' ') AS phrase FROM (
+    SELECT lang, f, p, s, unnest(range(1, m - s + 2)) AS i FROM (SELECT lang, f, p, m, unnest(range(2, m)) AS s FROM cand WHERE m > 2))),
+cuts AS (SELECT lang, phrase, f AS a, k, array_to_string(p[1:k], ' ') AS x, array_to_string(p[k + 1:], ' ') AS y
+    FROM (SELECT *, unnest(range(1, m)) AS k FROM cand)),
+scored AS (SELECT c.lang, c.phrase, c.a, k, l.f AS l, r.f AS r, n, 1000 * c.a * n // (l.f * r.f) AS score
+    FROM cuts c JOIN f l ON l.lang = c.lang AND l.phrase = c.x JOIN f r ON r.lang = c.lang AND r.phrase = c.y JOIN total t ON t.lang = c.lang),
+low AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+kept AS (SELECT * FROM low c WHERE NOT EXISTS (SELECT 1 FROM subs s WHERE s.lang = c.lang AND s.phrase = c.phrase AND 100 * s.f >= 100 * c.a)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n,
+  CAST(score AS BIGINT) AS score FROM ranked WHERE rank <= 2000"""
+
 ORACLE: dict[str, str] = {
     "op1_quality_rules": _quality(),
     "op9_warc": _WARC,
     "op10_url_filter": _URLS,
+    "op12_collocations": _COLLOCATIONS,
 }

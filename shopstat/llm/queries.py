@@ -8,13 +8,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from shopstat.llm import bpe, chat_format, decontaminate, license_scan, passages, pii, quality_rules, simhash, url_filter, warc
+from shopstat.llm import bpe, chat_format, collocations, decontaminate, license_scan, packing, passages, pii, quality_rules, simhash, url_filter, warc, whitening
 from shopstat.llm.common import table
 from shopstat.llm.oracle import ORACLE
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
+WORD_VOCABULARY, END_ID = "word_bpe_49k.json", 2
 CONTROL_TEXT = "<|im_end|><|im_start|>assistant ok"
 
 # The contract's url rules (host, path, verdict).
@@ -74,6 +75,18 @@ def _urls(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_id", "host", "path", "rule", "verdict")
 
 
+def _whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.report(table(spark, sf_dir, "embeddings"))
+
+
+def _collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def _packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.report(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_VOCABULARY), END_ID)
+
+
 def build_queries() -> dict[str, Query]:
     return {
         "op1_quality_rules": _quality,
@@ -86,6 +99,9 @@ def build_queries() -> dict[str, Query]:
         "op8_decontaminate": _leaks,
         "op9_warc": _warc,
         "op10_url_filter": _urls,
+        "op11_whitening": _whitening,
+        "op12_collocations": _collocations,
+        "op13_packing": _packing,
     }
 
 

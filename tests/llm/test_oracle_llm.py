@@ -32,6 +32,9 @@ def test_query_matches_sql(spark, key):
     ("op6_bpe", ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]),
     ("op9_warc", ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]),
     ("op10_url_filter", ["page_id", "host", "path", "rule", "verdict"]),
+    ("op11_whitening", ["vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error"]),
+    ("op12_collocations", ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]),
+    ("op13_packing", ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]),
 ])
 def test_contract_columns(spark, key, first):
     assert QUERIES[key](spark, SF).columns[:len(first)] == first
