@@ -47,8 +47,8 @@ from shopstat.llm.tokens import BASE, _powers, mix, parts
 
 SUPPORT, LONGEST, TOP = 100, 5, 2000
 SHARDS = 8
-PART_BYTES = 1 << 22
-RANGE_PHRASES = 1 << 20         # phrases of a shard that one range of hashes holds, about
+PART_BYTES = 1 << 20
+RANGE_PHRASES = 1 << 19         # phrases of a shard that one range of hashes holds, about
 LEAST_BITS, MOST_BITS = 20, 28  # of the bitmap, as powers of two
 UNKNOWN = "und"
 
@@ -177,13 +177,13 @@ def locally_frequent(mined: DataFrame, bits: int, support: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(frequent(at[1], low, counts).view(np.int64))], names=["hash"])
         at, low, counts = None, [], []
         for batch in batches:
-            for shard, owner, a, c in zip(*(batch.column(x).to_pylist() for x in ("shard", "range", "low", "count"))):
-                if (shard, owner) != at and low:
+            for i, key in enumerate(zip(batch.column("shard").to_pylist(), batch.column("range").to_pylist())):
+                if key != at and low:
                     yield done()
                     low, counts = [], []
-                at = (shard, owner)
-                low.append(a)
-                counts.append(c)
+                at = key
+                low.append(batch.column("low")[i].as_py())
+                counts.append(batch.column("count")[i].as_py())
         if low:
             yield done()
     return mined.repartition("shard", "range").sortWithinPartitions("shard", "range").mapInArrow(run, "hash bigint")
