@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shopstat.operators.ranking import exact_quantiles
+from shopstat.operators.ranking import column_quantiles, exact_quantiles, not_missing
 
 # Quantile levels of the order-value report.
 REPORT_QUANTILES = [0, 0.01, 0.05, 0.25, 0.50, 0.75, 0.90, 0.95, 0.97, 0.99, 0.995, 0.997, 0.999, 1]
@@ -47,24 +47,21 @@ def column_profile(df: DataFrame, cols: Sequence[str] | None = None, approx: boo
     return table.drop("_approx").join(F.broadcast(exact), "column_name", "left")
 
 
-def _long(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    return df.select(*[F.col(c).cast("double").alias(c) for c in cols]).unpivot(
-        [], list(cols), "column_name", "value")
-
-
 def describe(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """count, mean, std, min, exact quartiles, max per numeric column."""
-    long = _long(df, cols)
-    base = long.groupBy("column_name").agg(
-        F.count("value").alias("count"), F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"),
-    )
-    qs = exact_quantiles(long, "value", [0.25, 0.5, 0.75], ["column_name"])
-    wide_q = qs.groupBy("column_name").agg(
-        *[F.max(F.when(F.col("q") == q, F.col("value"))).alias(name)
-          for q, name in ((0.25, "p25"), (0.5, "p50"), (0.75, "p75"))])
-    return base.join(wide_q, "column_name", "left").select(
-        "column_name", "count", "mean", "std", "min", "p25", "p50", "p75", "max")
+    """count, mean, std, min, exact quartiles, max per numeric column; nulls
+    and NaN don't count.  A column without values has a row of nulls."""
+    def number(c: str) -> Column:
+        return F.when(not_missing(df, c), F.col(f"`{c}`").cast("double"))
+    stats = {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
+    one = df.agg(*[f(number(c)).alias(f"{i}_{name}") for i, c in enumerate(cols) for name, f in stats.items()])
+    quartiles = column_quantiles(df, cols, [0.25, 0.5, 0.75])
+    order = ["count", "mean", "std", "min", "p25", "p50", "p75", "max"]
+
+    def row(i: int, c: str) -> Column:
+        values = {f"p{int(q * 100)}": F.lit(quartiles[c].get(q)).cast("double") for q in (0.25, 0.5, 0.75)}
+        values |= {name: F.col(f"{i}_{name}") for name in stats}
+        return F.struct(F.lit(c).alias("column_name"), *[values[n].alias(n) for n in order])
+    return one.select(F.explode(F.array(*[row(i, c) for i, c in enumerate(cols)])).alias("r")).select("r.*")
 
 
 def quantile_table(df: DataFrame, col: str, probs: Sequence[float] = REPORT_QUANTILES,
@@ -79,38 +76,33 @@ def quantile_table(df: DataFrame, col: str, probs: Sequence[float] = REPORT_QUAN
                                              F.col("a").alias("value"))).alias("z")).select("z.q", "z.value")
 
 
-def _fences(df: DataFrame, col: str, k: float = 1.5) -> DataFrame:
-    qs = exact_quantiles(df, col, [0.25, 0.5, 0.75])
-    one = qs.agg(*[F.max(F.when(F.col("q") == q, F.col("value"))).alias(n)
-                   for q, n in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))])
-    return one.withColumn("iqr", F.col("q3") - F.col("q1")).withColumns({
-        "lower_fence": F.col("q1") - F.lit(k) * F.col("iqr"),
-        "upper_fence": F.col("q3") + F.lit(k) * F.col("iqr"),
-    })
-
-
-def _fence_values(df: DataFrame, col: str, k: float):
-    """The quartiles and fences as one row of scalars (fixed size), fetched
-    once and inlined into later plans as literals."""
-    return _fences(df, col, k).first()
+def _fence_values(df: DataFrame, col: str, k: float) -> dict[str, float]:
+    """The quartiles and fences (a handful of numbers, inlined into later
+    plans as literals); empty without values."""
+    found = column_quantiles(df, [col], [0.25, 0.5, 0.75])[col]
+    if not found:
+        return {}
+    q1, median, q3 = (found[q] for q in (0.25, 0.5, 0.75))
+    return {"q1": q1, "median": median, "q3": q3, "iqr": q3 - q1, "lower_fence": q1 - k * (q3 - q1), "upper_fence": q3 + k * (q3 - q1)}
 
 
 def outliers_iqr(df: DataFrame, col: str, k: float = 1.5) -> DataFrame:
-    """Rows outside ``[q1 - k*iqr, q3 + k*iqr]``."""
+    """Rows outside ``[q1 - k*iqr, q3 + k*iqr]``; NaN is no value and no outlier."""
     f = _fence_values(df, col, k)
-    x = F.col(col)
-    if f is None or f["q1"] is None:
+    x = F.col(f"`{col}`")
+    if not f:
         return df.filter(F.lit(False))          # no values, no fences, no outliers
-    return df.filter((x < F.lit(f["lower_fence"])) | (x > F.lit(f["upper_fence"])))
+    return df.filter(not_missing(df, col)).filter((x < F.lit(f["lower_fence"])) | (x > F.lit(f["upper_fence"])))
 
 
 def box_stats(df: DataFrame, col: str, k: float = 1.5) -> DataFrame:
     """Quartiles, fences, whiskers (extreme values inside the fences) and
-    the number of fliers: one scan of the data after the quartiles."""
+    the number of fliers: one scan of the data after the quartiles.  NaN
+    doesn't count."""
     names = ["q1", "median", "q3", "iqr", "lower_fence", "upper_fence"]
     f = _fence_values(df, col, k)
-    vals = {n: (None if f is None else f[n]) for n in names}
-    x = F.col(col).cast("double")
+    vals = {n: f.get(n) for n in names}
+    x = F.when(not_missing(df, col), F.col(f"`{col}`").cast("double"))
     inside = (x >= F.lit(vals["lower_fence"]).cast("double")) & (x <= F.lit(vals["upper_fence"]).cast("double"))
     stats = df.agg(
         F.min(F.when(inside, x)).alias("whisker_low"),
@@ -131,9 +123,10 @@ def histogram(df: DataFrame, col: str, bins: int = 50) -> DataFrame:
     """Equal-width bins between min and max; the max falls in the last bin.
     Timestamps are binned on epoch seconds.  Every bin has a row with its
     edges, empty ones too; a single value gets a range of one around it; a
-    column without values has no bins."""
+    column without values has no bins.  Null, NaN and infinite values are in
+    no bin."""
     x = _numeric(df, col)
-    v = df.select(x.alias("_x")).filter(F.col("_x").isNotNull())
+    v = df.filter(not_missing(df, col)).select(x.alias("_x")).filter(F.abs("_x") < float("inf"))
     bounds = v.agg(F.min("_x").alias("lo"), F.max("_x").alias("hi")).first()
     if bounds["lo"] is None:
         lo_value = hi_value = 0.0

@@ -16,7 +16,9 @@ assigned in an arbitrary but consistent way.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -169,6 +171,98 @@ def sequence_number(df: DataFrame, partition_cols: Sequence[str], order_cols: Se
     return numbered.select(*df.columns, out_col)
 
 
+# -- exact quantiles --------------------------------------------------------
+LOG_STEPS = 15              # buckets per doubling in the first pass
+CELLS = 1 << 13             # buckets of all intervals together in the passes after it
+EXACT_ROWS = 1 << 13        # so many rows or fewer are counted by value
+
+
+def not_missing(df: DataFrame, col: str) -> Column:
+    """Neither null nor NaN: what summaries take for a value."""
+    c = F.col(f"`{col}`")
+    floating = isinstance(df.schema[col].dataType, (T.DoubleType, T.FloatType))
+    return c.isNotNull() & ~F.isnan(c) if floating else c.isNotNull()
+
+
+def _log_bucket(x: Column) -> Column:
+    """A bucket number that never falls as ``x`` rises, fine enough for
+    numbers of any size; infinities have their own."""
+    size = F.floor((F.log2(F.abs(x)) + 1080) * LOG_STEPS) + 1
+    size = F.when(F.abs(x) == float("inf"), F.lit(1 << 20)).when(x == 0, F.lit(0)).otherwise(size)
+    return (F.when(x < 0, -size).otherwise(size)).cast("int")
+
+
+def _wanted(cells: list, n: int, probs: Sequence[float]) -> list:
+    """The cells (low, high, rows, rows before) that hold a wanted position."""
+    places = sorted({p for q in probs for p in (math.floor((n - 1) * q), math.ceil((n - 1) * q))})
+    return [c for c in cells if any(c[3] <= p < c[3] + c[2] for p in places)]
+
+
+def column_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> dict[str, dict[float, float]]:
+    """Exact quantiles with linear interpolation of several numeric columns;
+    nulls and NaN are skipped, a column without values has none.
+
+    Selection by counting, without sorting: one pass counts the rows of each
+    logarithmic bucket (with its smallest and largest value), and only the
+    buckets that hold a wanted position are looked at again, each pass cutting
+    them into ``CELLS`` equal parts, until a part holds one value or so few
+    rows that they are counted by value.  Every pass is one aggregate of one
+    scan, reduced in the tasks; at most the buckets (some 60,000 a column
+    where values of all magnitudes occur, else some hundred) are shuffled and
+    fetched, whatever the number of rows.
+    """
+    probs = [float(q) for q in probs]
+
+    def series(i: int, c: str) -> DataFrame:
+        return df.filter(not_missing(df, c)).select(F.lit(i).alias("_s"), F.col(f"`{c}`").cast("double").alias("_x"))
+
+    def counted(found: DataFrame, keys: list) -> list:
+        rows = found.groupBy(*keys).agg(F.min("_x").alias("lo"), F.max("_x").alias("hi"), F.count(F.lit(1)).alias("n")).toArrow()
+        return list(zip(*(rows.column(i).to_pylist() for i in range(rows.num_columns))))
+
+    def placed(rows: list, before: int) -> list:
+        out = []
+        for lo, hi, n in sorted(rows):
+            out.append((lo, hi, n, before))
+            before += n
+        return out
+
+    first = counted(reduce(DataFrame.unionByName, [series(i, c) for i, c in enumerate(cols)]).withColumn("_b", _log_bucket(F.col("_x"))), ["_s", "_b"])
+    total = {i: sum(r[4] for r in first if r[0] == i) for i in range(len(cols))}
+    done: dict[int, list] = {i: [] for i in range(len(cols))}
+    open_cells: list = []
+
+    def sort_out(i: int, cells: list) -> None:
+        for c in _wanted(cells, total[i], probs):
+            (done[i] if c[0] == c[1] else open_cells).append(c if c[0] == c[1] else (i, *c))
+    for i in range(len(cols)):
+        sort_out(i, placed([r[2:] for r in first if r[0] == i], 0))
+    while open_cells:
+        cells, open_cells = open_cells, []
+        few, steps = sum(c[3] for c in cells) <= EXACT_ROWS, max(2, CELLS // len(cells))
+
+        def inside(i: int, c: str, own: list) -> DataFrame:
+            x, cell = F.col("_x"), F.lit(None).cast("int")
+            part = F.lit(None).cast("double")
+            for k, (_, lo, hi, *_rest) in own:
+                here = (x >= lo) & (x <= hi)
+                # halves first: the width of an interval may exceed the largest double
+                share = (x / 2 - lo / 2) / (hi / 2 - lo / 2) if hi / 2 - lo / 2 > 0 else F.when(x > lo, 1.0).otherwise(0.0)
+                cell = F.when(here, F.lit(k)).otherwise(cell)
+                part = F.when(here, x if few else F.least(F.floor(share * steps), F.lit(steps - 1)).cast("double")).otherwise(part)
+            return series(i, c).withColumns({"_c": cell, "_p": part}).filter("_c IS NOT NULL")
+        found = counted(reduce(DataFrame.unionByName, [
+            inside(i, c, [(k, cell) for k, cell in enumerate(cells) if cell[0] == i]) for i, c in enumerate(cols) if any(cell[0] == i for cell in cells)]), ["_c", "_p"])
+        for k, (i, _, _, _, before) in enumerate(cells):
+            sort_out(i, placed([r[2:] for r in found if r[0] == k], before))
+
+    def value(i: int, q: float) -> float:
+        h = (total[i] - 1) * q
+        low, high = (next(c[0] for c in done[i] if c[3] <= p < c[3] + c[2]) for p in (math.floor(h), math.ceil(h)))
+        return low if low == high else low + (h - math.floor(h)) * (high - low)
+    return {c: {q: value(i, q) for q in probs} if total[i] else {} for i, c in enumerate(cols)}
+
+
 def value_partitions(df: DataFrame, value_col: str, groups: Sequence[str] = (),
                      num_partitions: int | None = None) -> DataFrame:
     """``(*groups, _v, _c, _part)``: every distinct value with its count,
@@ -179,7 +273,7 @@ def value_partitions(df: DataFrame, value_col: str, groups: Sequence[str] = (),
     partition.
     """
     groups = list(groups)
-    counts = (df.select(*groups, F.col(value_col).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
+    counts = (df.filter(not_missing(df, value_col)).select(*groups, F.col(f"`{value_col}`").cast("double").alias("_v"))
               .groupBy(*groups, "_v").agg(F.count(F.lit(1)).alias("_c")))
     n_parts = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return _materialise(counts.repartitionByRange(n_parts, *groups, "_v").withColumn("_part", F.spark_partition_id()))
@@ -189,14 +283,19 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float],
                     group_cols: Sequence[str] = ()) -> DataFrame:
     """Exact quantiles with linear interpolation between order statistics.
 
-    Rows ``(*group_cols, q, value)``; nulls are skipped.  The distinct values
-    lie in range partitions; each partition's total says which partitions
-    hold the wanted positions, and only those are accumulated, instead of a
-    value->count map per group in one final task.
+    Rows ``(*group_cols, q, value)``; nulls and NaN are skipped.  Without
+    groups they are selected by counting (``column_quantiles``).  With groups,
+    of which there may be many, the distinct values lie in range partitions;
+    each partition's total says which partitions hold the wanted positions,
+    and only those are accumulated, instead of a value->count map per group
+    in one final task.
     """
     groups = list(group_cols)
+    if not groups:
+        found = column_quantiles(df, [value_col], probs)[value_col]
+        return df.sparkSession.createDataFrame([(float(q), found[float(q)]) for q in probs if found], "q double, value double")
     placed = value_partitions(df, value_col, groups)
-    by_group = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(0))
+    by_group = Window.partitionBy(*groups)
     parts = placed.groupBy("_part", *groups).agg(F.sum("_c").alias("_pc")).select(
         F.col("_part").alias("_wp"), *[F.col(g).alias(f"_w_{g}") for g in groups], "_pc",
         (F.sum("_pc").over(by_group.orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_pc")).alias("_before"),
@@ -210,8 +309,6 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float],
     here = F.filter(wanted, lambda w: between(w["lo"], F.col("_before"), F.col("_before") + F.col("_pc"))
                     | between(w["hi"], F.col("_before"), F.col("_before") + F.col("_pc")))
     needed = parts.select("_wp", *[f"_w_{g}" for g in groups], "_before", here.alias("_w")).filter(F.size("_w") > 0)
-    if not groups:
-        needed = F.broadcast(needed)        # two partitions per quantile at most
     cond = F.col("_part") == F.col("_wp")
     for g in groups:
         cond = cond & F.col(g).eqNullSafe(F.col(f"_w_{g}"))

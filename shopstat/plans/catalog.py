@@ -102,6 +102,29 @@ def _lines_with_orphans(r: Roles) -> DataFrame:
     return r.lines.withColumn("product_id", F.when(orphaned, F.col("product_id") + ORPHAN_SHIFT).otherwise(F.col("product_id")))
 
 
+def _varied_events(r: Roles) -> DataFrame:
+    """The driver's events have one attribute; here others are added by rule,
+    some rows as literals that JSON lacks (a hexadecimal number and a
+    trailing comma)."""
+    i, k = F.col("event_id"), F.get_json_object("event_metadata", "$.k").cast("bigint")
+    number = F.when(i % 97 == 0, F.concat(F.lit("0x"), F.lower(F.hex(k)))).otherwise(k.cast("string"))
+    text = F.concat(
+        F.lit("{"), F.when(i % 4 != 0, F.concat(F.lit("'k': "), number, F.lit(", "))).otherwise(""),
+        F.when(i % 3 == 0, F.concat(F.lit("'label': 'None or L"), (i % 7).cast("string"), F.lit("', "))).otherwise(""),
+        F.when(i % 5 == 0, F.concat(F.lit("'half': "), (i % 100).cast("string"), F.lit(".5, "))).otherwise(""),
+        F.when(i % 11 == 0, F.lit("'mixed': 'many', ")).when(i % 11 == 1, F.lit("'mixed': 12, ")).otherwise(""),
+        F.lit("'seen': "), F.when(i % 2 == 0, F.lit("1")).otherwise("None"), F.when(i % 97 == 0, F.lit(",}")).otherwise("}"))
+    return r.clicks.withColumn("event_metadata", F.when(i % 13 != 0, text))
+
+
+def _literal_lines(r: Roles) -> DataFrame:
+    """Bookings whose product lists are tuples or end in a comma, besides plain ones."""
+    text, k = F.col("product_metadata"), F.col("booking_id")
+    inner = F.expr("substring(product_metadata, 2, length(product_metadata) - 2)")
+    return r.tx_raw_with_lines.select("booking_id", F.when(k % 50 == 0, F.concat(F.lit("("), inner, F.lit(",)")))
+                                      .when(k % 50 == 1, F.concat(F.lit("["), inner, F.lit(",]"))).otherwise(text).alias("product_metadata"))
+
+
 def _daily(r: Roles) -> DataFrame:
     return profile.daily_counts(r.tx, "created_at", "payment_method")
 
@@ -135,7 +158,9 @@ def build_queries() -> dict[str, Query]:
         "transaction_lines": _q(lambda r: nested.booking_lines(r.tx_raw_with_lines, strict=True, keep_empty=True)),
         "transaction_lines_strict": _q(lambda r: nested.booking_lines(
             r.tx_raw_with_lines, strict=False, keep_empty=False)),
+        "transaction_lines_literals": _q(lambda r: nested.booking_lines(_literal_lines(r), strict=True, keep_empty=False)),
         "events_add_to_cart": _q(lambda r: r.cart_events),
+        "events_open_attributes": _q(lambda r: nested.event_attributes(_varied_events(r), r.events.cart)),
         "line_ids": _q(lambda r: sequence_number(
             r.lines, [], ["booking_id", "product_id", "quantity", "item_price"], "id")),
         "key_quality": _q(_key_quality),

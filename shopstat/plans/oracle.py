@@ -449,6 +449,18 @@ FROM tx_raw t LEFT JOIN lines l ON t.booking_id = l.booking_id"""),
 SELECT t.booking_id, l.product_id, l.quantity, round_even(l.item_price, 6) AS item_price,
   round_even(l.quantity * l.item_price, 6) AS product_amount
 FROM tx_raw t JOIN lines l ON t.booking_id = l.booking_id"""),
+        "transaction_lines_literals": _with("""
+SELECT t.booking_id, l.product_id, l.quantity, round_even(l.item_price, 6) AS item_price,
+  round_even(l.quantity * l.item_price, 6) AS product_amount
+FROM tx_raw t JOIN lines l ON t.booking_id = l.booking_id"""),
+        "events_open_attributes": _with("""
+SELECT event_id, session_id, event_time, traffic_source, round_even(value, 6) AS value,
+  CASE WHEN event_id % 13 <> 0 AND event_id % 4 <> 0 THEN k END AS k,
+  CASE WHEN event_id % 13 <> 0 AND event_id % 3 = 0 THEN 'None or L' || (event_id % 7) END AS label,
+  CASE WHEN event_id % 13 <> 0 AND event_id % 5 = 0 THEN CAST(event_id % 100 AS DOUBLE) + 0.5 END AS half,
+  CASE WHEN event_id % 13 = 0 THEN NULL WHEN event_id % 11 = 0 THEN 'many' WHEN event_id % 11 = 1 THEN '12' END AS mixed,
+  CASE WHEN event_id % 13 <> 0 AND event_id % 2 = 0 THEN 1 END AS seen
+FROM cart"""),
         "events_add_to_cart": _with(
             "SELECT event_id, session_id, event_time, traffic_source, round_even(value, 6) AS value, k FROM cart"),
         "line_ids": _with("""

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shopstat.operators.nested import booking_lines, event_attributes, parse_items
+from shopstat.operators.nested import attribute_types, booking_lines, event_attributes, parse_items
 
 LINES_TEXT = [
     (1, "[]"),
@@ -57,7 +57,7 @@ def test_event_attributes_declared_and_open(spark):
     declared = event_attributes(ev, "signup", T.StructType([T.StructField("k", T.LongType())]))
     assert declared.columns == ["event_id", "k"]
     assert sorted((r.event_id, r.k) for r in declared.collect()) == [(1, 5), (2, None), (3, None)]
-    open_keys = event_attributes(ev, "signup").orderBy("event_id").collect()
+    open_keys = event_attributes(ev, "signup", as_map=True).orderBy("event_id").collect()
     assert open_keys[0].attributes == {"k": "5", "x": "a"} and open_keys[1].attributes == {"x": "b"}
     assert open_keys[2].attributes is None
 
@@ -77,7 +77,7 @@ def test_apostrophe_inside_string_field(spark):
 ])
 def test_only_bare_words_are_rewritten(spark, text, want):
     ev = spark.createDataFrame([(1, "e", text)], "event_id long, event_name string, event_metadata string")
-    assert event_attributes(ev, "e").first().attributes == want
+    assert event_attributes(ev, "e", as_map=True).first().attributes == want
 
 
 def test_long_literals_and_malformed_events(spark):
@@ -85,5 +85,73 @@ def test_long_literals_and_malformed_events(spark):
     assert booking_lines(_tx(spark, [(1, long)])).filter("product_id IS NULL AND quantity = 1").count() == 3000
     bad = spark.createDataFrame([(1, "e", "{'a': "), (2, "e", None)], "event_id long, event_name string, event_metadata string")
     with pytest.raises(Exception):
-        event_attributes(bad, "e").collect()
-    assert [r.attributes for r in event_attributes(bad, "e", strict=False).orderBy("event_id").collect()] == [None, None]
+        event_attributes(bad, "e", as_map=True).collect()
+    assert [r.attributes for r in event_attributes(bad, "e", strict=False, as_map=True).orderBy("event_id").collect()] == [None, None]
+
+
+LITERALS = [
+    (1, "[{'product_id': 7, 'quantity': 2, 'item_price': 10.5},]"),                                  # trailing comma
+    (2, "({'product_id': 8, 'quantity': 0x10, 'item_price': 3.0}, {'product_id': 9, 'quantity': 1_0, 'item_price': 1e1})"),
+    (3, "[{'product_id': 5, 'quantity': 1, 'item_price': 2.0}]"),                                    # JSON as it is
+    (4, " "), (5, "[]"), (6, "()"),
+]
+LITERAL_ROWS = [(1, 7, 2, 10.5), (2, 8, 16, 3.0), (2, 9, 10, 10.0), (3, 5, 1, 2.0)]
+
+
+@pytest.mark.parametrize("strict", [True, False])
+def test_literals_that_json_lacks(spark, strict):
+    got = booking_lines(_tx(spark, LITERALS), strict=strict, keep_empty=False).collect()
+    assert sorted((r.booking_id, r.product_id, r.quantity, r.item_price) for r in got) == LITERAL_ROWS
+    kept = booking_lines(_tx(spark, LITERALS), strict=strict, keep_empty=True).collect()
+    assert sorted(r.booking_id for r in kept if r.product_id is None) == [4, 5, 6]
+
+
+def test_no_literal_at_all(spark):
+    bad = _tx(spark, LITERALS + [(9, "[{'product_id': f(1)}]")])
+    with pytest.raises(Exception, match="not a literal"):
+        booking_lines(bad, strict=True).collect()
+    assert len(booking_lines(bad, strict=False, keep_empty=False).collect()) == len(LITERAL_ROWS)
+
+
+def test_clean_rows_dont_pass_through_python(spark, tmpdir_path):
+    _tx(spark, LITERALS).write.parquet(f"{tmpdir_path}/tx")
+    plan = booking_lines(spark.read.parquet(f"{tmpdir_path}/tx"))._jdf.queryExecution().executedPlan().toString()
+    python, = [i for i, line in enumerate(plan.splitlines()) if "ArrowEvalPython" in line]
+    below = plan.splitlines()[python + 1:]
+    # the Python branch reads a filtered scan of its own; the other branch stands before it
+    assert "NOT" in "".join(below) and "Filter" in "".join(below)
+    assert "ArrowEvalPython" not in "".join(plan.splitlines()[:python])
+    assert sum("Scan parquet" in line for line in below) == 1
+
+
+OPEN_EVENTS = [
+    (1, "e", "{'k': 5, 'x': 'a', 'odd name': 1.5}"), (2, "e", "{'x': 'b', 'mixed': 3, 'list': [1, 2]}"), (3, "e", None),
+    (4, "e", "{'k': 0x10, 'mixed': 'three', 'flag': True,}"), (5, "e", "{'nothing': None, 'odd name': 2, 'd': {'q': 1}}"), (6, "other", "{'z': 1}"),
+    (7, "e", "{}"), (8, "e", "[1, 2]"),
+]
+
+
+def test_a_column_for_every_key(spark):
+    ev = spark.createDataFrame(OPEN_EVENTS, "event_id long, event_name string, event_metadata string")
+    got = event_attributes(ev, "e")
+    assert dict(got.dtypes) == {"event_id": "bigint", "d": "string", "flag": "boolean", "k": "bigint", "list": "string", "mixed": "string",
+                                "nothing": "string", "odd name": "double", "x": "string"}
+    rows = {r.event_id: r.asDict() for r in got.collect()}
+    assert set(rows) == {1, 2, 3, 4, 5, 7, 8}
+    assert (rows[1]["k"], rows[1]["x"], rows[1]["odd name"]) == (5, "a", 1.5)
+    assert (rows[2]["mixed"], rows[2]["list"], rows[2]["k"]) == ("3", "[1,2]", None)
+    assert (rows[4]["k"], rows[4]["mixed"], rows[4]["flag"]) == (16, "three", True)
+    assert (rows[5]["odd name"], rows[5]["nothing"], rows[5]["d"]) == (2.0, None, '{"q":1}')
+    for i in (3, 7, 8):
+        assert all(v is None for c, v in rows[i].items() if c != "event_id")
+
+
+def test_attribute_names_must_be_usable(spark):
+    ev = spark.createDataFrame([(1, "e", "{'event_id': 5}")], "event_id long, event_name string, event_metadata string")
+    with pytest.raises(ValueError, match="event_id"):
+        event_attributes(ev, "e")
+    many = spark.range(30).selectExpr("parse_json(concat('{\"k', id, '\": 1}')) AS _v")
+    with pytest.raises(ValueError, match="more than 20"):
+        attribute_types(many, most_keys=20)
+    none = spark.createDataFrame([], "event_id long, event_name string, event_metadata string")
+    assert event_attributes(none, "e").columns == ["event_id"]

@@ -2,6 +2,7 @@ import datetime as dt
 
 import pytest
 
+from shopstat.operators import profile
 from shopstat.operators.profile import (birth_year_counts, box_stats, column_profile, count_by, daily_counts,
                                         describe, event_ratio, head_tail, histogram, outliers_iqr,
                                         rolling_mean, sample_rows, value_counts)
@@ -134,3 +135,17 @@ def test_appended_rows_are_seen(spark, tmpdir_path):
     first = count()
     shutil.copy(f"{src}/orders.parquet", os.path.join(tmpdir_path, "orders.parquet", "b.parquet"))
     assert count() == 2 * first
+
+
+def test_nan_is_missing(spark):
+    nan, inf = float("nan"), float("inf")
+    df = spark.createDataFrame([(v,) for v in (1.0, 2.0, 3.0, 4.0, nan, None)], "v double")
+    row = profile.describe(df, ["v"]).first()
+    assert (row["count"], row["mean"], row["max"], row["p50"]) == (4, 2.5, 4.0, 2.5)
+    box = profile.box_stats(df, "v").first()
+    assert (box.median, box.whisker_low, box.whisker_high, box.fliers) == (2.5, 1.0, 4.0, 0)
+    assert profile.outliers_iqr(spark.createDataFrame([(v,) for v in (1.0, 1.0, 2.0, 2.0, nan, 90.0)], "v double"), "v").collect()[0].v == 90.0
+    bins = profile.histogram(spark.createDataFrame([(v,) for v in (1.0, 2.0, 3.0, 4.0, nan, inf, -inf)], "v double"), "v", 3).orderBy("bin").collect()
+    assert [(b.bin_start, b.bin_end, b.cnt) for b in bins] == [(1.0, 2.0, 1), (2.0, 3.0, 1), (3.0, 4.0, 2)]
+    empty = profile.describe(spark.createDataFrame([(nan,)], "v double"), ["v"]).first()
+    assert empty["count"] == 0 and empty["p50"] is None and profile.histogram(spark.createDataFrame([(nan,)], "v double"), "v").count() == 0

@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -5,6 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from shopstat.operators import ranking
 from shopstat.operators.ranking import exact_quantiles, sequence_number, value_partitions
 
 
@@ -126,3 +129,47 @@ def test_building_products_starts_no_job(spark):
         assert not sc.statusTracker().getJobIdsForGroup("no-job")
     finally:
         sc.setLocalProperty("spark.jobGroup.id", None)
+
+
+NAN, INF = float("nan"), float("inf")
+SPREADS = [
+    [1.0, 2.0, 3.0, 4.0, NAN, None], [NAN, None], [5.0], [-0.0, 0.0], [-INF, 1.0, INF, 2.0],
+    [2.0 ** k for k in range(-1000, 1000, 7)] + [-(3.0 ** k) for k in range(0, 600, 5)] + [0.0],
+    [1.7e308, -1.7e308, 1.0, 1.0, 2.0], [5e-324, 1e-323, 0.0, -5e-324],
+    [1e15 + i for i in range(3000)] + [1e15] * 5000 + [-1e15] * 7,
+]
+
+
+@pytest.mark.parametrize("values", SPREADS)
+@pytest.mark.parametrize("few", [0, 1 << 13])
+def test_quantiles_by_counting(spark, monkeypatch, values, few):
+    """Values of all magnitudes, ties, NaN; also where nothing is ever counted by value."""
+    monkeypatch.setattr(ranking, "EXACT_ROWS", few)
+    monkeypatch.setattr(ranking, "CELLS", 64)
+    probs = [0.0, 0.01, 0.25, 0.5, 0.9, 0.997, 1.0]
+    df = spark.createDataFrame([(v, None if v is None else 1) for v in values], "v double, `a.b` int")
+    got = ranking.column_quantiles(df, ["v", "a.b"], probs)
+    present = sorted(v for v in values if v is not None and v == v)
+    assert got["a.b"] == ({q: 1.0 for q in probs} if any(v is not None for v in values) else {})
+    assert list(got["v"]) == (probs if present else [])
+    for q in probs if present else []:
+        h = (len(present) - 1) * q
+        lo, hi = present[math.floor(h)], present[math.ceil(h)]
+        assert got["v"][q] == (lo if lo == hi else pytest.approx(lo + (h - math.floor(h)) * (hi - lo), rel=1e-12, nan_ok=True))
+
+
+def test_quantiles_shuffle_buckets_not_rows(spark, tmpdir_path):
+    spark.range(0, 200_000).select((F.randn(3) * 50 + 200).alias("v")).write.parquet(f"{tmpdir_path}/v")
+    df = spark.read.parquet(f"{tmpdir_path}/v")
+    counts = df.withColumn("_b", ranking._log_bucket(F.col("v"))).groupBy("_b").count()
+    assert counts.count() < 300
+    plan = counts._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan and "partial_count" in plan
+    got = ranking.column_quantiles(df, ["v"], [0.1, 0.5])["v"]
+    want = np.quantile([r.v for r in df.collect()], [0.1, 0.5])
+    assert [got[0.1], got[0.5]] == pytest.approx(list(want), rel=1e-12)
+
+
+def test_grouped_quantiles_skip_nan(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", NAN), ("a", 3.0), ("b", NAN)], "g string, v double")
+    assert [(r.g, r.value) for r in exact_quantiles(df, "v", [0.5], ["g"]).collect()] == [("a", 2.0)]
