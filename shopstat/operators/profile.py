@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shopstat.operators.ranking import column_quantiles, exact_quantiles, not_missing
+from shopstat.operators.ranking import column_quantiles, exact_quantiles, not_missing, sql_double
 
 # Quantile levels of the order-value report.
 REPORT_QUANTILES = [0, 0.01, 0.05, 0.25, 0.50, 0.75, 0.90, 0.95, 0.97, 0.99, 0.995, 0.997, 0.999, 1]
@@ -52,16 +52,17 @@ def describe(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     and NaN don't count.  A column without values has a row of nulls."""
     def number(c: str) -> Column:
         return F.when(not_missing(df, c), F.col(f"`{c}`").cast("double"))
-    stats = {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
-    one = df.agg(*[f(number(c)).alias(f"{i}_{name}") for i, c in enumerate(cols) for name, f in stats.items()])
+    stats = {"count": "count", "mean": "avg", "std": "stddev_samp", "min": "min", "max": "max"}
+    numbers = df.select(*[number(c).alias(f"_{i}") for i, c in enumerate(cols)])
+    one = numbers.selectExpr(*[f"{f}(_{i}) AS _{i}_{name}" for i in range(len(cols)) for name, f in stats.items()])
     quartiles = column_quantiles(df, cols, [0.25, 0.5, 0.75])
-    order = ["count", "mean", "std", "min", "p25", "p50", "p75", "max"]
 
-    def row(i: int, c: str) -> Column:
-        values = {f"p{int(q * 100)}": F.lit(quartiles[c].get(q)).cast("double") for q in (0.25, 0.5, 0.75)}
-        values |= {name: F.col(f"{i}_{name}") for name in stats}
-        return F.struct(F.lit(c).alias("column_name"), *[values[n].alias(n) for n in order])
-    return one.select(F.explode(F.array(*[row(i, c) for i, c in enumerate(cols)])).alias("r")).select("r.*")
+    def row(i: int, c: str) -> str:
+        p25, p50, p75 = (sql_double(quartiles[c].get(q)) for q in (0.25, 0.5, 0.75))
+        return f"{i}, _{i}_count, _{i}_mean, _{i}_std, _{i}_min, {p25}, {p50}, {p75}, _{i}_max"
+    rows = one.selectExpr(f"stack({len(cols)}, {', '.join(row(i, c) for i, c in enumerate(cols))}) AS (i, count, mean, std, min, p25, p50, p75, max)")
+    names = F.array(*[F.lit(c) for c in cols])
+    return rows.select(names[F.col("i")].alias("column_name"), "count", "mean", "std", "min", "p25", "p50", "p75", "max")
 
 
 def quantile_table(df: DataFrame, col: str, probs: Sequence[float] = REPORT_QUANTILES,

@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -174,7 +173,7 @@ def sequence_number(df: DataFrame, partition_cols: Sequence[str], order_cols: Se
 # -- exact quantiles --------------------------------------------------------
 LOG_STEPS = 15              # buckets per doubling in the first pass
 CELLS = 1 << 13             # buckets of all intervals together in the passes after it
-EXACT_ROWS = 1 << 13        # so many rows or fewer are counted by value
+EXACT_ROWS = 1 << 16        # so many rows or fewer are counted by value
 
 
 def not_missing(df: DataFrame, col: str) -> Column:
@@ -184,6 +183,11 @@ def not_missing(df: DataFrame, col: str) -> Column:
     return c.isNotNull() & ~F.isnan(c) if floating else c.isNotNull()
 
 
+def sql_double(x: float | None) -> str:
+    """A double as SQL text, exactly."""
+    return "CAST(NULL AS DOUBLE)" if x is None else f"CAST('{float(x)!r}' AS DOUBLE)"
+
+
 def _log_bucket(x: Column) -> Column:
     """A bucket number that never falls as ``x`` rises, fine enough for
     numbers of any size; infinities have their own."""
@@ -192,12 +196,6 @@ def _log_bucket(x: Column) -> Column:
     return (F.when(x < 0, -size).otherwise(size)).cast("int")
 
 
-def _wanted(cells: list, n: int, probs: Sequence[float]) -> list:
-    """The cells (low, high, rows, rows before) that hold a wanted position."""
-    places = sorted({p for q in probs for p in (math.floor((n - 1) * q), math.ceil((n - 1) * q))})
-    return [c for c in cells if any(c[3] <= p < c[3] + c[2] for p in places)]
-
-
 def column_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> dict[str, dict[float, float]]:
     """Exact quantiles with linear interpolation of several numeric columns;
     nulls and NaN are skipped, a column without values has none.
@@ -213,48 +211,49 @@ def column_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float])
     """
     probs = [float(q) for q in probs]
 
-    def series(i: int, c: str) -> DataFrame:
-        return df.filter(not_missing(df, c)).select(F.lit(i).alias("_s"), F.col(f"`{c}`").cast("double").alias("_x"))
-
-    def counted(found: DataFrame, keys: list) -> list:
-        rows = found.groupBy(*keys).agg(F.min("_x").alias("lo"), F.max("_x").alias("hi"), F.count(F.lit(1)).alias("n")).toArrow()
-        return list(zip(*(rows.column(i).to_pylist() for i in range(rows.num_columns))))
-
-    def placed(rows: list, before: int) -> list:
-        out = []
-        for lo, hi, n in sorted(rows):
-            out.append((lo, hi, n, before))
-            before += n
-        return out
-
-    first = counted(reduce(DataFrame.unionByName, [series(i, c) for i, c in enumerate(cols)]).withColumn("_b", _log_bucket(F.col("_x"))), ["_s", "_b"])
-    total = {i: sum(r[4] for r in first if r[0] == i) for i in range(len(cols))}
+    # all columns' values in one scan: (number of the column, value)
+    if len(cols) == 1:
+        values = df.filter(not_missing(df, cols[0])).select(F.lit(0).alias("_s"), F.col(f"`{cols[0]}`").cast("double").alias("_x"))
+    else:
+        values = df.select(F.inline(F.array(*[F.struct(F.lit(i).alias("_s"), F.when(not_missing(df, c), F.col(f"`{c}`").cast("double")).alias("_x"))
+                                              for i, c in enumerate(cols)]))).filter("_x IS NOT NULL")
+
+    def counted(found: DataFrame, of: str, part: str) -> dict[int, tuple]:
+        """Per ``of``: smallest and largest value and row count of each ``part``."""
+        rows = found.groupBy(of, part).agg(F.min("_x").alias("lo"), F.max("_x").alias("hi"), F.count(F.lit(1)).alias("n")).toArrow()
+        key, lo, hi, n = (rows.column(c).to_numpy() for c in (of, "lo", "hi", "n"))
+        return {int(k): (lo[key == k], hi[key == k], n[key == k]) for k in np.unique(key)}
+
+    def sort_out(i: int, parts: tuple, before: int) -> None:
+        """Which of the parts of a stretch after ``before`` rows hold a wanted position."""
+        order = np.argsort(parts[0], kind="stable")
+        lo, hi, n = (p[order] for p in parts)
+        ends = before + np.cumsum(n)
+        places = np.array(sorted({p for q in probs for p in (math.floor((total[i] - 1) * q), math.ceil((total[i] - 1) * q)) if before <= p < ends[-1]}))
+        for k in np.unique(np.searchsorted(ends, places, side="right")):
+            cell = (float(lo[k]), float(hi[k]), int(n[k]), int(ends[k] - n[k]))
+            (done[i] if cell[0] == cell[1] else open_cells).append(cell if cell[0] == cell[1] else (i, *cell))
+
+    first = counted(values.withColumn("_b", _log_bucket(F.col("_x"))), "_s", "_b")
+    total = {i: int(first[i][2].sum()) if i in first else 0 for i in range(len(cols))}
     done: dict[int, list] = {i: [] for i in range(len(cols))}
     open_cells: list = []
-
-    def sort_out(i: int, cells: list) -> None:
-        for c in _wanted(cells, total[i], probs):
-            (done[i] if c[0] == c[1] else open_cells).append(c if c[0] == c[1] else (i, *c))
-    for i in range(len(cols)):
-        sort_out(i, placed([r[2:] for r in first if r[0] == i], 0))
+    for i, parts in first.items():
+        sort_out(i, parts, 0)
     while open_cells:
         cells, open_cells = open_cells, []
         few, steps = sum(c[3] for c in cells) <= EXACT_ROWS, max(2, CELLS // len(cells))
-
-        def inside(i: int, c: str, own: list) -> DataFrame:
-            x, cell = F.col("_x"), F.lit(None).cast("int")
-            part = F.lit(None).cast("double")
-            for k, (_, lo, hi, *_rest) in own:
-                here = (x >= lo) & (x <= hi)
-                # halves first: the width of an interval may exceed the largest double
-                share = (x / 2 - lo / 2) / (hi / 2 - lo / 2) if hi / 2 - lo / 2 > 0 else F.when(x > lo, 1.0).otherwise(0.0)
-                cell = F.when(here, F.lit(k)).otherwise(cell)
-                part = F.when(here, x if few else F.least(F.floor(share * steps), F.lit(steps - 1)).cast("double")).otherwise(part)
-            return series(i, c).withColumns({"_c": cell, "_p": part}).filter("_c IS NOT NULL")
-        found = counted(reduce(DataFrame.unionByName, [
-            inside(i, c, [(k, cell) for k, cell in enumerate(cells) if cell[0] == i]) for i, c in enumerate(cols) if any(cell[0] == i for cell in cells)]), ["_c", "_p"])
-        for k, (i, _, _, _, before) in enumerate(cells):
-            sort_out(i, placed([r[2:] for r in found if r[0] == k], before))
+        whens = []
+        for k, (i, lo, hi, *_rest) in enumerate(cells):
+            # halves first: the width of an interval may exceed the largest double
+            half = hi / 2 - lo / 2
+            share = f"(_x / 2 - {sql_double(lo / 2)}) / {sql_double(half)}" if half > 0 else f"if(_x > {sql_double(lo)}, 1D, 0D)"
+            part = "_x" if few else f"CAST(least(floor({share} * {steps}), {steps - 1}) AS DOUBLE)"
+            whens.append(f"WHEN _s = {i} AND _x >= {sql_double(lo)} AND _x <= {sql_double(hi)} THEN named_struct('_c', {k}, '_p', {part})")
+        place = F.expr(f"CASE {' '.join(whens)} END")
+        found = counted(values.select("_x", place.alias("_at")).filter("_at IS NOT NULL").select("_x", "_at._c", "_at._p"), "_c", "_p")
+        for k, parts in found.items():
+            sort_out(cells[k][0], parts, cells[k][4])
 
     def value(i: int, q: float) -> float:
         h = (total[i] - 1) * q
