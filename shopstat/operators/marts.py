@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from shopstat.functions.bands import age_category, amount_category
 from shopstat.functions.timeparts import days_between_boundaries
-from shopstat.operators.ranking import sequence_number
+from shopstat.operators.ranking import checkpointed, sequence_number
 
 
 def order_quantity(lines: DataFrame, id_col: str = "booking_id") -> DataFrame:
@@ -53,12 +53,14 @@ def dm_transactions(tx: DataFrame, customers: DataFrame, summary: DataFrame,
     product, with bands, delivery days, product counts and booking number
     (numbered after those joins).
 
-    Only customer, time and booking id of the mart's bookings are numbered
-    (and pass through Python and the checkpoint); the numbers are joined back
-    on the booking id, which is the table's key.  The numbering is
-    materialised when the mart is built, so consumers that do not need
-    ``booking_number`` should pass ``with_booking_number=False`` and keep the
-    plan lazy (Catalyst then prunes the unused columns too).
+    The mart's rows are written once with a row id of their own (so the lines
+    are joined and summed once), only customer, time, booking id and row id
+    pass through the numbering, and the numbers are joined back on the row
+    id: rows that share a booking id or a customer stay as many as the joins
+    make them, and each gets its own number.  The numbering is materialised
+    when the mart is built, so consumers that do not need ``booking_number``
+    should pass ``with_booking_number=False`` and keep the plan lazy
+    (Catalyst then prunes the unused columns too).
     """
     c = customers.select("customer_id", "birthdate")
     joined = tx.join(c, "customer_id").join(summary, "booking_id")
@@ -74,8 +76,7 @@ def dm_transactions(tx: DataFrame, customers: DataFrame, summary: DataFrame,
     )
     if not with_booking_number:
         return mart
-    keys = (tx.select("customer_id", F.col("created_at").alias("created_dt"), "booking_id")
-            .join(customers.select("customer_id"), "customer_id", "left_semi")
-            .join(summary.select("booking_id"), "booking_id", "left_semi").select("customer_id", "created_dt", "booking_id"))
-    numbers = booking_numbers(keys, time_col="created_dt").select("booking_id", "booking_number")
-    return mart.join(numbers, "booking_id").select(*mart.columns, "booking_number")
+    written = checkpointed(mart.withColumn("_row", F.monotonically_increasing_id()))
+    keys = written.select("customer_id", "created_dt", "booking_id", "_row")
+    numbers = booking_numbers(keys, time_col="created_dt").select("_row", "booking_number")
+    return written.join(numbers, "_row").select(*mart.columns, "booking_number")

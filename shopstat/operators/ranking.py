@@ -112,7 +112,7 @@ def _number_partitions(part_cols: list[str]):
     return run
 
 
-def _materialise(df: DataFrame) -> DataFrame:
+def checkpointed(df: DataFrame) -> DataFrame:
     """Reliable checkpoint of ``df``.  The write re-runs the cheap Arrow
     numbering over the same shuffle output (same split points), which
     measured faster than caching the rows first."""
@@ -146,7 +146,7 @@ def sequence_number(df: DataFrame, partition_cols: Sequence[str], order_cols: Se
     # split points separately.  A reliable checkpoint in the shared
     # checkpoint folder fixes the numbered rows (and survives executor loss)
     # whatever happens to the cache later.
-    mapped = _materialise(ranged.mapInArrow(_number_partitions(part_cols), out_schema))
+    mapped = checkpointed(ranged.mapInArrow(_number_partitions(part_cols), out_schema))
 
     # Offsets, computed on one row per partition.
     summary = mapped.filter(F.col(_KIND) == 1).select(
@@ -275,7 +275,7 @@ def value_partitions(df: DataFrame, value_col: str, groups: Sequence[str] = (),
     counts = (df.filter(not_missing(df, value_col)).select(*groups, F.col(f"`{value_col}`").cast("double").alias("_v"))
               .groupBy(*groups, "_v").agg(F.count(F.lit(1)).alias("_c")))
     n_parts = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return _materialise(counts.repartitionByRange(n_parts, *groups, "_v").withColumn("_part", F.spark_partition_id()))
+    return checkpointed(counts.repartitionByRange(n_parts, *groups, "_v").withColumn("_part", F.spark_partition_id()))
 
 
 def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float],

@@ -124,7 +124,7 @@ def test_command_line(spark, capsys):
     from shopstat.__main__ import main
     assert main(["list"]) == 0
     listed = capsys.readouterr().out.split()
-    assert "dm_transactions" in listed and len(listed) == 56
+    assert "dm_transactions" in listed and len(listed) == 58
     assert main(["test", "1", "segment", "/root/testdata/sf0.001"]) == 0
     assert "t-statistic" in capsys.readouterr().out
 
