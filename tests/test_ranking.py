@@ -98,7 +98,7 @@ def test_hot_value_is_one_row_of_the_quantile_table(spark):
 
 
 def test_mart_numbers_only_key_columns(spark):
-    """Three columns pass through Python in the mart's numbering."""
+    """Three columns and a row id pass through Python in the mart's numbering."""
     from unittest import mock
 
     from shopstat.operators import marts
@@ -107,7 +107,7 @@ def test_mart_numbers_only_key_columns(spark):
     real = marts.sequence_number
     with mock.patch.object(marts, "sequence_number", lambda df, *a, **k: seen.append(df.columns) or real(df, *a, **k)):
         mart = Roles(spark, "/root/testdata/sf0.001").dm_transactions
-    assert seen == [["customer_id", "created_dt", "booking_id"]] and mart.columns[-1] == "booking_number"
+    assert seen == [["customer_id", "created_dt", "booking_id", "_row"]] and mart.columns[-1] == "booking_number"
 
 
 def test_distinct_products_use_one_exchange(spark):
