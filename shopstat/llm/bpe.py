@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from shopstat.llm.tokens import parts
 
-NONE = np.int64(1) << 40        # larger than any rank * size + position
+NONE = np.int64(1) << 62        # larger than any rank * size + position
 LONG_PIECE = 256                # bytes; longer pieces are merged one by one
 MEMO_PIECES = 150_000
 BATCH_CELLS = 1 << 16

@@ -73,3 +73,10 @@ def test_report_and_round_trip(spark):
 
 def test_empty_table(spark):
     assert B.report(edge_docs(spark).limit(0), PATH, public_tokenizers.PATTERN).collect() == []
+
+
+def test_leaf_values_stay_below_none():
+    """A leaf holds rank * size + position: also for the longest pieces every rank must count as a pair."""
+    ranks = B.load_ranks(PATH)
+    for size in (1 << 24, 1 << 25, 1 << 31):
+        assert max(ranks.values()) * size + size - 1 < int(B.NONE)
