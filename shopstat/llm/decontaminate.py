@@ -18,17 +18,21 @@ maxima plus the block's largest light rest reach the threshold, then with a
 unit only if its own essential postings plus its light rest do; what is left
 is scored exactly.
 
-Verification, against the whole document: at least ``OVERLAP`` of the item's
-five-word shingles, of its question's words and of its answer's words (the
-last sentence; of one sentence, its second half) must be there, the words
-within the retrieved windows.
+Verification: at least ``OVERLAP`` of the item's question's words and of its
+answer's words (the last sentence; of one sentence, its second half) must be
+there, in their order, within the retrieved windows.  The share of the item's five-word
+shingles in the document is reported, not judged.
 
 An index above ``MAX_INDEX_BYTES`` of item text (checked before it is
-gathered) is searched in shards, one pass over the documents each.
+gathered) is searched in shards, one written pass over the documents each;
+the driver holds one shard at a time.
 
 Defined results: null or empty texts and items match nothing; items shorter
 than five words count as one shingle; repeated documents are searched one by
-one; one row per document and item found.
+one; one row per document and item found.  A document without an id has its
+rows with a null id; items without an id can't be named and are left out.  An
+empty table on either side finds nothing; columns of the caller that are named
+like an operator's own stay as they are.
 """
 
 from __future__ import annotations
@@ -36,13 +40,16 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from shopstat.llm.common import materialise
 from shopstat.llm.tokens import Words, parts, run_hashes, words_of
 
 UNIT, BLOCK = 64, 64
@@ -59,6 +66,7 @@ class Item:
     shingles: np.ndarray       # distinct shingle hashes
     question: np.ndarray       # distinct word hashes
     answer: np.ndarray
+    last: int                  # where the answer begins
 
 
 def _shingles(h: np.ndarray) -> np.ndarray:
@@ -74,7 +82,24 @@ def _item(item_id: int, text: str) -> Item | None:
     last = int(w.first[len(sentences) - 1]) if len(sentences) > 1 else 0
     if not 0 < last < len(h):
         last = len(h) // 2
-    return Item(item_id, h, _shingles(h), np.unique(h[:last]), np.unique(h[last:]))
+    return Item(item_id, h, _shingles(h), np.unique(h[:last]), np.unique(h[last:]), last)
+
+
+def in_order(wanted: np.ndarray, words: np.ndarray) -> float:
+    """The share of ``wanted`` that stands among ``words`` in its order: the
+    longest common subsequence, a row of its table per step in one whole number."""
+    if not len(wanted):
+        return 1.0
+    places: dict[int, int] = {}
+    for i, x in enumerate(wanted.tolist()):
+        places[x] = places.get(x, 0) | 1 << i
+    full = (1 << len(wanted)) - 1
+    row = full
+    for x in words.tolist():
+        hit = row & places.get(x, 0)
+        if hit:
+            row = ((row + hit) | (row - hit)) & full
+    return (len(wanted) - row.bit_count()) / len(wanted)
 
 
 def _ragged(start: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -210,11 +235,11 @@ class Index:
         for (owner, k), (score, found) in best.items():
             item, h = self.items[k], w.hash[int(w.first[owner]):int(w.first[owner + 1])]
             shingles = float(np.isin(item.shingles, run_hashes(h, min(SHINGLE, len(item.hashes)))).mean())
-            if shingles < OVERLAP:
+            spots = np.unique(np.concatenate([np.arange((x - int(base[owner])) * UNIT, (x - int(base[owner])) * UNIT + 2 * UNIT) for x in found]))
+            near = h[spots[spots < len(h)]]
+            if len(item.question) and np.isin(item.question, near).mean() < OVERLAP or np.isin(item.answer, near).mean() < OVERLAP:
                 continue
-            near = np.concatenate([h[(x - int(base[owner])) * UNIT:][:2 * UNIT] for x in found])
-            question = float(np.isin(item.question, near).mean()) if len(item.question) else 1.0
-            answer = float(np.isin(item.answer, near).mean())
+            question, answer = in_order(item.hashes[:item.last], near), in_order(item.hashes[item.last:], near)
             if question >= OVERLAP and answer >= OVERLAP:
                 yield owner, item.item_id, score, shingles, question, answer
 
@@ -237,13 +262,19 @@ def _shared(items) -> Index:
     return _BUILT[1]
 
 
-def _shards(items: DataFrame, max_bytes: int) -> list:
-    """The items as broadcast lists, each below ``max_bytes`` of text."""
+def _shards(items: DataFrame, max_bytes: int) -> Iterator[tuple[Broadcast, bool]]:
+    """The items as broadcast lists, each below ``max_bytes`` of text, and
+    whether it is the only one.  One is made when its pass begins and given
+    up when the next one is asked for, so the driver holds one at a time."""
     items = items.select("item_id", "text").filter(F.col("text").isNotNull() & F.col("item_id").isNotNull())
     size = items.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0)).alias("n")).first()["n"]
     n = max(1, -(-size // max_bytes))
-    sc = items.sparkSession.sparkContext
-    return [sc.broadcast([tuple(r) for r in items.filter(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k).distinct().collect()]) for k in range(n)]
+    for k in range(n):
+        own = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k).distinct()
+        shard = items.sparkSession.sparkContext.broadcast([tuple(r) for r in own.collect()])
+        yield shard, n == 1
+        if n > 1:
+            shard.destroy()
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, max_index_bytes: int = MAX_INDEX_BYTES) -> DataFrame:
@@ -252,7 +283,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, max_index_bytes: int = MAX_IND
     schema = T.StructType([docs.schema["doc_id"], T.StructField("item_id", T.LongType())] + [
         T.StructField(c, T.DoubleType()) for c in ("score", "shingle_overlap", "question_overlap", "answer_overlap")])
 
-    def searched(shard) -> DataFrame:
+    def searched(shard: Broadcast) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index = _shared(shard)
             for batch in parts(batches):
@@ -263,16 +294,14 @@ def find_leaks(docs: DataFrame, items: DataFrame, max_index_bytes: int = MAX_IND
                         [batch.column("doc_id").take(pa.array(cols[0])), pa.array(cols[1], pa.int64()), *[pa.array(c, pa.float64()) for c in cols[2:]]],
                         names=schema.names)
         return docs.select("doc_id", "text").mapInArrow(run, schema)
-    found = None
-    for shard in _shards(items, max_index_bytes):
-        part = searched(shard)
-        found = part if found is None else found.unionByName(part)
-    return found
+    # several shards: each pass is written before the next shard is made
+    found = [searched(shard) if only else materialise(searched(shard), "leaks") for shard, only in _shards(items, max_index_bytes)]
+    return reduce(DataFrame.unionByName, found)
 
 
 def clean_documents(docs: DataFrame, items: DataFrame, max_index_bytes: int = MAX_INDEX_BYTES) -> DataFrame:
     """The documents in which no item is found, with all their columns."""
-    def kept(df: DataFrame, shard) -> DataFrame:
+    def kept(df: DataFrame, shard: Broadcast) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index = _shared(shard)
             for batch in parts(batches):
@@ -280,6 +309,6 @@ def clean_documents(docs: DataFrame, items: DataFrame, max_index_bytes: int = MA
                 good[[r[0] for r in index.search(batch.column("text"))]] = False
                 yield batch.filter(pa.array(good))
         return df.mapInArrow(run, df.schema)
-    for shard in _shards(items, max_index_bytes):
-        docs = kept(docs, shard)
+    for shard, only in _shards(items, max_index_bytes):
+        docs = kept(docs, shard) if only else materialise(kept(docs, shard), "without-leaks")
     return docs

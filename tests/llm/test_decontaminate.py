@@ -1,5 +1,6 @@
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from shopstat.llm import decontaminate as D
 from shopstat.llm.tokens import words_of
@@ -9,22 +10,42 @@ from tests.llm.test_passages import _fuzz, _prose
 ITEMS = "item_id bigint, text string"
 
 
+def _subsequence(x, y):
+    """Length of the longest common subsequence, by its table."""
+    row = [0] * (len(y) + 1)
+    for u in x:
+        last = 0
+        for j, v in enumerate(y, 1):
+            last, row[j] = row[j], last + 1 if u == v else max(row[j], row[j - 1])
+    return row[-1]
+
+
 def brute(index, text):
-    """All units against all windows, no bounds."""
+    """All units against all windows, no bounds; then the words of the windows
+    that retrieve an item must hold its question and its answer in order."""
     w = words_of(pa.array([text], pa.string()))
-    found = set()
+    near = {}
     for a in range(0, len(w.hash), D.UNIT):
         seen = np.unique(w.hash[a:a + 2 * D.UNIT])
-        found |= {int(index.unit_item[u]) for u in range(index.units) if index._score(u, seen) >= D.THRESHOLD}
+        for u in range(index.units):
+            if index._score(u, seen) >= D.THRESHOLD:
+                near.setdefault(int(index.unit_item[u]), set()).update(range(a, min(a + 2 * D.UNIT, len(w.hash))))
     out = set()
-    for k in found:
-        item, h = index.items[k], w.hash
-        from shopstat.llm.tokens import run_hashes
-        if np.isin(item.shingles, run_hashes(h, min(D.SHINGLE, len(item.hashes)))).mean() >= D.OVERLAP:
+    for k, spots in near.items():
+        item, words = index.items[k], w.hash[sorted(spots)].tolist()
+        parts = [item.hashes[:item.last].tolist(), item.hashes[item.last:].tolist()]
+        if all(not p or _subsequence(p, words) >= D.OVERLAP * len(p) for p in parts):
             out.add(item.item_id)
     return out
 
 
+def test_in_order_share():
+    rng = np.random.default_rng(1)
+    for _ in range(300):
+        x, y = (rng.integers(0, 6, size=rng.integers(0, n)).astype(np.uint64) for n in (70, 90))
+        assert D.in_order(x, y) == (_subsequence(x.tolist(), y.tolist()) / len(x) if len(x) else 1.0)
+
+
 def test_documents_match_brute_force(spark):
     for sf in (SF, "/root/testdata/sf0.01"):
         docs, items = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
@@ -91,3 +112,32 @@ def test_edges(spark):
     assert clean.columns == docs.columns and clean.count() == len(EDGE_TEXTS) + 2
     assert D.find_leaks(docs, items.limit(0)).collect() == [] and D.find_leaks(docs.limit(0), items).collect() == []
     assert D.clean_documents(docs, items.limit(0)).count() == len(EDGE_TEXTS) + 2
+
+
+@pytest.mark.parametrize("n_words", [16, 25, 40, 55])
+def test_one_changed_word_is_found(spark, n_words):
+    words = [f"term{i}" for i in range(n_words)]
+    items = spark.createDataFrame([(1, " ".join(words[:n_words // 2]) + "? " + " ".join(words[n_words // 2:]) + ".")], "item_id bigint, text string")
+    other = " ".join(f"filler{i}" for i in range(300))
+    rows = []
+    for i, at in enumerate(range(1, n_words, 3)):
+        changed = words[:at] + ["else"] + words[at + 1:]
+        rows.append((i, f"{other} {' '.join(changed)} {other}"))
+    docs = spark.createDataFrame(rows + [(1000, other)], "doc_id bigint, text string")
+    assert {r.doc_id for r in D.find_leaks(docs, items).collect()} == {r[0] for r in rows}
+
+
+def test_driver_holds_one_shard(spark):
+    items = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(30))) for i in range(40)], "item_id bigint, text string")
+    docs = spark.createDataFrame([(i, "before " + " ".join(f"w{i}x{j}" for j in range(30)) + " after") for i in range(40)], "doc_id bigint, text string")
+    shards = D._shards(items, 2000)
+    first, only = next(shards)
+    assert not only and 0 < len(first.value) < 40
+    second, _ = next(shards)
+    with pytest.raises(Exception):
+        spark.sparkContext.parallelize([1], 1).map(lambda _: len(first.value)).collect()      # given up
+    assert len(second.value) > 0
+    shards.close()
+    few = {(r.doc_id, r.item_id) for r in D.find_leaks(docs, items, max_index_bytes=2000).collect()}
+    assert few == {(i, i) for i in range(40)} == {(r.doc_id, r.item_id) for r in D.find_leaks(docs, items).collect()}
+    assert D.clean_documents(docs, items, max_index_bytes=2000).count() == 0
