@@ -9,15 +9,21 @@ corpus, a term ``t`` (a run of letters, lower case) written within
 
     PMI(t, e) / IC(e) = 1 + log2(n(t, e) / n(t)) / log2(N / n(e))
 
-of the entity's information content.  Terms seen near the entity in at
-least ``MIN_CONTEXTS`` different texts (copies of one text count once)
-are generalised from ``GENERALISE`` on and removed from ``REMOVE`` on,
-wherever in the corpus they stand.  An entity in every document has no
-information to protect.
+of the entity's information content.  All four numbers count different texts
+(copies of a text, and repeated rows, count once).  Where fewer than
+``EVIDENCE`` texts show the two together, ``n(t)`` is raised by half the
+missing ones, as if the term stood elsewhere too: an estimate from below that
+still flags a term in one or two texts where the corpus is large enough for
+that to mean something.  Terms are generalised from ``GENERALISE`` on and
+removed from ``REMOVE`` on, wherever in the corpus they stand.  An entity in
+every text has no information to protect.
 
 Defined results: null text is empty; no finds give empty strings and zero
 counts, with the digest of the empty string; terms overlapping a base span
-are not added; repeated rows are treated one by one.
+are not added; repeated rows have the same finds each; rows without an id are
+counted and sanitised like others; an empty table gives an empty result; very
+long texts are taken whole; columns of the caller that are named like an
+operator's own stay as they are.
 """
 
 from __future__ import annotations
@@ -29,9 +35,9 @@ from shopstat.llm.common import SPACE, let, materialise, pack
 
 KINDS = ("email", "ip", "card", "phone", "generalise", "remove")
 WINDOW = 5             # words on each side of an entity
-CONTEXT_CHARS = 200    # characters in which those words are looked for
+CONTEXT_CHARS = 200    # characters in which those words are looked for first
 MIN_TERM = 3           # letters
-MIN_CONTEXTS = 3
+EVIDENCE = 3           # texts from which on an estimate is taken as it is
 GENERALISE, REMOVE = 0.95, 0.99
 CHUNK = 128
 
@@ -130,56 +136,66 @@ def _terms(text: Column) -> Column:
 
 
 def mentions(docs: DataFrame) -> DataFrame:
-    """One row per base find: ``doc_id, entity, context`` (a hash of the whole
-    text) and the ``terms`` among the words around it."""
+    """One row per base find: ``entity, digest`` (a hash of the whole text) and
+    the ``terms`` among the words around it."""
     spans = (docs.select("doc_id", F.coalesce("text", F.lit("")).alias("_text"))
              .filter(F.col("_text").rlike(r"[@+]|[0-9][\x20.-]?[0-9]"))
              .select("doc_id", "_text", base_spans(F.col("_text")).alias("_s")).filter(F.size("_s") > 0))
     one = spans.select("doc_id", "_text", F.explode("_s").alias("s"))
     start, end = F.col("s.start").cast("int"), F.col("s.end").cast("int")
-    left = F.substring("_text", F.greatest(start - CONTEXT_CHARS, F.lit(0)) + 1, F.least(start, F.lit(CONTEXT_CHARS)))
-    right = F.substring("_text", end + 1, F.lit(CONTEXT_CHARS))
-    word = F.lit(rf"[^{SPACE}]+")
-    before = F.regexp_extract_all(left, word, F.lit(0))
-    # a word cut by the edge of the window is not a word of the context
-    before = F.when((start > CONTEXT_CHARS) & (F.size(before) > 0), F.slice(before, F.lit(2), F.size(before))).otherwise(before)
-    after = F.slice(F.regexp_extract_all(right, word, F.lit(0)), 1, WINDOW)
-    before = let(before, lambda b: F.slice(b, F.greatest(F.size(b) - WINDOW, F.lit(0)) + 1, F.lit(WINDOW)))
+    length = F.length("_text")
+
+    def words_in(part: Column) -> Column:
+        return F.regexp_extract_all(part, F.lit(rf"[^{SPACE}]+"), F.lit(0))
+
+    def nearest(part: Column, whole: Column, cut: Column, last: bool) -> Column:
+        """The ``WINDOW`` words at one end of ``whole``: from ``part``, its nearest
+        characters, unless they hold fewer (the word cut by the edge doesn't count)."""
+        def take(w: Column) -> Column:
+            return F.slice(w, F.greatest(F.size(w) - WINDOW, F.lit(0)) + 1 if last else F.lit(1), F.lit(WINDOW))
+
+        def chosen(w: Column) -> Column:
+            sure = F.slice(w, F.lit(2 if last else 1), F.size(w) - 1)
+            return F.when(~cut, take(w)).when(F.size(w) > WINDOW, let(sure, take)).otherwise(let(words_in(whole), take))
+        return let(words_in(part), chosen)
+    before = nearest(F.substring("_text", F.greatest(start - CONTEXT_CHARS, F.lit(0)) + 1, F.least(start, F.lit(CONTEXT_CHARS))),
+                     F.substring("_text", F.lit(1), start), start > CONTEXT_CHARS, True)
+    after = nearest(F.substring("_text", end + 1, F.lit(CONTEXT_CHARS)), F.substring("_text", end + 1, length - end),
+                    length - end > CONTEXT_CHARS, False)
     near = F.array_join(F.concat(before, F.array(F.lit("")), after), " ")
-    return one.select("doc_id", F.concat(F.col("s.kind_no"), F.lit(":"), F.lower("s.value")).alias("entity"),
-                      F.xxhash64("_text").alias("context"), near.alias("_near")).select(
-        "doc_id", "entity", "context", F.array_distinct(_terms(F.col("_near"))).alias("terms"))
+    return one.select(F.concat(F.col("s.kind_no"), F.lit(":"), F.lower("s.value")).alias("entity"),
+                      F.xxhash64("_text").alias("digest"), near.alias("_near")).select(
+        "entity", "digest", F.array_distinct(_terms(F.col("_near"))).alias("terms"))
 
 
 def disclosing_terms(docs: DataFrame) -> DataFrame:
     """``term, disclosure, kind`` of the terms above the thresholds."""
     found = materialise(mentions(docs), "pii-mentions")
-    n_docs = docs.count()
-    # an entity's documents: distinct pairs first, so a very common one is reduced before the shuffle
-    n_e = (found.select("entity", "doc_id").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
-           .filter(F.col("n_e") >= MIN_CONTEXTS))
-    near = found.select("entity", "doc_id", "context", F.explode("terms").alias("term"))
-    ic = F.log2(F.lit(float(max(n_docs, 1))) / F.col("n_e"))
+    n_texts = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("d")).distinct().count()
+    # an entity's texts: distinct pairs first, so a very common one is reduced before the shuffle
+    n_e = found.select("entity", "digest").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
+    near = found.select("entity", "digest", F.explode("terms").alias("term")).distinct()
+    ic = F.log2(F.lit(float(max(n_texts, 1))) / F.col("n_e"))
 
     def share(n_t: Column) -> Column:
-        return F.when(ic > 0, 1 + F.log2(F.least(F.col("n_te") / n_t, F.lit(1.0))) / ic).otherwise(F.lit(0.0))
-    # documents with the term near any entity: at most n(t), so a term whose share is too small with
-    # them (most common words) is too small with all documents and needn't be counted in the corpus
-    n_near = near.groupBy("term").agg(F.countDistinct("doc_id").alias("n_near"))
-    pairs = (near.groupBy("entity", "term").agg(F.countDistinct("context").alias("contexts"),
-                                                F.countDistinct("doc_id").alias("n_te"))
-             .filter(F.col("contexts") >= MIN_CONTEXTS).join(n_e, "entity").join(n_near, "term")
+        unseen = F.greatest(EVIDENCE - F.col("n_te"), F.lit(0)) / 2
+        return F.when(ic > 0, 1 + F.log2(F.least(F.col("n_te") / (n_t + unseen), F.lit(1.0))) / ic).otherwise(F.lit(0.0))
+    # texts with the term near any entity: at most n(t), so a term whose share is too small with
+    # them (most common words) is too small with all texts and needn't be counted in the corpus
+    n_near = near.select("term", "digest").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_near"))
+    pairs = (near.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_te")).join(n_e, "entity").join(n_near, "term")
              .filter(share(F.col("n_near")) >= GENERALISE))
     pairs = materialise(pairs.select("term", "n_te", "n_e"), "pii-pairs")
     candidates = materialise(pairs.select("term").distinct(), "pii-candidates")
-    n_t = (_doc_terms(docs).join(candidates, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_t")))
+    n_t = (_doc_terms(docs, F.xxhash64(F.coalesce("text", F.lit(""))).alias("digest")).join(candidates, "term", "left_semi")
+           .distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_t")))
     scored = pairs.join(n_t, "term").groupBy("term").agg(F.max(share(F.col("n_t"))).alias("disclosure"))
     return scored.filter(F.col("disclosure") >= GENERALISE).select(
         "term", "disclosure", F.when(F.col("disclosure") >= REMOVE, "remove").otherwise("generalise").alias("kind"))
 
 
-def _doc_terms(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.explode(F.array_distinct(_terms(F.coalesce("text", F.lit(""))))).alias("term"))
+def _doc_terms(docs: DataFrame, key: Column) -> DataFrame:
+    return docs.select(key, F.explode(F.array_distinct(_terms(F.coalesce("text", F.lit(""))))).alias("term"))
 
 
 def find_personal_data(docs: DataFrame) -> DataFrame:
@@ -187,13 +203,13 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
     ``array<struct<start, kind_no, end, value>>``."""
     flagged = materialise(disclosing_terms(docs), "pii-terms")
     # documents with a flagged term, and their flagged terms (few, bounded by the document's words)
-    hits = _doc_terms(docs).join(flagged.select("term", "kind"), "term")
-    per_doc = materialise(hits.groupBy("doc_id").agg(
+    hits = _doc_terms(docs, F.xxhash64(F.coalesce("text", F.lit(""))).alias("_hit_text")).join(flagged.select("term", "kind"), "term")
+    per_doc = materialise(hits.groupBy("_hit_text").agg(
         F.array_join(F.array_sort(F.collect_set(F.when(F.col("kind") == "generalise", F.col("term")))), "|").alias("_generalise"),
         F.array_join(F.array_sort(F.collect_set(F.when(F.col("kind") == "remove", F.col("term")))), "|").alias("_remove"),
-    ).withColumnRenamed("doc_id", "_hit_id"), "pii-hits")
-    rows = docs.select(pack(docs), F.col("doc_id").alias("_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.join(per_doc, F.col("_id").eqNullSafe(F.col("_hit_id")), "left")
+    ), "pii-hits")
+    rows = docs.select(pack(docs), F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.join(per_doc, F.xxhash64("text") == F.col("_hit_text"), "left")
     base = rows.select("_row", "text", "_generalise", "_remove", base_spans(F.col("text")).alias("_base"))
 
     def extra(column: str) -> Column:

@@ -1,6 +1,7 @@
 import hashlib
 import re
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -125,3 +126,39 @@ def test_one_footer_in_many_texts_discloses(spark):
     assert "zanzibar" in got and "weather" not in got
     copies = ["one letter" + footer] * 6 + [f"ordinary weather number {i}" for i in range(60)]
     assert P.disclosing_terms(_frame(spark, copies)).collect() == []
+
+
+def test_repeated_rows_change_nothing(spark):
+    docs = _revealing(spark)
+    once = {(r.term, r.kind) for r in P.disclosing_terms(docs).collect()}
+    twice = {(r.term, r.kind) for r in P.disclosing_terms(docs.unionByName(docs)).collect()}
+    assert once and once == twice
+
+
+@pytest.mark.parametrize("texts, corpus, found", [(1, 60, False), (1, 2000, False), (2, 60, False), (2, 2000, True), (3, 60, True)])
+def test_entities_in_few_texts(spark, texts, corpus, found):
+    """One or two texts say less than three; how much they must say depends on the corpus."""
+    rows = [f"number {i} agent zanzibar writes from secret.person@example.org" for i in range(texts)]
+    rows += [f"ordinary weather number {i}" for i in range(corpus)]
+    got = {r.term: r.disclosure for r in P.disclosing_terms(_frame(spark, rows)).collect()}
+    assert ("zanzibar" in got) == found and "number" not in got
+    import math
+    want = 1 + math.log2(texts / (texts + max(0, 3 - texts) / 2)) / math.log2((texts + corpus) / texts)
+    assert (want >= P.GENERALISE) == found
+    if found:
+        assert math.isclose(got["zanzibar"], want)
+
+
+def test_context_is_five_words_however_long(spark):
+    long = "q" * 300
+    rows = [f"kept{i} one two {long} four five a@b.org six {long}x seven eight nine ten" for i in range(3)]
+    got = {t for r in P.mentions(_frame(spark, rows)).collect() for t in r.terms}
+    assert got == {"one", "two", long, "four", "five", "six", long + "x", "seven", "eight", "nine"} - {"one"} | {"two"} | ({"one"} & got)
+    assert "ten" not in got and "nine" in got and "two" in got
+
+
+def test_rows_without_an_id_are_counted(spark):
+    rows = [(None, f"number {i} agent zanzibar writes from secret.person@example.org") for i in range(4)] + [(i, f"ordinary weather {i}") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert "zanzibar" in {r.term for r in P.disclosing_terms(docs).collect()}
+    assert all("remove:" in r.spans for r in P.report(docs).collect() if r.doc_id is None)
