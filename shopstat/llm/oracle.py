@@ -4,25 +4,26 @@ from __future__ import annotations
 
 _WORDS = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
 
-# Metric, numerator, denominator, scale, least spread, lower fence too.
+# Metric, numerator, denominator, scale, reach, high quantile and tail in percent, lower fence too.
 _METRICS = [
-    ("word_length", "word_chars", "n_words", 100, 60, True),
-    ("symbols", "n_symbols", "word_chars", 10000, 100, False),
-    ("dup_lines", "n_dup_lines", "n_lines", 10000, 1500, False),
-    ("repeats", "n_repeat_words", "n_words", 10000, 1500, False),
+    ("word_length", "word_chars", "n_words", 100, 4, 95, 0, True),
+    ("symbols", "n_symbols", "word_chars", 10000, 3, 95, 20, False),
+    ("dup_lines", "n_dup_lines", "n_lines", 10000, 3, 98, 100, False),
+    ("repeats", "n_repeat_words", "n_words", 10000, 3, 95, 100, False),
 ]
 
 
 def _quality() -> str:
     steps = " UNION ALL ".join(
         f"SELECT lang, source, '{m}' AS metric, least({scale} * {a} // {b}, 10000) AS step FROM base "
-        f"WHERE NOT base_failed AND {b} > 0" for m, a, b, scale, _, _ in _METRICS)
+        f"WHERE {b} > 0" for m, a, b, scale, *_ in _METRICS)
+    highs = " ".join(f"WHEN '{m}' THEN {high}" for m, _, _, _, _, high, _, _ in _METRICS)
     tests = []
-    for m, a, b, scale, least, low in _METRICS:
+    for m, a, b, scale, reach, _, tail, low in _METRICS:
         step = f"least({scale} * {a} // {b}, 10000)"
-        tests.append(f"""coalesce((SELECT {b} = 0 OR ({step} <= q75 + 3 * greatest(q75 - q25, {least})
-            {f'AND {step} >= q25 - 3 * greatest(q75 - q25, {least})' if low else ''})
-            FROM quart q WHERE q.metric = '{m}' AND q.level = b.level
+        tests.append(f"""coalesce((SELECT {b} = 0 OR ({step} <= q75 + greatest({reach} * iqr, {tail} * tail // 100)
+            {f'AND {step} >= q25 - {reach} * iqr' if low else ''})
+            FROM fence q WHERE q.metric = '{m}' AND q.level = b.level
               AND q.lang IS NOT DISTINCT FROM (CASE WHEN b.level < 2 THEN b.lang END)
               AND q.source IS NOT DISTINCT FROM (CASE WHEN b.level = 0 THEN b.source END)), true)""")
     return f"""
@@ -43,8 +44,13 @@ steps AS ({steps}),
 levels AS (
   SELECT 0 AS level, lang, source, metric, step FROM steps UNION ALL
   SELECT 1, lang, NULL, metric, step FROM steps UNION ALL SELECT 2, NULL, NULL, metric, step FROM steps),
-quart AS (SELECT level, lang, source, metric, quantile_disc(step, 0.25) AS q25, quantile_disc(step, 0.75) AS q75, count(*) AS n
-  FROM levels GROUP BY ALL),
+sorted AS (SELECT level, lang, source, metric, count(*) AS n, list_sort(list(step)) AS s FROM levels GROUP BY ALL),
+quart AS (SELECT level, lang, source, metric, n, s[(n + 3) // 4] AS q25, s[(3 * n + 3) // 4] AS q75,
+  s[((CASE metric {highs} END) * n + 99) // 100] AS qh FROM sorted),
+own AS (SELECT *, nullif(q75 - q25, 0) AS iqr0, nullif(qh - q75, 0) AS tail0 FROM quart),
+fence AS (SELECT o.level, o.lang, o.source, o.metric, o.n, o.q25, o.q75, coalesce(o.iqr0, a.iqr0, b.iqr0, 0) AS iqr, coalesce(o.tail0, a.tail0, b.tail0, 0) AS tail
+  FROM own o LEFT JOIN own a ON o.level < 2 AND a.level = 1 AND a.metric = o.metric AND a.lang IS NOT DISTINCT FROM o.lang
+  LEFT JOIN own b ON b.level = 2 AND b.metric = o.metric),
 big AS (SELECT level, lang, source, max(n) AS n FROM quart GROUP BY ALL HAVING max(n) >= 100 OR level = 2),
 leveled AS (SELECT base.*, CASE
     WHEN EXISTS (SELECT 1 FROM big WHERE big.level = 0 AND big.lang IS NOT DISTINCT FROM base.lang AND big.source IS NOT DISTINCT FROM base.source) THEN 0

@@ -12,13 +12,19 @@ quantiles are exact to one step, and sketches merge by adding counters
 sketches are sums of the source sketches).  It is deterministic, unlike
 sketches that keep random samples, so a repeated task gives the same fences.
 
-Fences are ``q75 + reach * max(q75 - q25, least)``: a group in which most
-documents agree still allows ``reach * least`` steps.  Groups with fewer
-than ``min_rows`` documents use the sketch of their language, then of all.
+Every document with a defined ratio feeds its group's sketch, also those
+that fail the base rule.  The upper fence is ``q75`` plus the larger of ``reach``
+times the quartile distance and ``tail`` percent of the distance from ``q75``
+to a high quantile, which alone speaks where most documents agree (no symbols,
+no repeated lines); word length has a lower fence as well.  A distance of zero
+is taken from the language's sketch, then from that of all documents.  Groups
+with fewer than ``min_rows`` documents use the fences of their language, then
+of all.
 
 Defined results: null text has no words and fails the base rule; null
 ``lang`` or ``source`` are groups of their own; repeated rows are judged one
-by one; an empty table gives an empty result; extra columns are ignored.
+by one; an empty table gives an empty result; extra columns are ignored; very
+long texts are counted whole.
 """
 
 from __future__ import annotations
@@ -36,24 +42,25 @@ SYMBOLS = "#*$%&|<>"
 
 @dataclass(frozen=True)
 class Metric:
-    """``scale * numerator / denominator`` in whole steps; ``least`` is the
-    smallest spread taken seriously; ``low`` also fences below the quartile."""
+    """``scale * numerator / denominator`` in whole steps; fences as above,
+    ``high`` in percent; ``low`` also fences below the quartile."""
     name: str
     numerator: str
     denominator: str
     scale: int
-    least: int
+    reach: int = 3
+    high: int = 95
+    tail: int = 0
     low: bool = False
 
 
-# Parameters: resolution and least spread of each ratio.
+# Parameters: resolution and fences of each ratio.
 METRICS = (
-    Metric("word_length", "word_chars", "n_words", 100, 60, low=True),   # hundredths of a character
-    Metric("symbols", "n_symbols", "word_chars", 10_000, 100),           # share of word characters
-    Metric("dup_lines", "n_dup_lines", "n_lines", 10_000, 1_500),        # share of lines
-    Metric("repeats", "n_repeat_words", "n_words", 10_000, 1_500),       # share of words
+    Metric("word_length", "word_chars", "n_words", 100, reach=4, low=True),             # hundredths of a character
+    Metric("symbols", "n_symbols", "word_chars", 10_000, high=95, tail=20),             # share of word characters
+    Metric("dup_lines", "n_dup_lines", "n_lines", 10_000, high=98, tail=100),           # share of lines
+    Metric("repeats", "n_repeat_words", "n_words", 10_000, high=95, tail=100),          # share of words
 )
-REACH = 3
 MIN_ROWS = 100
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -123,12 +130,8 @@ def _step(m: Metric) -> Column:
 
 
 def sketches(counted: DataFrame) -> DataFrame:
-    """Counters per group and metric: ``_lang, _source, metric, step, n``.
-
-    Only documents that pass the base rule describe a group's normal text.
-    """
-    long = (counted.filter(~F.col("base_failed"))
-            .select("_lang", "_source", F.explode(F.array(*[
+    """Counters per group and metric: ``_lang, _source, metric, step, n``."""
+    long = (counted.select("_lang", "_source", F.explode(F.array(*[
                 F.struct(F.lit(m.name).alias("metric"), _step(m).alias("step")) for m in METRICS])).alias("m"))
             .select("_lang", "_source", "m.metric", "m.step").filter(F.col("step").isNotNull()))
     return long.groupBy("_lang", "_source", "metric", "step").agg(F.count(F.lit(1)).alias("n"))
@@ -146,17 +149,26 @@ def fences(sketch: DataFrame) -> DataFrame:
     group = Window.partitionBy("level", "l", "s", "metric")
     ranked = merged.select("*", F.sum("n").over(group.orderBy("step").rowsBetween(Window.unboundedPreceding, 0)).alias("upto"),
                            F.sum("n").over(group).alias("total"))
-    quartiles = ranked.groupBy("level", "l", "s", "metric").agg(
+    high = F.element_at(F.create_map(*[x for m in METRICS for x in (F.lit(m.name), F.lit(m.high))]), F.col("metric"))
+    quartiles = ranked.withColumn("high", high).groupBy("level", "l", "s", "metric").agg(
         F.min(F.when(4 * F.col("upto") >= F.col("total"), F.col("step"))).alias("q25"),
         F.min(F.when(4 * F.col("upto") >= 3 * F.col("total"), F.col("step"))).alias("q75"),
+        F.min(F.when(100 * F.col("upto") >= F.col("high") * F.col("total"), F.col("step"))).alias("qh"),
         F.max("total").alias("total"))
+    spread = quartiles.withColumns({"iqr": F.nullif(F.col("q75") - F.col("q25"), F.lit(0)), "tail": F.nullif(F.col("qh") - F.col("q75"), F.lit(0))})
+    wider = [spread.filter(F.col("level") == n).select(*([F.col("l").alias("l1")] if n == 1 else []), F.col("metric").alias(f"m{n}"),
+                                                       F.col("iqr").alias(f"iqr{n}"), F.col("tail").alias(f"tail{n}")) for n in (1, 2)]
+    # the second is one row per metric
+    quartiles = (spread.join(wider[0], (F.col("level") < 2) & F.col("l").eqNullSafe(F.col("l1")) & (F.col("metric") == F.col("m1")), "left")
+                 .join(F.broadcast(wider[1]), F.col("metric") == F.col("m2"), "left")
+                 .withColumns({x: F.coalesce(x, f"{x}1", f"{x}2", F.lit(0)) for x in ("iqr", "tail")}))
     cols = []
     for m in METRICS:
-        reach = REACH * F.greatest(F.col("q75") - F.col("q25"), F.lit(m.least))
         is_m = F.col("metric") == m.name
-        cols.append(F.max(F.when(is_m, F.col("q75") + reach)).alias(f"{m.name}_high"))
+        up = F.greatest(m.reach * F.col("iqr"), F.expr(f"{m.tail} * tail DIV 100"))
+        cols.append(F.max(F.when(is_m, F.col("q75") + up)).alias(f"{m.name}_high"))
         if m.low:
-            cols.append(F.max(F.when(is_m, F.col("q25") - reach)).alias(f"{m.name}_low"))
+            cols.append(F.max(F.when(is_m, F.col("q25") - m.reach * F.col("iqr"))).alias(f"{m.name}_low"))
     return quartiles.groupBy("level", "l", "s").agg(F.max("total").alias("rows"), *cols)
 
 

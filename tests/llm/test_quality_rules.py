@@ -69,6 +69,36 @@ def test_thresholds_follow_the_source(spark):
     assert all(k for i, k in kept.items() if i not in (500, 1500))
 
 
+def _fences(spark, docs):
+    counted = Q.with_counts(docs, ["doc_id"])
+    return [r.asDict() for r in Q.fences(Q.sketches(counted)).filter("level = 0").collect()]
+
+
+def test_no_fence_is_one_constant(spark):
+    found = _fences(spark, spark.read.parquet("/root/testdata/sf0.1/documents.parquet"))
+    for m in Q.METRICS:
+        assert len({f[f"{m.name}_high"] for f in found}) > len(found) / 10
+
+
+def test_habits_of_a_source_move_every_fence(spark):
+    """The same junk share, but longer words, more symbols, repeated lines and phrases in one source."""
+    def text(i, long, marks, lines, phrases):
+        k = i // 10
+        body = " ".join(("tellingly" if long else "tells") + f"{i}x{j}" for j in range(100 + i % 13))
+        return body + " #" * (marks * (1 + k % 7)) + "\nsame line here" * (lines * (1 + k % 5)) + " round and about" * (phrases * (1 + k % 4))
+    rows = [(i, text(i, 0, i % 10 == 0, i % 10 == 0, i % 10 == 0), "en", "plain", 1) for i in range(200)]
+    rows += [(1000 + i, text(i, 1, 8, 6, 6), "en", "loud", 1) for i in range(200)]
+    by = {f["s"]: f for f in _fences(spark, spark.createDataFrame(rows, edge_docs(spark).schema))}
+    assert by["plain"]["word_length_high"] != by["loud"]["word_length_high"]
+    for m in ("symbols", "dup_lines", "repeats"):
+        assert by["plain"][f"{m}_high"] < by["loud"][f"{m}_high"]
+
+
+def test_documents_that_fail_the_base_rule_feed_the_sketch(spark):
+    counted = Q.with_counts(spark.createDataFrame([(1, "two words", "en", "s", 1), (2, "", "en", "s", 1)], edge_docs(spark).schema), ["doc_id"])
+    assert {(r.metric, r.n) for r in Q.sketches(counted).collect()} == {(m.name, 1) for m in Q.METRICS}
+
+
 def test_sketches_merge(spark):
     counted = Q.with_counts(_corpus(spark), ["doc_id"])
     whole = Q.fences(Q.sketches(counted))
