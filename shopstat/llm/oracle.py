@@ -48,7 +48,9 @@ sorted AS (SELECT level, lang, source, metric, count(*) AS n, list_sort(list(ste
 quart AS (SELECT level, lang, source, metric, n, s[(n + 3) // 4] AS q25, s[(3 * n + 3) // 4] AS q75,
   s[((CASE metric {highs} END) * n + 99) // 100] AS qh FROM sorted),
 own AS (SELECT *, nullif(q75 - q25, 0) AS iqr0, nullif(qh - q75, 0) AS tail0 FROM quart),
-fence AS (SELECT o.level, o.lang, o.source, o.metric, o.n, o.q25, o.q75, coalesce(o.iqr0, a.iqr0, b.iqr0, 0) AS iqr, coalesce(o.tail0, a.tail0, b.tail0, 0) AS tail
+fence AS (SELECT o.level, o.lang, o.source, o.metric, o.n, o.q25, o.q75, 
+    coalesce(CASE WHEN coalesce(o.iqr0, o.tail0) IS NOT NULL THEN o.iqr0 WHEN coalesce(a.iqr0, a.tail0) IS NOT NULL THEN a.iqr0 ELSE b.iqr0 END, 0) AS iqr,
+    coalesce(CASE WHEN coalesce(o.iqr0, o.tail0) IS NOT NULL THEN o.tail0 WHEN coalesce(a.iqr0, a.tail0) IS NOT NULL THEN a.tail0 ELSE b.tail0 END, 0) AS tail
   FROM own o LEFT JOIN own a ON o.level < 2 AND a.level = 1 AND a.metric = o.metric AND a.lang IS NOT DISTINCT FROM o.lang
   LEFT JOIN own b ON b.level = 2 AND b.metric = o.metric),
 big AS (SELECT level, lang, source, max(n) AS n FROM quart GROUP BY ALL HAVING max(n) >= 100 OR level = 2),

@@ -16,8 +16,9 @@ Every document with a defined ratio feeds its group's sketch, also those
 that fail the base rule.  The upper fence is ``q75`` plus the larger of ``reach``
 times the quartile distance and ``tail`` percent of the distance from ``q75``
 to a high quantile, which alone speaks where most documents agree (no symbols,
-no repeated lines); word length has a lower fence as well.  A distance of zero
-is taken from the language's sketch, then from that of all documents.  Groups
+no repeated lines); word length has a lower fence as well.  Where both
+distances are zero those of the language's sketch count, then those of all
+documents.  Groups
 with fewer than ``min_rows`` documents use the fences of their language, then
 of all.
 
@@ -160,8 +161,10 @@ def fences(sketch: DataFrame) -> DataFrame:
                                                        F.col("iqr").alias(f"iqr{n}"), F.col("tail").alias(f"tail{n}")) for n in (1, 2)]
     # the second is one row per metric
     quartiles = (spread.join(wider[0], (F.col("level") < 2) & F.col("l").eqNullSafe(F.col("l1")) & (F.col("metric") == F.col("m1")), "left")
-                 .join(F.broadcast(wider[1]), F.col("metric") == F.col("m2"), "left")
-                 .withColumns({x: F.coalesce(x, f"{x}1", f"{x}2", F.lit(0)) for x in ("iqr", "tail")}))
+                 .join(F.broadcast(wider[1]), F.col("metric") == F.col("m2"), "left"))
+    own, by_lang = F.col("iqr").isNotNull() | F.col("tail").isNotNull(), F.col("iqr1").isNotNull() | F.col("tail1").isNotNull()
+    quartiles = quartiles.withColumns({x: F.coalesce(F.when(own, F.col(x)).when(by_lang, F.col(f"{x}1")).otherwise(F.col(f"{x}2")), F.lit(0))
+                                       for x in ("iqr", "tail")})
     cols = []
     for m in METRICS:
         is_m = F.col("metric") == m.name
