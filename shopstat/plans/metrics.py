@@ -44,6 +44,12 @@ class Roles:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
 
+    options: list = []
+
+    def stage_inputs(self, stage: str) -> list[str]:
+        """The files that a stage of the build reads: any of the folder."""
+        return [self.sf_dir]
+
     @cached_property
     def tx_raw(self) -> DataFrame:
         return roles.transactions(self.spark, self.sf_dir)

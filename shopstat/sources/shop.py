@@ -55,6 +55,17 @@ class ShopFiles:
         self.lookup_path, self.lookup_format = lookup_path, lookup_format
         self.lenient, self.multi_line = lenient, multi_line
 
+    @property
+    def options(self) -> list:
+        return [self.lookup_format, self.lenient, self.multi_line]
+
+    def stage_inputs(self, stage: str) -> list[str]:
+        """The files that a stage of the build reads."""
+        reads = {"transactions": "transactions", "transactions_prods": "transactions", "events_add_to_cart": "clicks",
+                 "products": "products", "customers": "customers", "sessions": "clicks"}
+        file = os.path.join(self.data_dir, FILES[reads[stage]])
+        return [file, self.lookup_path] if stage == "products" else [file]
+
     def _read(self, name: str, ddl: str) -> DataFrame:
         return read_csv_typed(self.spark, os.path.join(self.data_dir, FILES[name]), _schema(ddl),
                               lenient=self.lenient, multi_line=self.multi_line)

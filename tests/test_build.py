@@ -1,0 +1,82 @@
+import json
+import os
+
+import pytest
+
+from shopstat.plans import batch
+from shopstat.sources import versions as V
+from shopstat.sources.shop import ShopFiles
+from tests.test_sources import RAW
+
+
+def _source(spark, folder):
+    for name, text in RAW.items():
+        if not os.path.exists(os.path.join(folder, name)):
+            with open(os.path.join(folder, name), "w") as f:
+                f.write(text)
+    return ShopFiles(spark, folder, os.path.join(folder, "lookup.csv"))
+
+
+def _changed(before, after):
+    return {t for t in after if before.get(t) != after[t]}
+
+
+def test_restart_writes_only_what_is_missing_or_changed(spark, tmpdir_path, monkeypatch):
+    source, out = _source(spark, tmpdir_path), os.path.join(tmpdir_path, "out")
+    with monkeypatch.context() as m:
+        m.setattr(ShopFiles, "products", property(lambda self: 1 / 0))
+        with pytest.raises(batch.StageError, match="stage products"):
+            batch.build_tables(spark, source, out)
+    early = {t: V.current(spark, f"{out}/{t}") for t in ("rd_transactions", "rd_transactions_prods", "rd_events_add_to_cart")}
+    assert all(early.values()) and V.current(spark, f"{out}/rd_prods") is None and V.current(spark, f"{out}/dm_sessions") is None
+    paths = batch.build_tables(spark, source, out)
+    assert {t: paths[t] for t in early} == early                        # stages 1 to 3 are kept
+    rows = {}
+    for t, p in paths.items():
+        with open(f"{out}/manifest/{t}.json") as f:
+            rows[t] = json.load(f)["rows"]
+        assert rows[t] == spark.read.parquet(p).count(), t
+    assert (rows["rd_transactions"], rows["rd_transactions_prods"], rows["dm_transactions"]) == (3, 4, 2)
+    assert batch.build_tables(spark, _source(spark, tmpdir_path), out) == paths          # nothing to do
+
+    with open(os.path.join(tmpdir_path, "customer.csv"), "a") as f:
+        f.write("3,F,1980-01-01,iOS,12,Bali\n")
+    again = batch.build_tables(spark, _source(spark, tmpdir_path), out)
+    assert _changed(paths, again) == {"rd_customers", "dm_transactions"}
+    with open(f"{out}/manifest/rd_sessions.json", "w") as f:
+        f.write('{"stage": "sess')                                      # its writing was interrupted
+    third = batch.build_tables(spark, _source(spark, tmpdir_path), out)
+    assert _changed(again, third) == {"rd_sessions", "dm_sessions"}
+
+
+def test_keys_are_checked_before_the_marts(spark, tmpdir_path):
+    with open(os.path.join(tmpdir_path, "transactions.csv"), "w") as f:
+        f.write(RAW["transactions.csv"].replace("b-2,1", "b-1,1"))
+    out = os.path.join(tmpdir_path, "out")
+    for _ in range(2):                                                  # also when started again
+        with pytest.raises(ValueError, match="rd_transactions.booking_id: 0 null, 1 duplicate"):
+            batch.build_tables(spark, _source(spark, tmpdir_path), out)
+    assert V.current(spark, f"{out}/rd_sessions") and V.current(spark, f"{out}/dm_transactions") is None
+
+
+def test_joins_on_written_tables_need_no_exchange(spark, tmpdir_path):
+    spark.sql("CREATE DATABASE IF NOT EXISTS laid_out")
+    source, out = _source(spark, tmpdir_path), os.path.join(tmpdir_path, "out")
+    names = batch.build_tables(spark, source, out, database="laid_out", buckets=4)
+    assert batch.build_tables(spark, source, out, database="laid_out", buckets=4) == names
+    tx, lines, sess, by_session = (spark.table(names[t]) for t in ("rd_transactions", "rd_transactions_prods", "rd_sessions", "transactions_by_session"))
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for joined, rows in ((tx.join(lines, "booking_id"), 4), (by_session.join(sess, "session_id"), 2),
+                             (tx.join(lines.groupBy("booking_id").sum("quantity"), "booking_id"), 3)):
+            plan = joined._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin" in plan and "Exchange" not in plan, plan
+            assert joined.count() == rows
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert set(batch.register_views(spark, names)) == set(names)
+    assert spark.sql("SELECT count(*) AS n FROM dm_transactions").first().n == 2
+    for t in names:
+        spark.catalog.dropTempView(t)
+    spark.sql("DROP DATABASE laid_out CASCADE")
