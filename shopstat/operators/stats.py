@@ -181,3 +181,51 @@ def chi_square(table: DataFrame, row_col: str, col_values, alpha: float = ALPHA,
         "n", "statistic", F.col("dof").cast("bigint").alias("dof"), "p_value",
         decision.alias("decision"), report.alias("report"),
     )
+
+
+def contingency(df: DataFrame, row_col: str, col_col: str) -> DataFrame:
+    """Contingency table in long form, for labels that aren't known
+    beforehand: one row per (row value, column label) that occurs, with its
+    count ``n``, the margins ``row_n`` and ``col_n``, the count of all rows
+    ``total`` and the count ``expected`` under independence.
+
+    Rows with a null row or column value drop out; column labels are trimmed
+    and upper case, as in ``crosstab``.  Both margins are aggregates of the
+    counted cells joined back on their label, so no row and no task holds
+    all labels, however many there are.
+    """
+    rows = df.select(F.col(row_col).alias("_r"), norm_label(F.col(col_col)).alias("_c")).filter("_r IS NOT NULL AND _c IS NOT NULL")
+    cells = rows.groupBy("_r", "_c").agg(F.count(F.lit(1)).alias("n"))
+    by_row = cells.groupBy("_r").agg(F.sum("n").alias("row_n"))
+    by_col = cells.groupBy("_c").agg(F.sum("n").alias("col_n"))
+    total = by_col.agg(F.sum("col_n").alias("total"))
+    expected = F.col("row_n").cast("double") * F.col("col_n") / F.col("total")
+    return (cells.join(by_row, "_r").join(by_col, "_c").join(F.broadcast(total))
+            .select(F.col("_r").alias(row_col), F.col("_c").alias(col_col), "n", "row_n", "col_n", "total", expected.alias("expected")))
+
+
+def chi_square_cells(cells: DataFrame, row_col: str, col_col: str, alpha: float = ALPHA) -> DataFrame:
+    """Chi-square test of independence on the long form of ``contingency``:
+    the same statistic, degrees of freedom and p-value as ``chi_square`` on
+    the wide form, over all labels that occur.  No row for an empty table.
+
+    A cell that doesn't occur adds its expected count; their sum is the
+    total less the expected counts of the cells that do.  With one degree of
+    freedom all four deviations are equal and the sum of 1 / expected is a
+    product of both margins' sums, which gives Yates' correction without the
+    absent cells.
+    """
+    dev = F.col("n") - F.col("expected")
+    found = cells.agg(F.max("total").alias("n"), F.sum(dev * dev / F.col("expected")).alias("_met"), F.sum("expected").alias("_expected"),
+                      F.max(F.abs(dev)).alias("_dev")).filter("n IS NOT NULL")
+    rows = cells.groupBy(row_col).agg(F.max("row_n").alias("m")).agg(F.count(F.lit(1)).alias("_rows"), F.sum(1 / F.col("m")).alias("_by_row"))
+    cols = cells.groupBy(col_col).agg(F.max("col_n").alias("m")).agg(F.count(F.lit(1)).alias("_cols"), F.sum(1 / F.col("m")).alias("_by_col"))
+    both = found.join(F.broadcast(rows)).join(F.broadcast(cols)).withColumn("dof", (F.col("_rows") - 1) * (F.col("_cols") - 1))
+    short = F.greatest(F.col("_dev") - 0.5, F.lit(0.0))
+    statistic = (F.when(F.col("dof") == 0, F.lit(0.0))
+                 .when(F.col("dof") == 1, short * short * F.col("n") * F.col("_by_row") * F.col("_by_col"))
+                 .otherwise(F.col("_met") + F.greatest(F.col("n") - F.col("_expected"), F.lit(0.0))))
+    both = both.withColumn("statistic", statistic)
+    both = both.withColumn("p_value", F.when(F.col("dof") > 0, chi2_p_value(F.col("statistic"), F.col("dof"))).otherwise(F.lit(1.0)))
+    decision = F.when(F.col("p_value") < F.lit(alpha), F.lit("Reject independence")).otherwise(F.lit("No evidence against independence"))
+    return both.select("n", "statistic", F.col("dof").cast("bigint").alias("dof"), "p_value", decision.alias("decision"))

@@ -139,6 +139,9 @@ def build_queries() -> dict[str, Query]:
         "order_quantity": _q(lambda r: marts.order_quantity(r.lines)),
         "order_unique_products": _q(lambda r: marts.order_unique_products(r.lines)),
         "payment_customer_counts": _q(lambda r: metrics.payment_customers("segment", r)),
+        "contingency_cells": _q(metrics.contingency_all_segments),
+        "chi2_all_segments": _q(lambda r: metrics.stats.chi_square_cells(
+            metrics.contingency_all_segments(r), "payment_method", "segment")),
         "crosstab_counts": _q(lambda r: metrics.crosstab("segment", r)),
         "crosstab_percent": _q(lambda r: metrics.stats.crosstab_percent(
             metrics.crosstab("segment", r), "payment_method", metrics.GROUPINGS["segment"])),

@@ -178,3 +178,10 @@ def chi_square(grouping: str, r: Roles) -> DataFrame:
     title = "Segment" if grouping == "segment" else "Traffic source"
     return stats.chi_square(crosstab(grouping, r), "payment_method", GROUPINGS[grouping],
                             question=f"Does the share of payment methods differ across {title}?")
+
+
+def contingency_all_segments(r: Roles) -> DataFrame:
+    """Customers per payment method and segment, for every segment there is."""
+    c = r.customers.select("customer_id", "segment")
+    base = r.tx.select("payment_method", "customer_id").join(c, "customer_id").distinct()
+    return stats.contingency(base, "payment_method", "segment")

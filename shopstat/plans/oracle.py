@@ -245,6 +245,30 @@ ct AS (
 """
 
 
+_CONTINGENCY = """
+cell AS (
+  SELECT payment_method, upper(trim(c.segment)) AS segment, count(DISTINCT t.customer_id) AS n
+  FROM tx t JOIN cust c ON t.customer_id = c.customer_id
+  WHERE payment_method IS NOT NULL AND c.segment IS NOT NULL GROUP BY ALL),
+cells AS (
+  SELECT payment_method, segment, n, CAST(sum(n) OVER (PARTITION BY payment_method) AS BIGINT) AS row_n,
+    CAST(sum(n) OVER (PARTITION BY segment) AS BIGINT) AS col_n, CAST(sum(n) OVER () AS BIGINT) AS total FROM cell)
+"""
+# every cell of the grid, also those without customers
+_CHI2_ALL = """
+grid AS (
+  SELECT coalesce(n, 0) AS n, CAST(row_n AS DOUBLE) * col_n / total AS e, total
+  FROM (SELECT DISTINCT payment_method, row_n, total FROM cells) CROSS JOIN (SELECT DISTINCT segment, col_n FROM cells)
+  LEFT JOIN cell USING (payment_method, segment)),
+whole AS (
+  SELECT max(total) AS n, sum(power(n - e, 2) / e) AS statistic,
+    (SELECT (count(DISTINCT payment_method) - 1) * (count(DISTINCT segment) - 1) FROM cells) AS dof FROM grid),
+tail AS (
+  SELECT *, exp(-statistic / 2) * list_sum(list_transform(range(0, CAST(dof / 2 AS BIGINT)),
+                lambda j: exp(j * ln(statistic / 2) - lgamma(j + 1)))) AS p FROM whole)
+"""
+
+
 def chi2_sql(grouping: str) -> str:
     title = "Segment" if grouping == "segment" else "Traffic source"
     question = f"Does the share of payment methods differ across {title}?"
@@ -395,6 +419,12 @@ def build_oracle() -> dict[str, str]:
     sql.update({
         "chi2_by_segment": chi2_sql("segment"),
         "chi2_by_source": chi2_sql("source"),
+        "contingency_cells": _with("SELECT *, round_even(CAST(row_n AS DOUBLE) * col_n / total, 6) AS expected FROM cells",
+                                   _CONTINGENCY),
+        "chi2_all_segments": _with("""
+SELECT n, round_even(statistic, 6) AS statistic, CAST(dof AS BIGINT) AS dof, round_even(p, 6) AS p_value,
+  CASE WHEN p < 0.05 THEN 'Reject independence' ELSE 'No evidence against independence' END AS decision
+FROM tail""", _CONTINGENCY + "," + _CHI2_ALL),
         "moments_order_value": _with(f"""
 SELECT upper(trim(c.segment)) AS group_name, round_even(avg(CAST(t.total_amount AS DOUBLE)), 6) AS mean,
   round_even(stddev_samp(CAST(t.total_amount AS DOUBLE)), 6) AS stddev, count(*) AS count

@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from shopstat.functions.distributions import chi2_upper_p, t_two_sided_p
-from shopstat.operators.stats import chi_square, crosstab, crosstab_percent, moments, welch_ttest
+from shopstat.operators.stats import chi_square, chi_square_cells, contingency, crosstab, crosstab_percent, moments, welch_ttest
 
 
 def _units(spark, rows):
@@ -164,3 +164,33 @@ def test_customer_with_two_methods_counts_in_two_cells(spark):
                                  "method string, grp string, customer_id long").distinct()
     got = {r.method: (r.g1, r.g2) for r in crosstab(rows, "method", "grp", ["g1", "g2"]).collect()}
     assert got == {"card": (1, 1), "cash": (1, 0)}
+
+
+@pytest.mark.parametrize("table", [[[10, 20], [30, 25], [5, 9]], [[10, 20], [30, 25]], [[3, 0], [5, 4]], [[7, 0], [0, 9], [3, 3]], [[3, 4]], [[3, 0], [5, 0]]])
+def test_long_contingency_equals_wide(spark, table):
+    rows = _cells(spark, table)
+    wide = chi_square(crosstab(rows, "method", "grp", ["g1", "g2"]), "method", ["g1", "g2"]).first()
+    long = chi_square_cells(contingency(rows, "method", "grp"), "method", "grp").first()
+    assert (long.n, long.dof, long.decision) == (wide.n, wide.dof, wide.decision)
+    assert long.statistic == pytest.approx(wide.statistic, abs=1e-9) and long.p_value == pytest.approx(wide.p_value, abs=1e-9)
+
+
+def test_long_contingency_keeps_a_third_group_and_drops_nulls(spark):
+    table = [[10, 20, 3], [30, 25, 0], [5, 9, 8]]
+    rows = _cells(spark, table, ("g1", " G2", "g3")).unionByName(spark.createDataFrame([("m0", None)], "method string, grp string"))
+    cells = contingency(rows, "method", "grp")
+    assert {(r.method, r.grp): r.n for r in cells.collect()} == {
+        (f"m{i}", f"G{j + 1}"): n for i, counts in enumerate(table) for j, n in enumerate(counts) if n}
+    stat, dof, p = _chi_ref(table, yates=False)
+    r = chi_square_cells(cells, "method", "grp").first()
+    assert (r.dof, r.n) == (dof, 110) and r.statistic == pytest.approx(stat) and r.p_value == pytest.approx(p)
+    empty = chi_square_cells(contingency(rows.limit(0), "method", "grp"), "method", "grp")
+    assert empty.collect() == []
+
+
+def test_many_labels_never_meet_in_one_row(spark):
+    rows = spark.range(200_000).selectExpr("concat('m', id % 2) AS method", "concat('label ', id % 100000) AS grp")
+    cells = contingency(rows, "method", "grp")
+    assert cells.count() == 100_000 and "collect_" not in cells._jdf.queryExecution().executedPlan().toString()
+    r = chi_square_cells(cells, "method", "grp").first()           # every label has one method only
+    assert r.dof == 99_999 and r.statistic == pytest.approx(200_000)
