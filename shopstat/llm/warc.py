@@ -5,12 +5,16 @@ by their version's header line and declared lengths, ``convert`` turns them
 into WARC files with synthesised record ids, dates, types and digests, and
 ``warc_records`` reads those back.
 
-Archives are written by Spark's text writer, one record a row: the record
-separators of the formats (a line feed; two CRLF) are the writer's line
-separators, and its commit protocol survives lost tasks and works on any
-file system Spark writes to.  They are read as binary files, at most
-``RECORDS_PER_FILE`` records each, and parsed as a stream, so memory is
-bounded by one file's compressed bytes and one record.
+Archives are written by Spark's text writer, one archive a row and file: the
+record separators of the formats (a line feed; two CRLF) stand between the
+records and as the writer's line separator at the end, and its commit
+protocol survives lost tasks and works on any file system Spark writes to.
+An archive ends before it would exceed ``RECORDS_PER_FILE`` records or
+``BYTES_PER_FILE`` bytes (a larger record has an archive of its own), so
+however large pages are, the tasks that write and read archives hold one of
+that size; archives are read as binary files and parsed as a stream.
+Record ids come from the archive's path and name and the record's offset, so
+foreign archives of the same name don't collide.
 
 Of records with equal payloads (length and digest) of at least
 ``min_revisit_bytes``, the one with the smallest page id is written as
@@ -41,6 +45,7 @@ from pyspark.sql import functions as F
 from shopstat.llm.common import materialise, scratch_path
 
 RECORDS_PER_FILE = 20_000
+BYTES_PER_FILE = 64 << 20
 # Field lines of the two ARC versions and names of the WARC format.
 ARC_FIELDS = {
     1: b"URL IP-address Archive-date Content-type Archive-length",
@@ -65,40 +70,74 @@ def _rows(values: list[bytes]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(values, pa.binary())], names=["value"])
 
 
-def _write(records: DataFrame, path: str, separator: str, per_file: int) -> None:
-    (records.select(F.col("value").cast("string")).write.option("lineSep", separator).option("compression", "gzip")
-     .option("zlib.compress.level", "BEST_SPEED").option("maxRecordsPerFile", per_file).text(path))
+class _Archive:
+    """The records of the archive being filled; the first is its header."""
 
+    def __init__(self, separator: bytes, most_records: int, most_bytes: int):
+        self.separator, self.most_records, self.most_bytes = separator, most_records, most_bytes
+        self.records, self.bytes = [], 0
 
-def write_arc(pages: DataFrame, path: str, records_per_file: int = RECORDS_PER_FILE) -> None:
+    def ends_before(self, size: int) -> bool:
+        """Whether a record of ``size`` bytes needs a new archive."""
+        return len(self.records) > 1 and (len(self.records) >= self.most_records or self.bytes + size > self.most_bytes)
+
+    def add(self, record: bytes) -> None:
+        self.records.append(record)
+        self.bytes += len(record) + len(self.separator)
+
+    def end(self) -> Iterator[pa.RecordBatch]:
+        if self.records:
+            whole = self.separator.join(self.records)
+            self.records, self.bytes = [], 0
+            yield _rows([whole])
+
+
+def _write(archives: DataFrame, path: str, separator: str) -> None:
+    (archives.select(F.col("value").cast("string")).write.option("lineSep", separator).option("compression", "gzip")
+     .option("zlib.compress.level", "BEST_SPEED").option("maxRecordsPerFile", 1).text(path))
+
+
+def write_arc(pages: DataFrame, path: str, records_per_file: int = RECORDS_PER_FILE, bytes_per_file: int = BYTES_PER_FILE) -> None:
     """ARC files of ``page_id, url, html, date`` (14 digits); partitions take
     turns between the two versions."""
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), "date")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        version, written = 1 + part % 2, 0
+        version, begun, name = 1 + part % 2, 0, ""
+        archive = _Archive(b"\n", records_per_file, bytes_per_file)
+
+        def header() -> bytes:
+            about = b"%d 0 shopstat\n%s\n" % (version, ARC_FIELDS[version])
+            return _record(f"filedesc://{name}", "20240101000000", "text/plain", len(about), version, name) + about
+
         for batch in batches:
-            out = []
-            for row in batch.to_pylist():
-                if written % (records_per_file - 1) == 0:
-                    name = f"pages-{part:06d}-{written // (records_per_file - 1):04d}.arc"
-                    about = b"%d 0 shopstat\n%s\n" % (version, ARC_FIELDS[version])
-                    out.append(_record(f"filedesc://{name}", "20240101000000", "text/plain", len(about), version, name) + about)
+            for row in (r for some in _slices(batch) for r in some.to_pylist()):
                 payload = row["html"].encode()
                 page = b"" if row["page_id"] is None else PAGE_HEADER + b": %d\r\n" % row["page_id"]
                 head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n" + page + b"Content-Length: %d\r\n\r\n" % len(payload)
                 url = quote(row["url"], safe="%/:=&?~#+!$,;'@()*[]") if row["url"] else "unknown:"
-                out.append(_record(url, row["date"], "text/html", len(head) + len(payload), version, name, digest(payload)) + head + payload)
-                written += 1
-            yield _rows(out)
-    _write(rows.mapInArrow(run, "value binary"), path, "\n", records_per_file)
+                block, check = head + payload, digest(payload)
+                if archive.ends_before(len(block)):
+                    yield from archive.end()
+                if not archive.records:
+                    name, begun = f"pages-{part:06d}-{begun:04d}.arc", begun + 1
+                    archive.add(header())
+                archive.add(_record(url, row["date"], "text/html", len(block), version, name, check) + block)
+        yield from archive.end()
+    _write(rows.mapInArrow(run, "value binary"), path, "\n")
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
 
 
+def _slices(batch: pa.RecordBatch, rows: int = 64) -> Iterator[pa.RecordBatch]:
+    """A batch in parts, so that few pages are Python objects at a time."""
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
 def _stream(content: bytes) -> io.BufferedIOBase:
     raw = io.BytesIO(content)
     return gzip.GzipFile(fileobj=raw) if content[:2] == b"\x1f\x8b" else raw
@@ -116,7 +155,7 @@ def _number(value: bytes | None) -> int | None:
     return int(value) if value and value.lstrip(b"-").isdigit() else None
 
 
-def parse_arc(content: bytes) -> Iterator[dict]:
+def parse_arc(content: bytes, path: str = "") -> Iterator[dict]:
     """Records of one ARC file, by the declared lengths; the version block
     says which fields a header line has (a url may hold blanks, so fields are
     taken from the right)."""
@@ -144,7 +183,7 @@ def parse_arc(content: bytes) -> Iterator[dict]:
         http = block.startswith(b"HTTP/") and b"\r\n\r\n" in block
         cut = block.index(b"\r\n\r\n") + 4 if http else 0
         head, payload = block[:cut], block[cut:]
-        yield {"record_id": str(uuid.uuid5(uuid.NAMESPACE_URL, f"{name}#{at}")), "page_id": _number(_http_field(head, PAGE_HEADER)),
+        yield {"record_id": str(uuid.uuid5(uuid.NAMESPACE_URL, f"{path}#{name}#{at}")), "page_id": _number(_http_field(head, PAGE_HEADER)),
                "url": url, "ip": ip, "date": date, "mime": mime, "head": head, "payload": payload,
                "payload_bytes": len(payload), "payload_digest": digest(payload), "http": http}
 
@@ -173,8 +212,8 @@ def arc_records(spark: SparkSession, path: str, columns: list[str] | None = None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for content in batch.column("content"):
-                yield from _in_parts(parse_arc(content.as_py()), schema)
+            for file, content in zip(batch.column("path"), batch.column("content")):
+                yield from _in_parts(parse_arc(content.as_py(), file.as_py()), schema)
     return _files(spark, path).mapInArrow(run, ddl)
 
 
@@ -195,7 +234,7 @@ def _warc_record(r: dict) -> bytes:
 
 
 def convert(spark: SparkSession, arc_path: str, warc_path: str, min_revisit_bytes: int = 0,
-            records_per_file: int = RECORDS_PER_FILE) -> None:
+            records_per_file: int = RECORDS_PER_FILE, bytes_per_file: int = BYTES_PER_FILE) -> None:
     """WARC files of the records of ARC files."""
     found = materialise(arc_records(spark, arc_path, ["record_id", "page_id", "payload_bytes", "payload_digest", "http"]), "arc-digests")
     # one row per payload, partly aggregated before the shuffle however often a payload repeats
@@ -209,19 +248,20 @@ def convert(spark: SparkSession, arc_path: str, warc_path: str, min_revisit_byte
     records = arc_records(spark, arc_path).join(revisits, "record_id", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        info, written = None, 0
+        archive = _Archive(b"\r\n\r\n", records_per_file, bytes_per_file)
         for batch in batches:
-            out = []
-            for row in batch.to_pylist():
-                if written % (records_per_file - 1) == 0:
+            for row in (r for some in _slices(batch) for r in some.to_pylist()):
+                record = _warc_record(row)
+                if archive.ends_before(len(record)):
+                    yield from archive.end()
+                if not archive.records:
                     about = b"software: shopstat\r\nformat: WARC File Format 1.0\r\n"
                     info = uuid.uuid5(uuid.NAMESPACE_URL, f"warcinfo:{row['record_id']}")
-                    out.append((f"WARC/1.0\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:uuid:{info}>\r\nWARC-Date: 2024-01-01T00:00:00Z\r\n"
-                                f"Content-Type: application/warc-fields\r\nContent-Length: {len(about)}\r\n\r\n").encode() + about)
-                out.append(_warc_record(row))
-                written += 1
-            yield _rows(out)
-    _write(records.mapInArrow(run, "value binary"), warc_path, "\r\n\r\n", records_per_file)
+                    archive.add((f"WARC/1.0\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:uuid:{info}>\r\nWARC-Date: 2024-01-01T00:00:00Z\r\n"
+                                 f"Content-Type: application/warc-fields\r\nContent-Length: {len(about)}\r\n\r\n").encode() + about)
+                archive.add(record)
+        yield from archive.end()
+    _write(records.mapInArrow(run, "value binary"), warc_path, "\r\n\r\n")
 
 
 WARC_RECORD = ("record_id string, record_type string, url string, page_id bigint, payload_bytes bigint, "

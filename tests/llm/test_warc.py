@@ -71,6 +71,24 @@ def test_many_files_begin_with_their_own_headers(spark):
     assert sorted(r.page_id for r in W.warc_records(spark, out).collect()) == list(range(100))
 
 
+def test_files_are_bounded_by_bytes(spark):
+    arc, out = scratch_path(spark, "arc"), scratch_path(spark, "warc")
+    pages = spark.range(40).selectExpr("id AS page_id", "concat('http://h/', id) AS url", "concat(id, repeat('x', IF(id = 7, 90000, 9000))) AS html",
+                                       "'20200102030405' AS date").coalesce(1)
+    W.write_arc(pages, arc, bytes_per_file=50_000)
+    W.convert(spark, arc, out, bytes_per_file=50_000)
+    for path in (arc, out):
+        sizes = sorted(len(gzip.decompress(bytes(f.content))) for f in W._files(spark, path).collect())
+        assert len(sizes) >= 9 and 90_000 < sizes[-1] < 92_000 and sizes[-2] < 51_000      # the large page is alone
+    rows = W.warc_records(spark, out).collect()
+    assert sorted(r.page_id for r in rows) == list(range(40)) and all(r.intact for r in rows)
+
+
+def test_archives_of_the_same_name_have_their_own_ids():
+    body = b"http://a/ 1.2.3.4 19970102030405 text/html 5\nhello\n"
+    assert len({r["record_id"] for p in ("x/old.arc", "y/old.arc") for r in W.parse_arc(body, p)}) == 2
+
+
 V1 = (b"filedesc://old.arc 0.0.0.0 19970101000000 text/plain 70\n1 0 Archive\nURL IP-address Archive-date Content-type Archive-length\n")
 V2_FIELDS = b"2 0 Archive\nURL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length\n"
 
