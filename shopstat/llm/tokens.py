@@ -18,6 +18,7 @@ import pyarrow.compute as pc
 
 BASE = 0x9E3779B97F4A7C15 | 1
 BATCH_BYTES = 1 << 18
+STRETCH = 1 << 20           # bytes whose words are hashed at once
 
 _IS_WORD = np.zeros(256, dtype=bool)
 _IS_WORD[np.frombuffer(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", dtype=np.uint8)] = True
@@ -79,10 +80,17 @@ def words_of(texts: pa.Array) -> Words:
     behind[offsets[1:][filled] - 1] = False
     start = np.flatnonzero(inside & ~before)
     end = np.flatnonzero(inside & ~behind) + 1
-    up, down = _powers(len(data))
-    sums = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:len(data)], out=sums[1:])
-    h = mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
+    h = np.zeros(len(start), dtype=np.uint64)
+    i = 0
+    while i < len(start):                          # a stretch of words at a time: the running sums are eight times its bytes
+        j = max(i + 1, int(np.searchsorted(end, start[i] + STRETCH, side="right")))
+        s, e = start[i:j] - start[i], end[i:j] - start[i]
+        up, down = _powers(int(e[-1]))
+        sums = np.zeros(int(e[-1]) + 1, dtype=np.uint64)
+        np.cumsum((data[start[i]:end[j - 1]].astype(np.uint64) + np.uint64(1)) * up[:len(sums) - 1], out=sums[1:])
+        h[i:j] = (sums[e] - sums[s]) * down[s]
+        i = j
+    h = mix(h + (end - start).astype(np.uint64))
     text = np.searchsorted(offsets, start, side="right") - 1
     return Words(data, start, end, h, text, np.searchsorted(text, np.arange(n + 1)))
 
